@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import lines_crf, packing, simhash
+from rasterlake.llm import langid, lines_crf, packing, pii, simhash, toxicity
 from rasterlake.llm._common import bucket_of, table
 
 KEEP_QUALITY = 0.3
@@ -29,9 +29,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-QUERIES = {"op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_packing": op8_packing}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLE: dict[str, str] = {}
