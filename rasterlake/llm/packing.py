@@ -36,34 +36,70 @@ from rasterlake.llm._common import materialise
 
 MAX_LEN = 2048
 SEPARATOR = 0
-#: The tokenizer's own normaliser turns \\s+ into one space, its splitter drops white space, and no rule spans it:
-#: so a text's ids are those of its chunks between white space, one after the other.
-SPACE = re.compile(r"\s+")
-#: Control characters that Python's \s has and the tokenizer's has not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: The tokenizer's own normaliser turns white space into one space and lowers letters, its splitter drops white space,
+#: and no rule spans it: so a text's ids are those of its chunks between white space, one after the other.
+#: Texts with characters for which this or lowering A-Z first would not hold are encoded whole: control characters
+#: that only Python takes for white space, combining marks.
+ODD = re.compile("[\x1c-\x1f\u0300-\u036f]")
+#: Letters, then signs: the splitter always cuts between the two.
+WORD_AND_SIGNS = re.compile(r"([a-z]+)([^\w\s']+)")
 
 
 class ChunkTokenizer:
-    """Ids of whole texts from a tokenizer file's contents, with a bounded cache of white-space chunks."""
+    """Ids of whole texts from a tokenizer file's contents, with bounded caches of chunks and their words."""
 
     def __init__(self, content: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_str(content), {}, most
+        self.tokenizer, self.most = Tokenizer.from_str(content), most
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        """Runs of a-z are one piece for the splitter and go to the model at once; others are encoded together, and
+        the offsets tell which ids belong to which word."""
+        plain, tokens, as_bytes = [w for w in words if w.isascii() and w.isalpha()], self.tokenizer.model.tokenize, self.id_bytes
+        for w in plain:
+            self.words[w] = b"".join([as_bytes[t.id] for t in tokens(w)])
+        words = [w for w in words if not (w.isascii() and w.isalpha())]
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            ends = np.searchsorted(at, starts + sizes, side="left")
+            ids = np.array(got.ids, "<u4")
+            first = 0
+            for w, end in zip(part, ends.tolist()):
+                self.words[w] = ids[first:end].tobytes()
+                first = end
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        cut = [(c, m.groups() if (m := WORD_AND_SIGNS.fullmatch(c)) else (c,)) for c in new]
+        self._encode(list({w for _, parts in cut for w in parts if w not in self.words}))
+        for c, parts in cut:
+            self.chunks[c] = b"".join(self.words[w] for w in parts)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
+        odd = [bool(ODD.search(t)) for t in texts]
+        split = [[] if o else t.encode().lower().decode().split() for t, o in zip(texts, odd)]
+        known = self.chunks
+        new = list({w for words in split for w in words if w not in known})
+        if len(known) + len(new) > self.most:
             new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get, whole = self.cache.__getitem__, lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if ODD_SPACE.search(t) else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        self._learn(new)
+        get = known.__getitem__
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(get, words))
+            for t, o, words in zip(texts, odd, split)
+        ]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

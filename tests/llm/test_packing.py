@@ -19,7 +19,7 @@ def test_against_tokenizer(spark):
 
     tokenizer = Tokenizer.from_file(vocabulary())
     rng = random.Random(2)
-    odd = ["Größe İstanbul ΣΑΣ", "it's 1234 we're", "a\x1cb \x85 c d e", "<|endoftext|> x <|startoftext|>", "é ́x", "日本語 テスト"]
+    odd = ["Größe İstanbul ΣΑΣ", "it's 1234 we're", "a\x1cb \x85 c d e", "<|endoftext|> x <|startoftext|>", "é ́x", "日本語 テスト", "J̌ H̱ e\u0301 E\u0301", "word.\"' it's. don't?! x_y_ a--b c…"]
     texts = [None, "", "  ", *odd, *[" ".join(rng.choices(["alpha", "beta,", "Gamma!!", *odd], k=rng.randint(1, 900))) for _ in range(60)]]
     rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(4, texts[4], "x", "x"), (None, "no id", "x", "x")]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), vocabulary(), max_len=64, rows_per_bucket=10).collect()
@@ -42,6 +42,19 @@ def test_against_tokenizer(spark):
     assert len(places) <= total / 64 * 1.15 + 1
 
 
+def test_ids_of_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    content = open(vocabulary()).read()
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    whole = Tokenizer.from_str(content)
+    chunks = packing.ChunkTokenizer(content, most=3000)
+    for lo in range(0, len(texts), 20):
+        for t, got in zip(texts[lo : lo + 20], chunks.ids(texts[lo : lo + 20])):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def slow_best_fit(histogram, max_len):
     """Best-fit decreasing, document by document."""
     rooms = []
