@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import langid, lines_crf, packing, pii, simhash, toxicity
+from rasterlake.llm import decontam, langid, lines_crf, packing, pii, simhash, toxicity
 from rasterlake.llm._common import bucket_of, table
 
 KEEP_QUALITY = 0.3
@@ -17,6 +17,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lines_crf.train(docs, table(spark, sf_dir, "labels"))
@@ -49,5 +53,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLE: dict[str, str] = {}
