@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import decontam, langid, lines_crf, packing, pii, simhash, toxicity
+from rasterlake.llm import chat, decontam, embeddings, langid, lines_crf, packing, pii, simhash, toxicity
 from rasterlake.llm._common import bucket_of, table
 
 KEEP_QUALITY = 0.3
@@ -21,6 +21,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.read_back(chat.format_windows(rows.unionByName(probe)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lines_crf.train(docs, table(spark, sf_dir, "labels"))
@@ -53,5 +62,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii}
-ORACLE: dict[str, str] = {}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_embeddings": op10_embeddings}
+ORACLE: dict[str, str] = {"op2_chat": chat.ORACLE}
