@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUDGET, HISTORY, LEAST_ROOM, BYTES_PER_TOKEN = 512, 128, 64, 4
-END = "</turn>\n"
+#: Inside an escaped text a backslash stands before every <, so a newline never does.
+END = "\n</turn>\n"
 
 
 def escape(text: Column) -> Column:
@@ -48,7 +49,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     head = F.concat(F.lit("### "), escape_role(F.coalesce(F.col("role").cast("string"), F.lit(""))), F.lit(":\n"))
     body = escape(F.coalesce(F.col("text").cast("string"), F.lit("")))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), head.alias("head"), body.alias("body"))
-    turns = turns.select("conv_id", "turn", "role", F.length("head").alias("skip"), F.length("body").alias("size"), F.concat("head", "body", F.lit("\n" + END)).alias("seg"))
+    turns = turns.select("conv_id", "turn", "role", F.length("head").alias("skip"), F.length("body").alias("size"), F.concat("head", "body", F.lit(END)).alias("seg"))
     order = Window.partitionBy("conv_id").orderBy("turn", "seg")
     whole, so_far = Window.partitionBy("conv_id"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tokens = F.ceil(F.octet_length("seg") / F.lit(bytes_per_token)).cast("long")
@@ -91,7 +92,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     segs = F.slice(F.split("formatted", END), F.col("n_repeated") + 1, F.col("n_turns") - F.col("n_repeated"))
     role = lambda s: F.regexp_extract(s, r"(?s)^### ((?:[^\\:]++|\\.)*+):\n", 1)
     parsed = F.transform(F.transform(segs, lambda s: F.struct(s.alias("s"), role(s).alias("r"))), lambda x: F.concat(
-        unescape(x["r"]), F.lit("\n"), unescape(F.substring(x["s"], F.length(x["r"]) + 7, F.length(x["s"]) - F.length(x["r"]) - 7)), F.lit("\n")
+        unescape(x["r"]), F.lit("\n"), unescape(F.substring(x["s"], F.length(x["r"]) + 7, F.length(x["s"]) - F.length(x["r"]) - 6)), F.lit("\n")
     ))
     learnt = F.transform("loss", lambda p: unescape(F.substring(F.col("formatted"), (p["start"] + 1).cast("int"), p["length"].cast("int"))))
     rows = windows.select("conv_id", "window", F.size(segs).cast("long").alias("n"), F.array_join(parsed, "").alias("turns"), F.array_join(learnt, "").alias("learnt"), F.length("formatted").cast("long").alias("chars"))
