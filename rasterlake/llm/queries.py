@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import chat, decontam, embeddings, langid, lines_crf, packing, pii, simhash, toxicity
+from rasterlake.llm import chat, decontam, embeddings, langid, licenses, lines_crf, packing, pii, simhash, toxicity
 from rasterlake.llm._common import bucket_of, table
 
 KEEP_QUALITY = 0.3
@@ -30,6 +30,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(probe)))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lines_crf.train(docs, table(spark, sf_dir, "labels"))
@@ -66,5 +70,5 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_embeddings": op10_embeddings}
-ORACLE: dict[str, str] = {"op2_chat": chat.ORACLE}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_embeddings": op10_embeddings}
+ORACLE: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_licenses": licenses.ORACLE}
