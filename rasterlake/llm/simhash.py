@@ -165,3 +165,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text", doc_id:
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = named.join(smallest, "root").select("fp", "component_id")
     return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with all their columns that stay: of each component the one with its smallest doc_id.
+
+    Rows that share that doc_id are copies of one document, of which one stays. Where
+    a component has no doc_id at all, rows with a null doc_id stay, once for each text."""
+    found = near_duplicates(docs, width, text, doc_id)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs[doc_id] == first["first_id"], "left_semi")
+    counts = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").limit(1).collect()
+    if counts:
+        kept = kept.dropDuplicates([doc_id])
+    nameless = found.where(F.col("component_id").isNull()).select("fp").limit(1).collect()
+    if nameless:
+        kept = kept.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
+    return kept
