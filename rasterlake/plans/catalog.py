@@ -1,4 +1,4 @@
 """All query modules; importing them fills the registry."""
 
-from rasterlake.operators import color_queries, lookup_queries, ordered_queries, stats_queries  # noqa: F401
+from rasterlake.operators import color_queries, film_queries, library_queries, lookup_queries, ordered_queries, stats_queries, stencil_queries  # noqa: F401
 from rasterlake.plans.registry import ORACLE, QUERIES  # noqa: F401
