@@ -16,19 +16,23 @@ def wrap16(v: Column) -> Column:
 
 
 _ROW = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice"
-_WR = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _running():
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ((s + 32768) % 65536 + 65536) % 65536 - 32768 AS sample FROM (SELECT *, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) OVER ({_ROW} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM lineitem)")
 def delta_decode_wrap(spark, sf_dir):
     d = F.floor("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", wrap16(F.sum(d).over(_WR)).alias("sample"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", wrap16(F.sum(d).over(_running())).alias("sample"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN s % 65536 >= 32768 OR s % 65536 <= 0 THEN 0 ELSE s % 65536 END AS sample FROM (SELECT *, CAST(sum(CAST(floor(l_quantity * 1000) AS BIGINT)) OVER ({_ROW} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM lineitem)")
 def packed_decode_clamp(spark, sf_dir):
     """A running unsigned 16-bit sum; only the output is clamped, the running sum is not."""
-    s = F.pmod(F.sum(F.floor(F.col("l_quantity") * 1000)).over(_WR), F.lit(65536))
+    s = F.pmod(F.sum(F.floor(F.col("l_quantity") * 1000)).over(_running()), F.lit(65536))
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when((s >= 32768) | (s <= 0), 0).otherwise(s).alias("sample"))
 
 

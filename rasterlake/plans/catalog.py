@@ -2,3 +2,5 @@
 
 from rasterlake.operators import color_queries, film_queries, library_queries, lookup_queries, ordered_queries, stats_queries, stencil_queries  # noqa: F401
 from rasterlake.plans.registry import ORACLE, QUERIES  # noqa: F401
+from rasterlake.sources import tiff, x3f  # noqa: F401
+from rasterlake.streaming import requests  # noqa: F401
