@@ -31,10 +31,10 @@ def normalise_raw(spark, sf_dir):
 @query(f"""WITH n AS (SELECT image_id, y, x, (c0 - 64.0) / 2497.0 AS a, (c1 - 64.0) / 2497.0 AS b, (c2 - 64.0) / 2497.0 AS c FROM ({S.COLOUR})),
 v AS (SELECT *, greatest(a, b, c) AS top, greatest(a, 0.0) AS p, greatest(b, 0.0) AS q, greatest(c, 0.0) AS s FROM n),
 m AS (SELECT image_id, y, x, least(greatest((top - 0.88) / 0.12, 0.0), 1.0) AS t, {', '.join(f'{e} AS {n}' for e, n in zip(sql_mix(C.XYZ_TO_SRGB, 'pqs'), 'rgb'))} FROM v)
-SELECT image_id, y, x, round(r + t * (greatest(r, g, b) - r), 6) AS r, round(g + t * (greatest(r, g, b) - g), 6) AS g, round(b + t * (greatest(r, g, b) - b), 6) AS b FROM m""")
+SELECT image_id, y, x, round(r + t * (greatest(r, g, b) - r), 7) AS r, round(g + t * (greatest(r, g, b) - g), 7) AS g, round(b + t * (greatest(r, g, b) - b), 7) AS b FROM m""")
 def develop_pixel(spark, sf_dir):
     px = tuple(F.col(f"c{k}") for k in range(3))
-    return S.colour(spark, sf_dir).select(*PX, *rounded(C.develop(px, 64.0, 1 / 2497.0, C.XYZ_TO_SRGB)))
+    return S.colour(spark, sf_dir).select(*PX, *rounded(C.develop(px, 64.0, 1 / 2497.0, C.XYZ_TO_SRGB), places=7))
 
 
 @query(f"SELECT image_id, y, x, {', '.join(f'CAST(round(CASE WHEN {c} <= 0.0031308 THEN 12.92 * {c} ELSE 1.055 * pow({c}, 1 / 2.4) - 0.055 END * 255) AS INT) AS {c}' for c in 'rgb')} FROM ({S.LINEAR})")
