@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of SimHash near-duplicates (five-word shingles)."""
-    return simhash.keep_first(docs, width=5)
+    """The document with the smallest doc_id of each group of SimHash near-duplicates (five-word shingles, similarity 0.8)."""
+    return simhash.keep_first(docs, width=5, plan=simhash.WIDE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ these triples, so no pair with 4 shared bytes is lost, and a list holds 1/2^24 o
 fingerprints. For each pair of a list the shared positional bytes are tallied, pairs
 under the minimum of 4 are dropped, the rest is verified by the differing bits.
 
+``WIDE`` is the same index for looser copies: 256 bits, linked at 44 differing bits (pairs of Jaccard similarity
+0.8 on shingles differ in 39 on average), postings for 48 pairs of byte positions, and at least 3
+of 32 bytes shared. So many bits can touch every byte, so nothing is guaranteed there; a pair with similarity 0.8 shares
+no posting with probability 0.03, one with 0.85 with 0.004, and chains through other copies make up for it.
+
 Copies share one fingerprint and are one row of the index. A list longer than
 ``chunk`` is split into chunks and compared chunk pair by chunk pair in different
 tasks. A task reports a spanning forest of the links it found (a row per fingerprint
@@ -22,6 +27,7 @@ other columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -33,38 +39,61 @@ from pyspark.sql import functions as F
 from rasterlake.llm._common import components, materialise
 
 MAX_BITS = 4
-MIN_SHARED = 8 - MAX_BITS
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Majority bits of XXH64 over all shingles of ``width`` words, repeats included."""
+@dataclass(frozen=True)
+class Plan:
+    """Fingerprint of ``words`` 64-bit words, links at ``max_bits`` or fewer differing bits, at least ``min_shared``
+    equal bytes, and postings keyed by the bytes at each of ``positions``."""
+
+    words: int
+    max_bits: int
+    min_shared: int
+    positions: tuple[tuple[int, ...], ...]
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent word for each hash: the hash itself, then its mix with k (splitmix64 finaliser)."""
+    if k == 0:
+        return hashes
+    x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int, n_words: int = 1) -> list[int]:
+    """Majority bits of XXH64 over all shingles of ``width`` words, repeats included; 0 without words."""
     words = text.lower().split()  # bytes: lowers A-Z only and splits at 0x20, 0x09-0x0D only
     if not words:
-        return 0
+        return [0] * n_words
     digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        return digest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 15):
-        part = hashes[lo : lo + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    n = max(1, len(words) - width + 1)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if n > 1 or len(words) == width else [b" ".join(words)]
+    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+    out = []
+    for k in range(n_words):
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, n, 1 << 15):
+            part = mixed(hashes[lo : lo + (1 << 15)], k)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp)`` for each row, fp as a signed long."""
+def fingerprints(docs: DataFrame, width: int, n_words: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, f0, ...)`` for each row, words as signed longs."""
+    names = ["doc_id", *(f"f{k}" for k in range(n_words))]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", width, n_words) for t in texts], np.uint64).reshape(len(texts), n_words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy(), pa.int64()) for k in range(n_words))], names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -76,109 +105,114 @@ def position_triples() -> list[tuple[int, int, int]]:
     return inside + across
 
 
+EXACT = Plan(1, MAX_BITS, 8 - MAX_BITS, tuple(position_triples()))
+WIDE = Plan(4, 44, 3, tuple([(2 * i, 2 * i + 1) for i in range(16)] + [(i, i + 16) for i in range(16)] + [(i, i + 2) for i in range(32) if i % 4 < 2]))
+
+
 def _byte(position: int):
-    return F.shiftrightunsigned("fp", 8 * position).bitwiseAND(F.lit(255).cast("long"))
+    return F.shiftrightunsigned(f"f{position // 8}", 8 * (position % 8)).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    keys = [
-        F.lit(k << 24).cast("long") + F.shiftleft(_byte(a), 16) + F.shiftleft(_byte(b), 8) + _byte(c)
-        for k, (a, b, c) in enumerate(position_triples())
-    ]
-    return classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _postings(classes: DataFrame, plan: Plan) -> DataFrame:
+    keys = []
+    for k, at in enumerate(plan.positions):
+        code = F.lit(k << 8 * len(at)).cast("long")
+        for j, position in enumerate(at):
+            code = code + F.shiftleft(_byte(position), 8 * (len(at) - 1 - j))
+        keys.append(code)
+    return classes.select("id", *(f"f{k}" for k in range(plan.words)), F.explode(F.array(*keys)).alias("key"))
 
 
-def _close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Tally of shared positional bytes, then the bits."""
-    x = np.bitwise_xor(one, many)
-    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
-    ok = shared >= MIN_SHARED
-    ok[ok] = np.bitwise_count(x[ok]) <= MAX_BITS
+def _close(one: np.ndarray, many: np.ndarray, plan: Plan) -> np.ndarray:
+    """Tally of shared positional bytes, then the differing bits."""
+    x = np.ascontiguousarray(np.bitwise_xor(one, many))
+    ok = (x.view(np.uint8).reshape(len(x), 8 * plan.words) == 0).sum(1) >= plan.min_shared
+    ok[ok] = np.bitwise_count(x[ok]).sum(1, dtype=np.int64) <= plan.max_bits
     return ok
 
 
-def spanning(values: np.ndarray) -> list[tuple[int, int]]:
-    """(value, smallest linked value of its local component) for one posting list, values distinct."""
-    v = np.sort(values).view(np.uint64)
+def spanning(ids: np.ndarray, fps: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """(id, smallest linked id of its local component) for one posting list, fingerprints distinct."""
+    order = np.argsort(ids, kind="stable")
+    ids, v = ids[order], fps[order].view(np.uint64)
     left, out = np.arange(len(v)), []
     while len(left) > 1:
         seed, left = left[0], left[1:]
         queue = [seed]
         while queue and len(left):
-            hit = _close(v[queue.pop()], v[left])
+            hit = _close(v[queue.pop()], v[left], plan)
             if hit.any():
                 found, left = left[hit], left[~hit]
                 queue.extend(found.tolist())
-                out.extend((int(a), int(v[seed].view(np.int64))) for a in v[found].view(np.int64))
+                out.extend((int(a), int(ids[seed])) for a in ids[found])
     return out
 
 
-def _match_lists(batches):
+def _matcher(plan: Plan):
     """Batches sorted by (key, block): handle each run of equal keys once it is complete."""
-    names = ["a", "b"]
-    keep_k, keep_f = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
 
-    def runs(k, f):
+    def runs(k, v):
         edge = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        lo, hi = np.r_[0, edge], np.r_[edge, len(f)]
-        size, a, b = hi - lo, [], []
-        two = lo[size == 2]
-        ok = _close(f[two].view(np.uint64), f[two + 1].view(np.uint64))
-        a.append(f[two][ok]), b.append(f[two + 1][ok])
-        more = [e for s, t in zip(lo[size > 2], hi[size > 2]) for e in spanning(f[s:t])]
-        if more:
-            more = np.array(more, np.int64)
-            a.append(more[:, 0]), b.append(more[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=names)
-
-    for batch in batches:
-        key, block, fp = (np.asarray(c) for c in batch.columns)
-        k, f = np.concatenate([keep_k, np.c_[key, block]]), np.concatenate([keep_f, fp])
-        last = np.flatnonzero((k != k[-1]).any(1)) if len(k) else []
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield runs(k[:cut], f[:cut])
-        keep_k, keep_f = k[cut:], f[cut:]
-    if len(keep_f):
-        yield runs(keep_k, keep_f)
-
-
-def links(classes: DataFrame, chunk: int = 2048) -> DataFrame:
-    """Spanning links ``(a, b)`` between distinct fingerprints ``fp``: same components as all pairs within MAX_BITS."""
-    post = _postings(classes)
+        lo, hi = np.r_[0, edge], np.r_[edge, len(v)]
+        two = lo[hi - lo == 2]
+        ok = _close(v[two, 1:].view(np.uint64), v[two + 1, 1:].view(np.uint64), plan)
+        pairs = [np.c_[v[two][ok, 0], v[two + 1][ok, 0]]]
+        pairs += [np.array(e, np.int64) for s, t in zip(lo[hi - lo > 2], hi[hi - lo > 2]) if (e := spanning(v[s:t, 0], np.ascontiguousarray(v[s:t, 1:]), plan))]
+        pairs = np.concatenate(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, c].copy(), pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        keep_k, keep_v = np.zeros((0, 2), np.int64), np.zeros((0, plan.words + 1), np.int64)
+        for batch in batches:
+            cols = [np.asarray(c) for c in batch.columns]
+            k, v = np.concatenate([keep_k, np.stack(cols[:2], 1)]), np.concatenate([keep_v, np.stack(cols[2:], 1)])
+            last = np.flatnonzero((k != k[-1]).any(1)) if len(k) else []
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield runs(k[:cut], v[:cut])
+            keep_k, keep_v = k[cut:], v[cut:]
+        if len(keep_v):
+            yield runs(keep_k, keep_v)
+
+    return run
+
+
+def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFrame:
+    """Spanning links ``(a, b)`` between the ids of distinct fingerprints: same components as all pairs that meet in a list."""
+    post = _postings(classes, plan)
     long_lists = post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
     split = post.join(long_lists, "key", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("long"))
-    own = F.pmod(F.xxhash64("fp", "key"), F.col("parts"))
+    own = F.pmod(F.xxhash64("id", "key"), F.col("parts"))
     blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
     )
-    spread = split.select("key", F.explode(blocks).alias("block"), "fp")
-    return spread.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_match_lists, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row; component_id is the smallest doc_id reachable by links."""
-    rows = materialise(fingerprints(docs, width, text, doc_id), "simhash-rows")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    roots = components(links(classes.select("fp")), "simhash-links")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    spread = split.select("key", F.explode(blocks).alias("block"), "id", *(f"f{k}" for k in range(plan.words)))
+    return spread.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_matcher(plan), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, plan: Plan = EXACT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row; fp is the first fingerprint word, component_id the smallest doc_id reachable by links."""
+    names = [f"f{k}" for k in range(plan.words)]
+    one = F.col("f0") if plan.words == 1 else F.xxhash64(*names)  # a class's number
+    rows = materialise(fingerprints(docs, width, plan.words, text, doc_id).withColumn("id", one), "simhash-rows")
+    classes = materialise(rows.groupBy("id", *names).agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    roots = components(links(classes, plan), "simhash-links")
+    named = classes.join(roots, classes.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    final = named.join(smallest, "root").select("fp", "component_id")
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = named.join(smallest, "root").select("id", "component_id")
+    return rows.join(final, "id").select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, plan: Plan = EXACT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with all their columns that stay: of each component the one with its smallest doc_id.
 
     Rows that share that doc_id are copies of one document, of which one stays. Where
     a component has no doc_id at all, rows with a null doc_id stay, once for each text."""
-    found = near_duplicates(docs, width, text, doc_id)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs[doc_id] == first["first_id"], "left_semi")
-    counts = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").limit(1).collect()
-    if counts:
+    found = near_duplicates(docs, width, plan, text, doc_id)
+    first = materialise(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("first_id")).agg(F.count(F.lit(1)).alias("n")), "simhash-first")
+    kept = docs.join(first.select("first_id"), docs[doc_id] == first["first_id"], "left_semi")
+    if first.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([doc_id])
-    nameless = found.where(F.col("component_id").isNull()).select("fp").limit(1).collect()
-    if nameless:
+    if found.where(F.col("component_id").isNull()).limit(1).count():
         kept = kept.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
     return kept

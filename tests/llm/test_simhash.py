@@ -7,6 +7,7 @@ import numpy as np
 import xxhash
 
 from rasterlake.llm import simhash
+from rasterlake.llm._common import components
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -71,14 +72,33 @@ def test_long_lists_are_split_without_losing_links(spark):
         fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
     fps = sorted(fps)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
+    frame = spark.createDataFrame([(s, s) for s in signed], "id long, f0 long")
     for chunk in (7, 2048):
-        from rasterlake.llm._common import components
-
-        roots = {r["node"]: r["root"] for r in components(simhash.links(frame, chunk), "test").collect()}
-        got = [roots.get(s, s) for s in signed]
-        want = slow_components(signed, fps)
-        assert got == want
+        roots = {r["node"]: r["root"] for r in components(simhash.links(frame, chunk=chunk), "test").collect()}
+        assert [roots.get(s, s) for s in signed] == slow_components(signed, fps)
+
+
+def test_wide_plan_finds_similar_texts(spark):
+    """Texts with a few words changed are linked, texts that only share a passage are not; every link found is within the bits."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    shared, rows, group = rng.choices(vocab, k=60), [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    similar = 0
+    for base in range(60):
+        words = rng.choices(vocab, k=240) + shared
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(240)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(copy)))
+            group.append((base, shingles(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE).collect()}
+    assert all(group[d][0] == group[c][0] for d, c in got.items())
+    linked = [got[i] == got[j] for i in range(len(rows)) for j in range(i) if group[i][0] == group[j][0] and len(group[i][1] & group[j][1]) >= 0.8 * len(group[i][1] | group[j][1])]
+    assert len(linked) > 50 and np.mean(linked) > 0.95
+    fps = np.array([simhash.fingerprint(t.encode(), 5, 4) for _, t in rows], np.uint64)
+    assert [int(f) for f in fps[:, 0]] == [slow_fingerprint(t, 5) for _, t in rows]
 
 
 def test_triples_cover_all_fours():
