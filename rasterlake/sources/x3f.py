@@ -202,3 +202,60 @@ def x3f_round_trip(spark, sf_dir):
 
     files = images.mapInPandas(write, "path string, content binary")
     return decode(image_section(sections(files))).select(F.col("path").cast("long").alias("image_id"), "y", "x", "ch", "s")
+
+
+#: Fixed values of the format: entry tags and element types of matrices.
+TAGS = {b"CMbP": "property", b"CMbM": "matrix", b"CMbT": "text"}
+ELEMENTS = {0: "<i2", 1: "<u4", 2: "<u4", 3: "<f4", 5: "u1", 6: "<u2"}
+MOST_ELEMENTS = 1 << 24
+ENTRIES = "path string, pos int, name string, kind string, dims array<int>, f64 array<double>, i32 array<int>, u32 array<long>, props array<struct<key: string, value: string>>, error string"
+
+
+def _text(blob: bytes, at: int) -> str:
+    return blob[at : blob.index(b"\0", at)].decode("utf-8", "replace") if 0 <= at < len(blob) and b"\0" in blob[at:] else blob[at:].decode("utf-8", "replace")
+
+
+def _value(kind: str, entry: bytes, at: int) -> dict:
+    if kind == "property":
+        n, base = struct.unpack_from("<II", entry, at)
+        pairs = np.frombuffer(entry, "<u4", 2 * n, at + 8).reshape(-1, 2) + base
+        return {"props": [{"key": _text(entry, int(a)), "value": _text(entry, int(b))} for a, b in pairs]}
+    element, rank, base = struct.unpack_from("<III", entry, at)
+    if rank > 3 or element not in ELEMENTS:
+        return {"error": "more than three dimensions" if rank > 3 else f"unknown element type {element}"}
+    dims = [struct.unpack_from("<I", entry, at + 12 + 12 * k)[0] for k in range(rank)]
+    n = int(np.prod(dims, dtype=object)) if dims else 1
+    dtype = np.dtype(ELEMENTS[element])
+    if n > MOST_ELEMENTS or base + n * dtype.itemsize > len(entry):
+        return {"error": "matrix out of bounds"}
+    column = {"f": "f64", "i": "i32", "u": "u32"}[dtype.kind]
+    return {"dims": dims, column: np.frombuffer(entry, dtype, n, base).tolist()}
+
+
+def _entries(blob: bytes):
+    """Name, kind and value of each entry; text entries are passed over, an unknown tag ends the list."""
+    at = 0
+    while at + 20 <= len(blob) and (kind := TAGS.get(blob[at : at + 4])):
+        size, name, value = struct.unpack_from("<3I", blob, at + 8)
+        if size < 20 or at + size > len(blob):
+            return
+        entry = blob[at : at + size]
+        if kind != "text":
+            try:
+                yield {"name": _text(entry, name), "kind": kind, **_value(kind, entry, value)}
+            except (struct.error, ValueError) as e:
+                yield {"name": _text(entry, name), "kind": kind, "error": str(e)}
+        at += size
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Metadata entries of enciphered sections, in file order: typed arrays for matrices, pairs for property
+    lists. A malformed entry is a row with an error. The key is the last number of the section's header."""
+    names = [c.split()[0] for c in ("path", "pos", "name", "kind", "dims", "f64", "i32", "u32", "props", "error")]
+
+    def run(batches):
+        for pdf in batches:
+            out = [{"path": r.path, "pos": k, **e} for r in pdf.itertuples() for k, e in enumerate(_entries(decrypt(r.data, int(r.stride))))]
+            yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    return rows.where("identifier = 'SECc' and kind = 2").select("path", "stride", "data").mapInPandas(run, ENTRIES)

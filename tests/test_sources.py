@@ -74,3 +74,27 @@ def test_tiff_bytes():
     assert (tags[256], tags[257], tags[279]) == (4, 3, 72) and list(tags) == sorted(tags)
     back = np.frombuffer(blob, "<f2", 36, tags[273]).reshape(3, 4, 3)
     assert np.array_equal(back, np.minimum(image, 65504).astype(np.float16))
+
+
+def matrix_entry(name, element, dims, payload):
+    body = struct.pack("<III", element, len(dims), 20 + 12 + 12 * len(dims)) + b"".join(struct.pack("<III", d, 0, 0) for d in dims) + payload
+    size = 20 + len(body) + len(name) + 1
+    return b"CMbM" + struct.pack("<IIII", 0, size, 20 + len(body), 20) + body + name.encode() + b"\0"
+
+
+def test_metadata_entries(spark, tmp_path):
+    props = b"k1\0v1\0k2\0v2\0"
+    body = struct.pack("<II", 2, 20 + 8 + 16) + struct.pack("<4I", 0, 3, 6, 9) + props
+    prop = b"CMbP" + struct.pack("<IIII", 0, 20 + len(body) + 5, 20 + len(body), 20) + body + b"List\0"
+    text = b"CMbT" + struct.pack("<IIII", 0, 24, 0, 0) + b"abcd"
+    blob = (
+        matrix_entry("F", 3, [2, 2], struct.pack("<4f", 1.5, 2, 3, 4)) + text + prop + matrix_entry("I", 0, [3], struct.pack("<3h", -1, 2, 3))
+        + matrix_entry("U", 6, [2], struct.pack("<2H", 7, 65535)) + matrix_entry("odd", 9, [1], b"1234") + matrix_entry("long", 1, [1000], b"1234") + b"\0" * 24
+    )
+    section = b"SECc" + struct.pack("<6I", 0x20000, 2, 0, 0, 0, 4242) + x3f.decrypt(blob, 4242)
+    (tmp_path / "m.x3f").write_bytes(x3f.container([section]))
+    got = {r["name"]: r for r in x3f.entries(x3f.read(spark, str(tmp_path))).collect()}
+    assert (got["F"]["dims"], got["F"]["f64"]) == ([2, 2], [1.5, 2.0, 3.0, 4.0])
+    assert got["I"]["i32"] == [-1, 2, 3] and got["U"]["u32"] == [7, 65535]
+    assert [(p["key"], p["value"]) for p in got["List"]["props"]] == [("k1", "v1"), ("k2", "v2")]
+    assert got["odd"]["error"] and got["long"]["error"] and len(got) == 6
