@@ -52,7 +52,7 @@ def saturation_level(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", top.alias("top"), F.round(F.log2(F.col("p_retailprice") / 100), 6).alias("baseline"))
 
 
-@query("""SELECT p_partkey, CASE WHEN ok THEN least(floor((l - 8) * 640 / 40), 639) END AS left_px, CASE WHEN ok THEN least(floor((r - 8) * 640 / 40), 639) END AS right_px FROM (SELECT *, l <= r AS ok FROM (SELECT p_partkey, greatest(p_size, 8) AS l, least(p_size + p_partkey % 30 - 10, 47) AS r FROM part))""")
+@query("""SELECT p_partkey, CAST(CASE WHEN ok THEN least(floor((l - 8) * 640 / 40), 639) END AS BIGINT) AS left_px, CAST(CASE WHEN ok THEN least(floor((r - 8) * 640 / 40), 639) END AS BIGINT) AS right_px FROM (SELECT *, l <= r AS ok FROM (SELECT p_partkey, greatest(p_size, 8) AS l, least(p_size + p_partkey % 30 - 10, 47) AS r FROM part))""")
 def rect_transform(spark, sf_dir):
     """A span cut to the kept area, shifted and rescaled by integer floor division; nothing if it is empty."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.greatest("p_size", F.lit(8)).alias("l"), F.least(F.col("p_size") + F.col("p_partkey") % 30 - 10, F.lit(47)).alias("r"))
@@ -75,7 +75,7 @@ def vignette_gain(spark, sf_dir):
     return px.select(*PX, F.round(F.col("v") / F.greatest(1 - 0.09 * F.col("r2") + 0.001 * F.col("r2") * F.col("r2"), F.lit(0.25)), 7).alias("v"))
 
 
-@query("SELECT s_suppkey, film, CASE WHEN film BETWEEN 0 AND 19 THEN film % 4 = 0 END AS positive, round(CASE WHEN film BETWEEN 0 AND 19 AND film % 4 = 0 THEN 0.25 * 0.36 ELSE 0.25 END, 6) AS couplers, CASE WHEN film BETWEEN 0 AND 19 AND film % 4 > 0 THEN n_name END AS paper FROM (SELECT s_suppkey, s_suppkey % 25 AS film FROM supplier) LEFT JOIN nation ON n_nationkey = film")
+@query("SELECT s_suppkey, film, CASE WHEN film BETWEEN 0 AND 19 THEN film % 4 = 0 END AS positive, CAST(CASE WHEN film BETWEEN 0 AND 19 AND film % 4 = 0 THEN 0.09 ELSE 0.25 END AS DOUBLE) AS couplers, CASE WHEN film BETWEEN 0 AND 19 AND film % 4 > 0 THEN n_name END AS paper FROM (SELECT s_suppkey, s_suppkey % 25 AS film FROM supplier) LEFT JOIN nation ON n_nationkey = film")
 def film_selection(spark, sf_dir):
     """What choosing a film implies; an index out of range changes nothing."""
     s = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("film"))

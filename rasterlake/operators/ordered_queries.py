@@ -45,7 +45,7 @@ def lru_keep64(spark, sf_dir):
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS slot FROM events QUALIFY slot <= 3")
 def mru_keep3(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"))
-    return load(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("slot")).where("slot <= 3")
+    return load(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("slot")).where("slot <= 3")
 
 
 @query("SELECT event_id FROM (SELECT event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value > before")

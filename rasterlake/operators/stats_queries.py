@@ -116,7 +116,7 @@ def max_delta(spark, sf_dir):
     return S.gray(spark, sf_dir).withColumn("d", F.when(F.isnan(d), float("inf")).otherwise(d)).groupBy("image_id").agg(F.round(F.max("d"), 6).alias("delta"))
 
 
-@query("SELECT event_type, count(*) AS total, sum(CASE WHEN value > 0.5 THEN 1 ELSE 0 END) AS ok, round(sum(value), 4) AS seconds, round(CASE WHEN sum(value) > 0 THEN count(*) / sum(value) END, 6) AS per_second FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 0.5) AS ok, round(sum(value), 4) AS seconds, round(CASE WHEN sum(value) > 0 THEN count(*) / sum(value) END, 6) AS per_second FROM events GROUP BY event_type")
 def batch_summary(spark, sf_dir):
     e = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") > 0.5).alias("ok"), F.sum("value").alias("s"))
     return e.select("event_type", "total", "ok", F.round("s", 4).alias("seconds"), F.round(F.when(F.col("s") > 0, F.col("total") / F.col("s")), 6).alias("per_second"))
