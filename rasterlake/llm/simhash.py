@@ -57,7 +57,7 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent word for each hash: the hash itself, then its mix with k (splitmix64 finaliser)."""
     if k == 0:
         return hashes
-    x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
