@@ -180,7 +180,8 @@ def _matcher(plan: Plan):
 def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFrame:
     """Spanning links ``(a, b)`` between the ids of distinct fingerprints: same components as all pairs that meet in a list."""
     post = _postings(classes, plan)
-    long_lists = post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    # written first: its size is then known (a row for each ``chunk`` postings at most), and a small one costs the postings no shuffle
+    long_lists = materialise(post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), "simhash-long")
     split = post.join(long_lists, "key", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("long"))
     own = F.pmod(F.xxhash64("id", "key"), F.col("parts"))
     blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
@@ -210,7 +211,9 @@ def keep_first(docs: DataFrame, width: int = 5, plan: Plan = EXACT, text: str =
     a component has no doc_id at all, rows with a null doc_id stay, once for each text."""
     found = near_duplicates(docs, width, plan, text, doc_id)
     first = materialise(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("first_id")).agg(F.count(F.lit(1)).alias("n")), "simhash-first")
-    kept = docs.join(first.select("first_id"), docs[doc_id] == first["first_id"], "left_semi")
+    # the side of kept ids grows with the input: a shuffled join at every size
+    side = first.select("first_id").hint("merge")
+    kept = docs.join(side, docs[doc_id] == side["first_id"], "left_semi")
     if first.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([doc_id])
     if found.where(F.col("component_id").isNull()).limit(1).count():
