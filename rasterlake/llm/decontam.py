@@ -6,14 +6,22 @@ with those of the benchmark (a second hash of the plain lower-cased words keeps
 whose letter case was changed). On each alignment of a document with an item, the
 placeholders' values must be consistent: one value of the item always stands against
 the same value in the document. Windows of consistent alignments count; an item is
-found in a document when at least ``least`` of its windows are.
+found in a document when at least ``least`` of its windows are, or of those of its windows
+that can match as a template if these are at least half of all.
+
+A capitalised word that opens a sentence may be a name or not: a window is emitted in both
+readings, on either side. The reading as a name is optional: where its values are not consistent,
+it does not count, but takes nothing from the alignment's other windows.
+
+Items under five words, and items of which less than half of the windows can match as a template, are
+hashed as one whole-item window, too (openers all plain, or all names; at least two plain words in a
+template, at least three words in all). It stands for the whole item.
 
 The windows of the benchmark are counted first. Up to ``most_windows`` their hashes are
 sent to the tasks, which then emit matching windows only, and the join broadcasts them;
 beyond that nothing is sent: all windows are emitted and Spark shuffles both sides.
 
-Defined results: null, empty and short texts (under five words) have no windows and match nothing, on
-either side; rows with the same doc_id are one document; a null doc_id is a document of
+Defined results: null and empty texts and items of one or two words have no windows and match nothing; rows with the same doc_id are one document; a null doc_id is a document of
 its own id null; repeated benchmark items are one item; other columns are ignored; an
 empty table on either side gives an empty result.
 """
@@ -29,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm._common import materialise
+from rasterlake.llm.simhash import mixed
 
 WINDOW = 5
 #: Fewer plain words than this, and a window of placeholders says too little.
 LEAST_PLAIN = 3
+#: The same for a window that is a whole item, and the words it has at least.
+LEAST_PLAIN_WHOLE, LEAST_WHOLE = 2, 3
 UNITS = frozenset(
     "mm cm m km in inch inches ft feet yard yards mile miles mg g gram grams kg kilogram kilograms ton tons tonne tonnes lb lbs oz ml cl l liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent pct usd eur dollar dollars euro euros cent cents "
@@ -41,9 +52,10 @@ UNITS = frozenset(
 _WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
 _ENDS = re.compile(r"[.!?:;…][\"'”’)\]]*$")
 NEWLINE = "⏎"
-PLAIN, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
+PLAIN, NUMBER, UNIT, CAPITAL, OPENER = 0, 1, 2, 3, 4
 _HOLDER = {k: np.uint64(xxhash.xxh64_intdigest(f"\x00{k}")) for k in (NUMBER, UNIT, CAPITAL)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Canon:
@@ -82,6 +94,11 @@ class Canon:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, kinds in context, words of each text)."""
+        word, kind, sizes = self.read(texts)
+        return word, np.where(kind == OPENER, PLAIN, kind), sizes
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, with OPENER for capitalised words that open a sentence."""
         if len(self.chunk) > self.most:
             self.reset()
         split = [t.replace("\n", f" {NEWLINE} ").split() for t in texts]
@@ -108,39 +125,94 @@ class Canon:
         kind = np.array(self.kind, np.int64)[word] if total else np.zeros(0, np.int64)
         before = np.concatenate([[PLAIN], np.where(text[1:] == text[:-1], kind[:-1], PLAIN)]) if total else kind
         kind = np.where((kind == UNIT) & (before != NUMBER), PLAIN, kind)
-        kind = np.where((kind == CAPITAL) & opens, PLAIN, kind)
+        kind = np.where((kind == CAPITAL) & opens, OPENER, kind)
         return word, kind, np.bincount(text, minlength=len(texts))
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in it, template hash, plain hash, word numbers, kinds); hash 0 stands for no window."""
-        word, kind, sizes = self.words(texts)
+        """(text, place in it, template hash, plain hash, word numbers, kinds) with openers read as plain; hash 0 stands for no window."""
+        word, kind, sizes = self.read(texts)
+        text, place, at, template, plain, _, _ = self.codes(word, kind, sizes)
+        around = at[:, None] + np.arange(WINDOW)
+        return text, place, template, plain, word[around], np.where(kind == OPENER, PLAIN, kind)[around]
+
+    def codes(self, word: np.ndarray, kind: np.ndarray, sizes: np.ndarray):
+        """(text, place in it, first word, template hash, plain hash) of all windows with openers read as plain, whether
+        a window has a template hash in every reading, then [(windows, template hashes, places of openers read as names)] for each set of openers."""
         starts = np.cumsum(sizes) - sizes
         n = np.maximum(sizes - WINDOW + 1, 0)
-        text = np.repeat(np.arange(len(texts)), n)
+        text = np.repeat(np.arange(len(sizes)), n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         at = starts[text] + place
+        plain, held = self._values(word, kind)
+        is_plain, opener = (kind == PLAIN) | (kind == OPENER), (kind == OPENER).astype(np.uint8)
+        # windows of the whole batch side by side; those that cross texts are not taken
+        every = max(len(word) - WINDOW + 1, 0)
+        few, open_at = np.zeros(every, np.uint8), np.zeros(every, np.uint8)
+        codes = [np.zeros(every, np.uint64), np.zeros(every, np.uint64)]
+        for j in range(WINDOW):
+            few += is_plain[j : j + every]
+            open_at |= opener[j : j + every] << np.uint8(j)
+            for c, v in zip(codes, (held, plain)):
+                c += v[j : j + every]
+                c *= _STEP
+                c ^= c >> np.uint64(29)
+        few, open_at, codes = few[at].astype(np.int64), open_at[at], [c[at] for c in codes]
+        codes[0][few < LEAST_PLAIN] = 0
+        readings = []
+        some = np.flatnonzero((open_at > 0) & (few > LEAST_PLAIN))
+        some_open, some_few = open_at[some], few[some]
+        masks = np.flatnonzero(np.bincount(some_open, minlength=1 << WINDOW))
+        for names in range(1, 1 << WINDOW):
+            if not (masks & names == names).any():
+                continue
+            i = some[(some_open & names == names) & (some_few - names.bit_count() >= LEAST_PLAIN)]
+            code = np.zeros(len(i), np.uint64)
+            for j in range(WINDOW):
+                code = (code + (_HOLDER[CAPITAL] if names >> j & 1 else held[at[i] + j])) * _STEP
+                code ^= code >> np.uint64(29)
+            readings.append((i, code, names))
+        return text, place, at, codes[0], codes[1], few - np.bitwise_count(open_at) >= LEAST_PLAIN, readings
+
+    def _values(self, word: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain and template value of each word, openers read as plain."""
         plain = np.array(self.hash, np.uint64)[word] if len(word) else np.zeros(0, np.uint64)
         held = plain.copy()
         for k, h in _HOLDER.items():
             held[kind == k] = h
-        few = np.zeros(len(at), np.int64)
-        codes = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
-        for j in range(WINDOW):
-            few += kind[at + j] == PLAIN
-            for c, v in enumerate((held, plain)):
-                codes[c] = (codes[c] + v[at + j]) * _STEP
-                codes[c] ^= codes[c] >> np.uint64(29)
-        codes[0][few < LEAST_PLAIN] = 0
-        return text, place, codes[0], codes[1], word[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.int64), kind[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.int64)
+        return plain, held
+
+    def whole(self, word: np.ndarray, kind: np.ndarray, sizes: np.ndarray, lengths):
+        """(first word, length, hash, reading) of all windows of the given lengths: plain, template, template with openers as names."""
+        text_end = np.repeat(np.cumsum(sizes), sizes)
+        plain, held = self._values(word, kind)
+        named = np.where(kind == OPENER, _HOLDER[CAPITAL], held)
+        sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        # a polynomial over the window's values, the same whatever comes before it; _BASE is odd and so has an inverse
+        power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(word), x, np.uint64)])) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))))
+        totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power[:-1])]) for v in (plain, held, named)]
+        opener, holder = sums(kind == OPENER), sums((kind != PLAIN) & (kind != OPENER))
+        for length in lengths:
+            at = np.flatnonzero(np.arange(len(word)) + length <= text_end) if len(word) else np.zeros(0, np.int64)
+            if length < LEAST_WHOLE or not len(at):
+                continue
+            n_open, n_held = opener[at + length] - opener[at], holder[at + length] - holder[at]
+            for reading, (total, ok) in enumerate((
+                (totals[0], n_open >= 0),
+                (totals[1], (n_held > 0) & (length - n_held >= LEAST_PLAIN_WHOLE)),
+                (totals[2], (n_open > 0) & (length - n_held - n_open >= LEAST_PLAIN_WHOLE)),
+            )):
+                i = at[ok]
+                yield i, length, mixed((total[i + length] - total[i]) * back[i] + np.uint64(length), 1), reading
 
 
-SCHEMA = "id long, size long, place long, code long, slots array<string>"
+SCHEMA = "id long, size long, open long, place long, can boolean, whole long, code long, slots array<string>"
 
 
-def windows(rows: DataFrame, wanted=None) -> DataFrame:
-    """``(id, size, place, code, slots)`` of ``(id, text)`` rows, for all windows or for those in the sorted hashes ``wanted``.
+def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None) -> DataFrame:
+    """``(id, size, open, place, can, whole, code, slots)`` of ``(id, text)`` rows, for all windows or for those in the sorted hashes ``wanted``.
 
-    size: windows of the text. slots: kind, place in the window and value of each placeholder, empty for plain hashes."""
+    size: windows of the text, open: those that can match as a template in every reading, can: whether this one does. whole: 0, or the words of a window
+    that is a whole item; these have one of ``lengths``, or without lengths are whole texts that need one. slots: kind (O: an opener read as a name), place in the window and value of each placeholder, empty for plain hashes."""
 
     def run(batches):
         canon = Canon()
@@ -148,40 +220,59 @@ def windows(rows: DataFrame, wanted=None) -> DataFrame:
             known = wanted.value
             maybe = np.zeros(1 << 22, bool)
             maybe[known >> np.uint64(42)] = True
+
+        def hits(ok, code):
+            if wanted is None:
+                return np.flatnonzero(ok)
+            hit = np.flatnonzero(ok & maybe[code >> np.uint64(42)])
+            at = np.searchsorted(known, code[hit])
+            return hit[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code[hit])] if len(known) else hit[:0]
+
+        def slots(word, kind, at, length, named):
+            """Placeholders of the window at a word; ``named`` tells whether its opener at a place is one."""
+            return [
+                f"{'_NUCO'[kind[at + j]]}{j:05d}{canon.surface[word[at + j]]}"
+                for j in range(length)
+                if kind[at + j] != PLAIN and (kind[at + j] != OPENER or named(j))
+            ]
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 400):
                 part = batch.slice(lo, 400)
                 ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
-                text, place, template, plain, word, kind = canon.windows(texts)
+                word, kind, n_words = canon.read(texts)
+                text, place, at, template, plain, can, readings = canon.codes(word, kind, n_words)
                 sizes = np.bincount(text, minlength=len(texts))
-                out = []
-                for code, is_template in ((template, True), (plain, False)):
-                    ok = code != 0
-                    if is_template:
-                        ok &= code != plain  # without placeholders both are one
-                    if wanted is not None:
-                        ok &= maybe[code >> np.uint64(42)]
-                        hit = np.flatnonzero(ok)
-                        at = np.searchsorted(known, code[hit])
-                        hit = hit[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code[hit])] if len(known) else hit[:0]
-                    else:
-                        hit = np.flatnonzero(ok)
-                    out.append((hit, code[hit], is_template))
-                hits = np.concatenate([h for h, _, _ in out])
-                slots = [
-                    [f"{'_NUC'[k]}{j}{canon.surface[w]}" for j, (w, k) in enumerate(zip(word[i], kind[i])) if k != PLAIN] if is_template else []
-                    for h, _, is_template in out
-                    for i in h
-                ]
+                opens = np.bincount(text[can], minlength=len(texts))
+                out = []  # (text, place, can match as a template, words of a whole item, hashes, slots)
+                h = hits((template != 0) & (template != plain), template)  # without placeholders both are one
+                out.append((text[h], place[h], can[h], 0, template[h], [slots(word, kind, at[i], WINDOW, lambda j: False) for i in h]))
+                h = hits(plain != 0, plain)
+                out.append((text[h], place[h], can[h], 0, plain[h], [[]] * len(h)))
+                for i, code, names in readings:
+                    h = hits(code != 0, code)
+                    out.append((text[i[h]], place[i[h]], can[i[h]], 0, code[h], [slots(word, kind, at[k], WINDOW, lambda j: names >> j & 1) for k in i[h]]))
+                begin = np.cumsum(n_words) - n_words
+                own = np.flatnonzero((sizes == 0) | (2 * opens < sizes))  # items that need a whole window
+                for i, length, code, reading in canon.whole(word, kind, n_words, np.unique(n_words[own]).tolist() if lengths is None else lengths):
+                    of = np.searchsorted(np.cumsum(n_words), i, side="right")
+                    h = hits(code != 0, code)
+                    if lengths is None:
+                        h = h[(n_words[of[h]] == length) & np.isin(of[h], own)]
+                    out.append((of[h], (i - begin[of])[h], np.ones(len(h), bool), length, code[h], [slots(word, kind, k, length, lambda j: reading == 2) if reading else [] for k in i[h]]))
+                texts_of = np.concatenate([o[0] for o in out])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(text[hits])),
-                        pa.array(sizes[text[hits]], pa.int64()),
-                        pa.array(place[hits], pa.int64()),
-                        pa.array(np.concatenate([c for _, c, _ in out]).view(np.int64), pa.int64()),
-                        pa.array(slots, pa.list_(pa.string())),
+                        ids.take(pa.array(texts_of)),
+                        pa.array(sizes[texts_of], pa.int64()),
+                        pa.array(opens[texts_of], pa.int64()),
+                        pa.array(np.concatenate([o[1] for o in out]), pa.int64()),
+                        pa.array(np.concatenate([o[2] for o in out]), pa.bool_()),
+                        pa.array(np.repeat([o[3] for o in out], [len(o[0]) for o in out]), pa.int64()),
+                        pa.array(np.concatenate([o[4] for o in out]).view(np.int64), pa.int64()),
+                        pa.array([x for o in out for x in o[5]], pa.list_(pa.string())),
                     ],
-                    names=["id", "size", "place", "code", "slots"],
+                    names=["id", "size", "open", "place", "can", "whole", "code", "slots"],
                 )
 
     return rows.mapInArrow(run, SCHEMA)
@@ -190,38 +281,56 @@ def windows(rows: DataFrame, wanted=None) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, most_windows: int = 2_000_000, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """``(doc_id, item_id, n_windows, n_found, coverage, n_slots, n_changed, kind)`` for each item found in a document.
 
+    n_windows are all windows of the item, or only those that can match as a template where that gives the higher coverage.
     kind is ``reparameterised`` if a placeholder's value differs from the item's, else ``verbatim``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    asked = materialise(windows(items).dropDuplicates(["id", "place", "code"]), "decontam-items")
+    asked = materialise(windows(items).dropDuplicates(["id", "place", "whole", "code"]), "decontam-items")
     n = asked.count()
+    lengths = tuple(sorted(r["whole"] for r in asked.where("whole > 0").select("whole").distinct().collect()))
     wanted = None
     if n <= most_windows:
         codes = np.unique(np.array([r["code"] for r in asked.select("code").distinct().collect()], np.int64).view(np.uint64))
         wanted = spark.sparkContext.broadcast(codes)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    got = windows(rows, wanted).select(F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "code", F.col("slots").alias("doc_slots"))
-    side = asked.select(F.col("id").alias("item_id"), F.col("size").alias("n_windows"), F.col("place").alias("item_place"), "code", F.col("slots").alias("item_slots"))
-    pairs = got.join(F.broadcast(side) if wanted is not None else side, "code").withColumn("shift", F.col("doc_place") - F.col("item_place"))
-    pairs = materialise(pairs.select("doc_id", "item_id", "n_windows", "item_place", "shift", "doc_slots", "item_slots"), "decontam-pairs")
-    # one value of the item stands against one value of the document on an alignment
-    both = pairs.where(F.size("item_slots") > 0).select("doc_id", "item_id", "shift", "item_place", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
-    value = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1 << 20))
-    place = F.col("item_place") + F.substring("s.item_slots", 2, 1).cast("long")
-    slots = both.select("doc_id", "item_id", "shift", place.alias("at"), value(F.col("s.item_slots")).alias("a"), value(F.col("s.doc_slots")).alias("b")).distinct()
-    judged = slots.groupBy("doc_id", "item_id", "shift", "a").agg(F.count_distinct("b").alias("values"), F.count(F.lit(1)).alias("places"), F.sum(F.expr("if(a = b, 0, 1)")).alias("changed"))
+    got = windows(rows, wanted, lengths).select(F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "whole", "code", F.col("slots").alias("doc_slots"))
+    side = asked.select(F.col("id").alias("item_id"), F.col("size").alias("n_windows"), F.col("open").alias("n_open"), F.col("place").alias("item_place"), "can", "whole", "code", F.col("slots").alias("item_slots"))
+    pairs = got.join(F.broadcast(side) if wanted is not None else side, ["code", "whole"]).withColumn("shift", F.col("doc_place") - F.col("item_place"))
+    pairs = materialise(pairs.select("doc_id", "item_id", "n_windows", "n_open", "item_place", "can", "whole", "shift", "doc_slots", "item_slots"), "decontam-pairs")
+    # one value of the item stands against one value of the document on an alignment; names that open a sentence and whole items are optional there
+    name = lambda c: F.concat(F.translate(F.substring(c, 1, 1), "O", "C"), F.substring(c, 7, 1 << 20))
+    opener = lambda s: s["item_slots"].startswith("O") | s["doc_slots"].startswith("O")
+    both = pairs.where(F.size("item_slots") > 0).select("doc_id", "item_id", "shift", "item_place", "whole", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
+    place = F.col("item_place") + F.substring("s.item_slots", 2, 5).cast("long")
+    slots = both.groupBy("doc_id", "item_id", "shift", place.alias("at"), name(F.col("s.item_slots")).alias("a"), name(F.col("s.doc_slots")).alias("b")).agg(
+        F.min(opener(F.col("s")) | (F.col("whole") > 0)).alias("optional"), F.min(opener(F.col("s"))).alias("opener")
+    )
+    counts = (~F.col("opener") | (F.col("a") != F.col("b"))).cast("long")
+    judged = slots.groupBy("doc_id", "item_id", "shift", "a").agg(
+        F.count_distinct(F.when(~F.col("optional"), F.col("b"))).alias("values"), F.count_distinct("b").alias("every"),
+        *(F.sum(F.when(of, n_of).otherwise(0)).alias(f"{tag}_{k}") for tag, of in (("must", ~F.col("optional")), ("may", F.col("optional"))) for k, n_of in (("places", counts), ("changed", (F.col("a") != F.col("b")).cast("long")))),
+    )
+    summed = lambda k: F.sum(F.col(f"must_{k}") + F.when(F.col("every") > 1, 0).otherwise(F.col(f"may_{k}")))
     judged = judged.groupBy(F.col("doc_id").alias("j_doc"), F.col("item_id").alias("j_item"), F.col("shift").alias("j_shift")).agg(
-        F.max("values").alias("values"), F.sum("places").alias("n_slots"), F.sum("changed").alias("n_changed")
+        F.max("values").alias("values"), F.collect_set(F.when(F.col("every") > 1, F.col("a"))).alias("torn"), summed("places").alias("n_slots"), summed("changed").alias("n_changed")
     )
     keys = [F.col("doc_id").eqNullSafe(F.col("j_doc")), F.col("item_id").eqNullSafe(F.col("j_item")), F.col("shift") == F.col("j_shift")]
-    found = pairs.join(judged, keys, "left").where(F.coalesce("values", F.lit(1)) == 1)
-    by_shift = found.groupBy("doc_id", "item_id", "shift").agg(F.first("n_windows").alias("n_windows"), F.collect_set("item_place").alias("places"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
+    torn = F.exists(F.arrays_zip("item_slots", "doc_slots"), lambda s: (opener(s) | (F.col("whole") > 0)) & F.array_contains("torn", name(s["item_slots"])))
+    found = pairs.join(judged, keys, "left").where((F.coalesce("values", F.lit(1)) <= 1) & ~F.coalesce(torn, F.lit(False)))
+    at_least = lambda of: F.collect_set(F.when(of, F.col("item_place")))
+    by_shift = found.groupBy("doc_id", "item_id", "shift").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_open").alias("n_open"), F.max("whole").alias("whole"),
+        at_least(F.col("whole") == 0).alias("places"), at_least((F.col("whole") == 0) & F.col("can")).alias("open_places"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"),
+    )
+    best = F.max(F.struct((F.col("whole") > 0).alias("whole"), F.size("places").alias("n"), "n_slots", "n_changed"))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     whole = by_shift.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"),
-        F.coalesce(F.max(F.struct(F.size("places").alias("n"), "n_slots", "n_changed")).getField("n_slots"), F.lit(0)).alias("n_slots"),
-        F.coalesce(F.max(F.struct(F.size("places").alias("n"), "n_slots", "n_changed")).getField("n_changed"), F.lit(0)).alias("n_changed"),
-    )
+        F.greatest(F.max("n_windows"), F.lit(1)).alias("n_all"), F.max("n_open").alias("n_open"), F.max("whole").alias("whole"), union("places").alias("found_all"), union("open_places").alias("found_open"),
+        F.coalesce(best.getField("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(best.getField("n_changed"), F.lit(0)).alias("n_changed"),
+    )
+    by_open = (2 * F.col("n_open") >= F.col("n_all")) & (F.col("found_open") * F.col("n_all") > F.col("found_all") * F.col("n_open"))
+    whole = whole.withColumn("n_windows", F.when((F.col("whole") == 0) & by_open, F.col("n_open")).otherwise(F.col("n_all")))
+    whole = whole.withColumn("n_found", F.when(F.col("whole") > 0, F.col("n_all")).when(by_open, F.col("found_open")).otherwise(F.col("found_all")))
     whole = whole.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= least)
     return whole.select("doc_id", "item_id", "n_windows", "n_found", "coverage", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim").alias("kind"))
 

@@ -97,3 +97,26 @@ def test_planted_passages(spark):
     flat = lambda t: re.sub(r"\W+", " ", t.lower())
     want = {(d, i) for d, t in zip(*docs.values()) for i, q in zip(*items.values()) if flat(q) in flat(t)}
     assert want <= set(run(spark, list(zip(*docs.values())), list(zip(*items.values()))))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_openers_slots_and_short_items(spark, most):
+    """Names that open sentences, windows rich in slots and items under five words."""
+    tom = "Tom buys 5 pens. Tom sells 2 pens. Tom finds 3 pens. How many pens does Tom have now?"
+    items = [(1, tom), (2, "Solve 3x + 5 = 20 for x."), (3, "What is 12 + 35?"), (4, "Add 3 and 3 now"), (5, "yes"), (6, None)]
+    new = {"Tom": "Anna", "5": "8", "2": "6", "3": "4"}
+    docs = [
+        (1, re.sub("Tom|[523]", lambda m: new[m[0]], tom)),
+        (2, "Please solve 7x + 9 = 44 for x. Thanks"),
+        (3, "Quiz: what is 99 + 1? Well"),
+        (4, "We add 5 and 7 now"),
+        (5, "We add 8 and 8 now"),
+        (6, "yes, this says nothing about 7 or 9 of them"),
+        (7, tom.replace("How", "So how").lower()),
+        (8, tom.replace("Tom sells", "Eva sells")),
+    ]
+    got = run(spark, docs, items, most_windows=most)
+    kinds = {k: r["kind"] for k, r in got.items()}
+    new = "reparameterised"
+    assert kinds == {(1, 1): new, (2, 2): new, (3, 3): new, (5, 4): new, (7, 1): "verbatim", (8, 1): "verbatim"}
+    assert got[1, 1]["coverage"] == 1.0
