@@ -94,8 +94,8 @@ SIGNS = dict(zip("。․‧∙‐‑‒–—−⁃", "....-------"))
 INVISIBLE = "​‌‍⁠﻿­"
 
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Runs of spelled digits, at least three, each after white space, a hyphen, a comma or a dot.
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]{{1,3}})?(?:{_WORD})(?:[ \t,.-]{{1,3}}(?:{_WORD}|dot|point|punkt|punto|plus|dash|[0-9]{{1,3}}))+(?!\w)", re.I)
+#: Runs of spelled digits, each after white space, a hyphen, a comma or a dot, or a single one after a numeral.
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]{{1,3}})?(?:{_WORD})(?:[ \t,.-]{{1,3}}(?:{_WORD}|dot|point|punkt|punto|plus|dash|[0-9]{{1,3}}))+(?!\w)|(?<=[0-9)][ \t,.-])(?:{_WORD})(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:({_WORD})|(dot|point|punkt|punto)|(plus)|(dash))(?!\w)", re.I)
 _SPELLED_SET = frozenset(SPELLED)
 _GAP = re.compile(r"[ \t,-]{1,3}(?=[0-9])")
@@ -177,9 +177,12 @@ def _at_and_dot(r: Rewritten) -> Rewritten:
         plain_at = m[2].strip(" \t") == "@" and m[2] == "@"
         words = _DOT_WORD.search(m[1] + " " + m[3])
         bracket_at = any(c in m[2] for c in "[({<_-")
+        ending = _ENDING.search(m[3])
+        spaced_at = m[2].strip(" \t") == "@" and ending
         if plain_at and not words:
             continue
-        if not (bracket_at or words or _TLD.match(r.text, m.start(2))):  # "x at y.z" with nothing else disguised reads as prose
+        # "x at y.z" with nothing else disguised reads as prose, unless x looks like the name in an address
+        if not (bracket_at or words or spaced_at or _TLD.match(r.text, m.start(2)) or (ending and _MARKED.match(m[1]))):
             continue
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONE.finditer(r.text, m.start(1), m.end(1)) if d[0] != "."]
         edits.append((m.start(2), m.end(2), "@"))
@@ -194,6 +197,13 @@ _TLD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}(
 _RUN_OF_TWO = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.-]{{1,3}}(?:{_WORD})(?!\w)", re.I)
 _DOT_ALONE = re.compile(r"(?<!\w)(?:dot|punkt|punto|arroba)(?!\w)", re.I)
 _JOINED = re.compile(r"[_-](?:at|dot)[_-]", re.I)
+#: A last name of letters only, and a name that hardly is a word of prose: a dot, digit or underscore after a letter.
+_ENDING = re.compile(r"\.[A-Za-z]{2,}$")
+_MARKED = re.compile(r"[A-Za-z][A-Za-z%+-]*[._0-9]")
+_AT_ALONE = re.compile(r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}\.[A-Za-z0-9-])", re.I)
+_AT_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[ \t]{1,2}@[ \t]{0,2}|@[ \t]{1,2})(?=[A-Za-z0-9-]{1,64}\.[A-Za-z0-9-])")
+_BESIDE_NUMERAL = re.compile(rf"(?<=[0-9])[ \t,.()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
+_NUMERAL = re.compile("[0-9]")
 REACH = 120
 
 
@@ -205,14 +215,18 @@ def _sites(text: str) -> list[tuple[int, int]]:
         hit = [w in _SPELLED_SET for w in words]
         if any(x and y for x, y in zip(hit, hit[1:])):
             out += [m.span() for m in _RUN_OF_TWO.finditer(text)]
+        if any(x and _NUMERAL.search(" ".join(words[max(0, k - 1) : k + 2])) for k, x in enumerate(hit)):
+            out += [m.span() for m in _BESIDE_NUMERAL.finditer(text)]
     if "dot" in low or "pun" in low or "arroba" in low:
         out += [m.span() for m in _DOT_ALONE.finditer(text)]
     if "[" in low or "(" in low or "{" in low or "<" in low:
         out += [m.span() for m in _BRACKET.finditer(text)]
     if "_at_" in low or "-at-" in low or "_dot_" in low or "-dot-" in low:
         out += [m.span() for m in _JOINED.finditer(text)]
-    if " at " in low and any(t in low for t in (".com", ".org", ".net", ".edu", ".gov", ".info", ".io", ".de", ".fr", ".es", ".eu", ".uk")):
-        out += [m.span() for m in _TLD.finditer(text)]
+    if " at " in low or "\tat" in low or "at\t" in low:
+        out += [m.span() for m in _AT_ALONE.finditer(text)]
+    if " @" in low or "@ " in low or "\t@" in low or "@\t" in low:
+        out += [m.span() for m in _AT_SPACED.finditer(text)]
     if not text.isascii():
         out += [m.span() for m in _ODD.finditer(text)]
     return sorted(out)

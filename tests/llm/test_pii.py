@@ -65,3 +65,25 @@ def docs_lit():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write anna.berg @ example.com now", "email", "anna.berg @ example.com"),
+        ("write anna@ example.com now", "email", "anna@ example.com"),
+        *((f"write anna.berg at firma.{end} now", "email", f"anna.berg at firma.{end}") for end in ("ch", "it", "nl", "at", "co", "ru")),
+        ("ask sam_8\tat\tfirma.museum now", "email", "sam_8\tat\tfirma.museum"),
+        ("call +1 555 one 23 four 567 now", "phone", "+1 555 one 23 four 567"),
+        ("call +4 55 12 345 seven now", "phone", "+4 55 12 345 seven"),
+    ],
+)
+def test_disguises_without_other_signs(text, kind, found):
+    base, every = pii.spans(text)
+    assert [text[a:b] for a, b in every[kind] if (a, b) not in base[kind]] == [found]
+    assert pii.masked(text) == text.replace(found, f"[{kind.upper()}]")
+
+
+def test_prose_beside_signs_is_left_alone():
+    for text in ("meet at main.street today", "he was 5 at that.time", "look @ this", "in 2019 one of 10", "a @ b"):
+        assert not any(pii.spans(text)[1].values())
