@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a session on one machine may go without
+    it (it gets an own folder then); on a cluster its absence is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rasterlake-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +38,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/rasterlake/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has each key once and in ``size`` how many rows have it.
+
+    Keys that hold more than 1/``share`` of all rows are fewer than ``share``: that bounds what is broadcast, so a key that
+    holds a third of the rows stays where its rows are. All others meet in a shuffled join."""
+    total = side.agg(F.sum(size)).first()[0] or 0
+    hot = side.where(F.col(size) * share > total)
+    names = hot.select(F.col(key).alias("_hot"))
+    rest = rows.join(F.broadcast(names), rows[key] == F.col("_hot"), "left_anti").join(side.where(F.col(size) * share <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,13 +96,21 @@ def row_groups(offsets: np.ndarray, max_rows: int, max_bytes: int) -> Iterator[t
         lo = hi
 
 
+def _with_least(rows: DataFrame, least: DataFrame, total: int, share: int = 1000, salts: int = 64) -> DataFrame:
+    """``rows`` joined with ``least`` (u, m, n) on u; rows of a u with more than 1/``share`` of all are dealt over ``salts`` tasks.
+    Such u are fewer than ``share``, which bounds the broadcast."""
+    heavy = F.broadcast(least.where(F.col("n") * share > total).select("u", F.lit(True).alias("heavy")))
+    dealt = rows.join(heavy, "u", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("v"), F.lit(salts))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(F.col("n") * share > total, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(least.select("u", "m", F.explode(copies).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of links ``(a, b)`` by alternating large-star and small-star rounds.
 
     Returns ``(node, root)`` for each node that has a link to another, root being the
     smallest node reachable. Every round is one Spark job over a Parquet table in the
-    shared folder; only two numbers (count and checksum) come to the driver.
-    """
+    shared folder, which replaces that of the round before; only two numbers (count and checksum) come to the driver."""
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links, state = materialise(links, tag), None
     for _ in range(max_rounds):
@@ -87,12 +119,13 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
             break
         state = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both.where("v > u"), low, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, low, now[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # a node whose smallest neighbour is the only one keeps (u, m); otherwise (u, m) comes from the row v == m
-        links = materialise(small.where(F.col("u") != F.col("v")).distinct(), tag)
+        before, links = links, materialise(small.where(F.col("u") != F.col("v")).distinct(), tag)
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,15 +9,16 @@ these triples, so no pair with 4 shared bytes is lost, and a list holds 1/2^24 o
 fingerprints. For each pair of a list the shared positional bytes are tallied, pairs
 under the minimum of 4 are dropped, the rest is verified by the differing bits.
 
-``WIDE`` is the same index for looser copies: 256 bits, linked at 44 differing bits (pairs of Jaccard similarity
-0.8 on shingles differ in 39 on average), postings for 48 pairs of byte positions, and at least 3
-of 32 bytes shared. So many bits can touch every byte, so nothing is guaranteed there; a pair with similarity 0.8 shares
-no posting with probability 0.03, one with 0.85 with 0.004, and chains through other copies make up for it.
+``WIDE`` finds texts of similar shingle sets. 64 bits are too few for similarity 0.8, so it takes 256 (a pair of
+Jaccard similarity 0.8 differs in 39 on average, by 5.7), postings for 96 pairs of byte positions (measured: such a pair
+shares none with probability 0.03, one of similarity 0.83 with 0.01) and candidates up to 54 differing bits. So many bits can touch every byte, so the
+minimum of 3 shared bytes is calibrated there, not guaranteed. Each candidate is then verified on the texts' own
+shingle sets: only pairs of Jaccard similarity ``similarity`` or more are links.
 
-Copies share one fingerprint and are one row of the index. A list longer than
-``chunk`` is split into chunks and compared chunk pair by chunk pair in different
-tasks. A task reports a spanning forest of the links it found (a row per fingerprint
-at most), never the pairs, so groups of near copies cost rows in proportion to their size.
+Copies are one row of the index. A list longer than ``chunk`` is split into chunks and compared chunk
+pair by chunk pair in different tasks. A task reports a minimum spanning forest of the pairs it found, by differing bits (a row
+per fingerprint at most), never all pairs, so groups of near copies cost rows in proportion to their size; any two
+texts of a list are joined there by steps that differ in no more bits than they do themselves.
 
 Defined results: null, empty or blank text has fingerprint 0 and is linked like any
 other; repeated rows each get their row; a null doc_id takes part in links but never
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm._common import components, materialise
+from rasterlake.llm._common import components, join_hot, materialise
 
 MAX_BITS = 4
 SEED = 42
@@ -44,13 +45,15 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Plan:
-    """Fingerprint of ``words`` 64-bit words, links at ``max_bits`` or fewer differing bits, at least ``min_shared``
-    equal bytes, and postings keyed by the bytes at each of ``positions``."""
+    """Fingerprint of ``words`` 64-bit words, candidates at ``max_bits`` or fewer differing bits, at least ``min_shared``
+    equal bytes, and postings keyed by the bytes at each of ``positions``. Links are all candidates, or those of
+    Jaccard similarity ``similarity`` or more."""
 
     words: int
     max_bits: int
     min_shared: int
     positions: tuple[tuple[int, ...], ...]
+    similarity: float | None = None
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -63,36 +66,50 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int, n_words: int = 1) -> list[int]:
-    """Majority bits of XXH64 over all shingles of ``width`` words, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of all shingles of ``width`` words, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()  # bytes: lowers A-Z only and splits at 0x20, 0x09-0x0D only
     if not words:
-        return [0] * n_words
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if n > 1 or len(words) == width else [b" ".join(words)]
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+
+
+def majority(hashes: np.ndarray, n_words: int = 1) -> list[int]:
+    """Majority bits of the hashes; 0 without any."""
     out = []
     for k in range(n_words):
         ones = np.zeros(64, np.int64)
-        for lo in range(0, n, 1 << 15):
+        for lo in range(0, len(hashes), 1 << 15):
             part = mixed(hashes[lo : lo + (1 << 15)], k)
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, n_words: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, f0, ...)`` for each row, words as signed longs."""
-    names = ["doc_id", *(f"f{k}" for k in range(n_words))]
+def fingerprint(text: bytes, width: int, n_words: int = 1) -> list[int]:
+    return majority(shingle_hashes(text, width), n_words)
+
+
+def fingerprints(docs: DataFrame, width: int, plan: Plan, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, h, f0, ..., s)`` for each row as longs: h is a hash of the text, the f are the fingerprint's words, s is
+    a hash of the set of shingles (0 where links need bits alone)."""
+    names = ["doc_id", "h", *(f"f{k}" for k in range(plan.words)), "s"]
+
+    def one(t: bytes | None) -> list[int]:
+        hashes = shingle_hashes(t or b"", width)
+        return majority(hashes, plan.words) + [xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) if plan.similarity else 0]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", width, n_words) for t in texts], np.uint64).reshape(len(texts), n_words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy(), pa.int64()) for k in range(n_words))], names=names)
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            fps = np.array([one(t) for t in texts], np.uint64).reshape(len(texts), plan.words + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.copy(), pa.int64()) for c in fps.T)], names=names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    content = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("h"), content.alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -106,7 +123,8 @@ def position_triples() -> list[tuple[int, int, int]]:
 
 
 EXACT = Plan(1, MAX_BITS, 8 - MAX_BITS, tuple(position_triples()))
-WIDE = Plan(4, 44, 3, tuple([(2 * i, 2 * i + 1) for i in range(16)] + [(i, i + 16) for i in range(16)] + [(i, i + 2) for i in range(32) if i % 4 < 2]))
+#: Pairs of byte positions 1, 16, 2, 8, 4 and 5 apart, no position more than seven times.
+WIDE = Plan(4, 54, 3, tuple([(i, i + d) for d in (1, 16, 2, 8, 4) for i in range(32) if i // d % 2 == 0] + [(i, i + 5) for i in range(16)]), 0.8)
 
 
 def _byte(position: int):
@@ -123,43 +141,66 @@ def _postings(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("id", *(f"f{k}" for k in range(plan.words)), F.explode(F.array(*keys)).alias("key"))
 
 
-def _close(one: np.ndarray, many: np.ndarray, plan: Plan) -> np.ndarray:
-    """Tally of shared positional bytes, then the differing bits."""
+def _bits(one: np.ndarray, many: np.ndarray, plan: Plan) -> np.ndarray:
+    """Differing bits, or more than any where too few positional bytes are shared."""
     x = np.ascontiguousarray(np.bitwise_xor(one, many))
-    ok = (x.view(np.uint8).reshape(len(x), 8 * plan.words) == 0).sum(1) >= plan.min_shared
-    ok[ok] = np.bitwise_count(x[ok]).sum(1, dtype=np.int64) <= plan.max_bits
-    return ok
-
-
-def spanning(ids: np.ndarray, fps: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
-    """(id, smallest linked id of its local component) for one posting list, fingerprints distinct."""
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], fps[order].view(np.uint64)
-    left, out = np.arange(len(v)), []
-    while len(left) > 1:
-        seed, left = left[0], left[1:]
-        queue = [seed]
-        while queue and len(left):
-            hit = _close(v[queue.pop()], v[left], plan)
-            if hit.any():
-                found, left = left[hit], left[~hit]
-                queue.extend(found.tolist())
-                out.extend((int(a), int(ids[seed])) for a in ids[found])
+    few = (x.view(np.uint8).reshape(len(x), 8 * plan.words) == 0).sum(1) < plan.min_shared
+    return np.where(few, 1 << 20, np.bitwise_count(x).sum(1, dtype=np.int64))
+
+
+def grown(v: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """Minimum spanning forest (pairs of places) of one long list: trees grow by the nearest fingerprint."""
+    out, now, left = [], 0, np.arange(1, len(v))
+    best, parent = np.full(len(v), 1 << 20), np.zeros(len(v), np.int64)
+    while len(left):
+        d = _bits(v[now], v[left], plan)
+        near = d < best[left]
+        best[left[near]], parent[left[near]] = d[near], now
+        k = int(best[left].argmin())
+        now, left = int(left[k]), np.delete(left, k)
+        if best[now] <= plan.max_bits:
+            out.append((now, int(parent[now])))
     return out
 
 
+def forests(key: np.ndarray, v: np.ndarray, plan: Plan, most: int = 64) -> np.ndarray:
+    """Spanning pairs (places) of all lists, rows of a list being neighbours with equal ``key``. Lists of up to ``most`` rows go
+    through together, all rows d places apart at a time; close pairs are few, and join from the nearest on."""
+    edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+    lo, hi = np.r_[0, edge], np.r_[edge, len(v)]
+    short = hi - lo <= most
+    out = [(s + i, s + j) for s, t in zip(lo[~short].tolist(), hi[~short].tolist()) for i, j in grown(v[s:t], plan)]
+    end = np.repeat(hi, hi - lo)
+    at, found = np.flatnonzero(np.repeat(short, hi - lo)), []
+    for d in range(1, most):
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        bits = _bits(v[at], v[at + d], plan)
+        ok = bits <= plan.max_bits
+        found.append(np.c_[bits[ok], at[ok], at[ok] + d])
+    found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (r := root.get(i, i)) != i:
+            root[i] = i = root.get(r, r)
+        return i
+
+    for _, i, j in found[found[:, 0].argsort(kind="stable")].tolist():
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _matcher(plan: Plan):
     """Batches sorted by (key, block): handle each run of equal keys once it is complete."""
 
     def runs(k, v):
-        edge = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        lo, hi = np.r_[0, edge], np.r_[edge, len(v)]
-        two = lo[hi - lo == 2]
-        ok = _close(v[two, 1:].view(np.uint64), v[two + 1, 1:].view(np.uint64), plan)
-        pairs = [np.c_[v[two][ok, 0], v[two + 1][ok, 0]]]
-        pairs += [np.array(e, np.int64) for s, t in zip(lo[hi - lo > 2], hi[hi - lo > 2]) if (e := spanning(v[s:t, 0], np.ascontiguousarray(v[s:t, 1:]), plan))]
-        pairs = np.concatenate(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, c].copy(), pa.int64()) for c in (0, 1)], names=["a", "b"])
+        pairs = forests(k, np.ascontiguousarray(v[:, 1:]).view(np.uint64), plan)
+        return pa.RecordBatch.from_arrays([pa.array(v[pairs[:, c], 0], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     def run(batches):
         keep_k, keep_v = np.zeros((0, 2), np.int64), np.zeros((0, plan.words + 1), np.int64)
@@ -178,7 +219,7 @@ def _matcher(plan: Plan):
 
 
 def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFrame:
-    """Spanning links ``(a, b)`` between the ids of distinct fingerprints: same components as all pairs that meet in a list."""
+    """Spanning candidates ``(a, b)`` between the ids of classes: same components as all pairs that meet in a list."""
     post = _postings(classes, plan)
     # written first: its size is then known (a row for each ``chunk`` postings at most), and a small one costs the postings no shuffle
     long_lists = materialise(post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), "simhash-long")
@@ -191,31 +232,79 @@ def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFram
     return spread.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_matcher(plan), "a long, b long")
 
 
+def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str) -> DataFrame:
+    """The candidates whose classes have shingle sets of Jaccard similarity ``plan.similarity`` or more. Sets are made of the texts of
+    classes that have a candidate, and travel to its pairs."""
+    pairs = materialise(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("h"))
+    content = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("text_hash"))
+    # the side of asked classes grows with the input: a shuffled join at every size
+    side = asked.hint("merge")
+    texts = rows.join(side, rows["doc_id"].eqNullSafe(side["d"]) & (rows["text_hash"] == side["h"])).select("id", "text")
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "w"])
+
+    known = materialise(texts.mapInArrow(sets, "id long, w binary").groupBy("id").agg(F.first("w").alias("w")), "simhash-sets")
+
+    def compare(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= plan.similarity * max(len(x), len(y)) else 0
+                ok.append(both >= plan.similarity * (len(x) + len(y) - both) and both > 0)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (known.select(F.col("id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
+
+
+def classified(docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(doc_id, h, f0, ..., id)``, classes ``(id, n, root)`` and components ``(root, classes, first)``; first is the row (doc_id, h) with the
+    smallest doc_id, then the smallest text hash, one with a doc_id before one without."""
+    names = [f"f{k}" for k in range(plan.words)]
+    one = F.xxhash64(*names, "s") if plan.similarity else F.col("f0")  # a class's number
+    rows = materialise(fingerprints(docs, width, plan, text, doc_id).withColumn("id", one), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    classes = materialise(rows.groupBy("id", *names).agg(first, F.count(F.lit(1)).alias("n")), "simhash-classes")
+    found = links(classes, plan)
+    if plan.similarity:
+        found = verified(found, classes, docs, width, plan, text, doc_id)
+    roots = components(found, "simhash-links")
+    named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"))
+    named = materialise(named, "simhash-named")
+    return rows, named, named.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, plan: Plan = EXACT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row; fp is the first fingerprint word, component_id the smallest doc_id reachable by links."""
-    names = [f"f{k}" for k in range(plan.words)]
-    one = F.col("f0") if plan.words == 1 else F.xxhash64(*names)  # a class's number
-    rows = materialise(fingerprints(docs, width, plan.words, text, doc_id).withColumn("id", one), "simhash-rows")
-    classes = materialise(rows.groupBy("id", *names).agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    roots = components(links(classes, plan), "simhash-links")
-    named = classes.join(roots, classes.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    final = named.join(smallest, "root").select("id", "component_id")
-    return rows.join(final, "id").select("doc_id", F.col("f0").alias("fp"), "component_id")
+    rows, named, smallest = classified(docs, width, plan, text, doc_id)
+    smallest = materialise(smallest.select("root", "classes", F.col("first.doc_id").alias("component_id")), "simhash-components")
+    final = materialise(join_hot(named.select("id", "n", "root"), smallest, "root", "classes").select("id", "n", "component_id"), "simhash-final")
+    return join_hot(rows.select("doc_id", "f0", "id"), final, "id", "n").select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, plan: Plan = EXACT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with all their columns that stay: of each component the one with its smallest doc_id.
-
-    Rows that share that doc_id are copies of one document, of which one stays. Where
-    a component has no doc_id at all, rows with a null doc_id stay, once for each text."""
-    found = near_duplicates(docs, width, plan, text, doc_id)
-    first = materialise(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("first_id")).agg(F.count(F.lit(1)).alias("n")), "simhash-first")
-    # the side of kept ids grows with the input: a shuffled join at every size
-    side = first.select("first_id").hint("merge")
-    kept = docs.join(side, docs[doc_id] == side["first_id"], "left_semi")
-    if first.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
-    if found.where(F.col("component_id").isNull()).limit(1).count():
-        kept = kept.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
-    return kept
+    """The rows of ``docs`` with all their columns that stay, one of each component: the one with the smallest doc_id (a row without one
+    stays only where the whole component has none), then with the smallest hash of its text, then the smallest in
+    all its columns, in their order. Rows of one doc_id with texts that are no copies are documents of their own."""
+    rows, _, smallest = classified(docs, width, plan, text, doc_id)
+    first = materialise(smallest.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "simhash-first")
+    same = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"))
+    again = lambda how: first.join(same, F.col("first_id").eqNullSafe(F.col("r_id")) & (F.col("first_h") == F.col("r_h")), how)
+    repeated = materialise(again("left_semi"), "simhash-repeated")
+
+    def of(keys: DataFrame) -> DataFrame:
+        # the side of kept rows grows with the input: a shuffled join at every size
+        keys = keys.hint("merge")
+        return docs.join(keys, docs[doc_id].cast("long").eqNullSafe(keys["first_id"]) & (F.xxhash64(docs[text].cast("string")) == keys["first_h"]), "left_semi")
+
+    if not repeated.limit(1).count():
+        return of(first)
+    row = F.struct(*(docs[c] for c in docs.columns))
+    chosen = of(repeated).groupBy(docs[doc_id].alias("_id"), F.xxhash64(docs[text].cast("string")).alias("_h")).agg(F.min(row).alias("_row"))
+    return of(again("left_anti")).unionByName(chosen.select("_row.*"))

@@ -43,10 +43,10 @@ def test_quality(spark, steps):
 
 
 def test_deduplication(steps):
-    """Survivors against all pairs of 256-bit fingerprints; shingle similarity 0.8 and more must not survive together."""
+    """Survivors against all pairs of shingle sets: components of similarity 0.8 and more, one document each."""
     before, after = steps[1]
     rows = before.select("doc_id", "text").toPandas()
-    fps = np.array([simhash.fingerprint(t.encode(), 5, 4) for t in rows.text], np.uint64)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in rows.text]
     root = list(range(len(rows)))
 
     def find(i):
@@ -55,8 +55,9 @@ def test_deduplication(steps):
         return i
 
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]).sum(1, dtype=int) <= 44):
-            root[max(find(i), find(int(j)))] = min(find(i), find(int(j)))
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
     want = {min(rows.doc_id[k] for k in range(len(rows)) if find(k) == r) for r in {find(k) for k in range(len(rows))}}
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(want)
 
@@ -95,11 +96,20 @@ def test_packing(steps):
 
 
 def test_keep_first_edges(spark):
-    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "A b c d e f", "x"), (None, "g h i j k", "x"), (None, "g h i j k", "x"), (3, None, "x"), (4, "", "x")]
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "w"), (2, "A b c d e f", "x"), (None, "g h i j k", "x"), (None, "g h i j k", "x"), (3, None, "x"), (4, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, first_id string")
-    kept = simhash.keep_first(docs).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "None"] and kept[0].__fields__ == docs.columns
-    assert simhash.keep_first(docs.limit(0)).count() == 0
+    for plan in (simhash.EXACT, simhash.WIDE):
+        kept = simhash.keep_first(docs, plan=plan).collect()
+        assert sorted((str(r["doc_id"]), r["first_id"]) for r in kept) == [("1", "w"), ("3", "x"), ("None", "x")] and kept[0].__fields__ == docs.columns
+        assert simhash.keep_first(docs.limit(0), plan=plan).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(5, a), (5, b), (6, b), (None, a), (None, "quite another text of seven words here")], "doc_id long, text string")
+    for plan in (simhash.EXACT, simhash.WIDE):
+        kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_first(docs, plan=plan).collect())
+        assert kept == sorted([("5", a), ("5", b), ("None", "quite another text of seven words here")])
 
 
 def test_run(spark):

@@ -95,6 +95,9 @@ def test_wide_plan_finds_similar_texts(spark):
             group.append((base, shingles(copy)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE).collect()}
     assert all(group[d][0] == group[c][0] for d, c in got.items())
+    near = {i: {j for j in range(len(rows)) if len(group[i][1] & group[j][1]) >= 0.8 * len(group[i][1] | group[j][1])} for i in range(len(rows))}
+    for i in range(len(rows)):  # every link is exact: a document that is not first has another of its component at 0.8 or more
+        assert got[i] == i or any(j != i and got[j] == got[i] for j in near[i])
     linked = [got[i] == got[j] for i in range(len(rows)) for j in range(i) if group[i][0] == group[j][0] and len(group[i][1] & group[j][1]) >= 0.8 * len(group[i][1] | group[j][1])]
     assert len(linked) > 50 and np.mean(linked) > 0.95
     fps = np.array([simhash.fingerprint(t.encode(), 5, 4) for _, t in rows], np.uint64)
@@ -109,3 +112,33 @@ def test_triples_cover_all_fours():
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lone_pairs_around_the_threshold(spark):
+    """Pairs without a third copy to chain through: at 0.8 and more they are links, under 0.8 they never are."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    rows, alike = [], []
+    for k in range(300):
+        words = rng.choices(vocab, k=rng.randint(120, 400))
+        copy, shingles = list(words), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        goal = rng.uniform(0.7, 0.9)
+        while (j := len(shingles(words) & shingles(copy)) / len(shingles(words) | shingles(copy))) > goal:
+            copy[rng.randrange(len(copy))] = rng.choice(vocab)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        alike.append(j)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE).collect()}
+    linked = np.array([got[2 * k + 1] == 2 * k for k in range(300)])
+    alike = np.array(alike)
+    assert all(got[2 * k] == 2 * k for k in range(300)) and not linked[alike < 0.8].any()
+    assert linked[alike >= 0.8].mean() >= 0.97
+
+
+def test_forest_is_minimal():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 1 << 62, (90, 4)).astype(np.uint64)
+    v[30:] = v[rng.integers(0, 30, 60)] ^ (np.uint64(1) << rng.integers(0, 62, (60, 4)).astype(np.uint64))
+    key = np.zeros((90, 2), np.int64)
+    plan = simhash.WIDE
+    bits = lambda e: sorted(int(np.bitwise_count(v[i] ^ v[j]).sum()) for i, j in e)
+    assert bits(simhash.forests(key, v, plan, most=100)) == bits(simhash.grown(v, plan)) and len(simhash.grown(v, plan)) > 40
