@@ -37,69 +37,64 @@ from rasterlake.llm._common import materialise
 MAX_LEN = 2048
 SEPARATOR = 0
 #: The tokenizer's own normaliser turns white space into one space and lowers letters, its splitter drops white space,
-#: and no rule spans it: so a text's ids are those of its chunks between white space, one after the other.
-#: Texts with characters for which this or lowering A-Z first would not hold are encoded whole: control characters
-#: that only Python takes for white space, combining marks.
-ODD = re.compile("[\x1c-\x1f\u0300-\u036f]")
-#: Letters, then signs: the splitter always cuts between the two.
-WORD_AND_SIGNS = re.compile(r"([a-z]+)([^\w\s']+)")
+#: and no rule spans it: so a text's ids are those of its chunks between ASCII white space, one after the other.
+#: Texts with combining marks are encoded whole: composing and lowering A-Z first need not commute there.
+COMBINING = re.compile(rb"\xcc|\xcd[\x80-\xaf]")
+#: Letters of Latin-1, which the normaliser only lowers, then signs: the splitter always cuts between the two.
+LETTERS_AND_SIGNS = re.compile(rb"([a-z]*+(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][a-z]*+)*+)([!-&(-/:-@\[-`{-~]*+)")
 
 
-class ChunkTokenizer:
-    """Ids of whole texts from a tokenizer file's contents, with bounded caches of chunks and their words."""
+def byte_letters() -> dict[int, str]:
+    """The printable character for each byte in the vocabularies of byte-level tokenizers."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    def __init__(self, content: str, most: int = 400_000):
+
+class ChunkTokenizer(dict):
+    """Ids of whole texts from a tokenizer file's contents. The dictionary itself is the bounded cache: chunk (UTF-8,
+    A-Z lowered) to its ids as little-endian unsigned 32-bit numbers; a chunk is learnt when it is first looked up."""
+
+    def __init__(self, content: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_str(content), most
+        self.tokens, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        """Runs of a-z are one piece for the splitter and go to the model at once; others are encoded together, and
-        the offsets tell which ids belong to which word."""
-        plain, tokens, as_bytes = [w for w in words if w.isascii() and w.isalpha()], self.tokenizer.model.tokenize, self.id_bytes
-        for w in plain:
-            self.words[w] = b"".join([as_bytes[t.id] for t in tokens(w)])
-        words = [w for w in words if not (w.isascii() and w.isalpha())]
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            ends = np.searchsorted(at, starts + sizes, side="left")
-            ids = np.array(got.ids, "<u4")
-            first = 0
-            for w, end in zip(part, ends.tolist()):
-                self.words[w] = ids[first:end].tobytes()
-                first = end
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        cut = [(c, m.groups() if (m := WORD_AND_SIGNS.fullmatch(c)) else (c,)) for c in new]
-        self._encode(list({w for _, parts in cut for w in parts if w not in self.words}))
-        for c, parts in cut:
-            self.chunks[c] = b"".join(self.words[w] for w in parts)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        odd = [bool(ODD.search(t)) for t in texts]
-        split = [[] if o else t.encode().lower().decode().split() for t, o in zip(texts, odd)]
-        known = self.chunks
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.most:
-            new = list({w for words in split for w in words})
-        self._learn(new)
-        get = known.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(get, words))
-            for t, o, words in zip(texts, odd, split)
-        ]
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        m = LETTERS_AND_SIGNS.fullmatch(chunk)
+        if not m or not m[1]:
+            ids = self.whole(chunk)
+        elif m[2]:
+            ids = self[m[1]] + self[m[2]]
+        else:  # one piece for the splitter
+            word = chunk.decode("ascii") if chunk.isascii() else chunk.decode().lower().encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.id_bytes[t.id] for t in self.tokens(word)])
+        self[chunk] = ids
+        return ids
+
+    def whole(self, text: bytes) -> bytes:
+        return b"".join(map(self.id_bytes.__getitem__, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids))
+
+    def ids(self, text: bytes) -> bytes:
+        if not text.isascii() and COMBINING.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+_READY: dict[str, ChunkTokenizer] = {}
+
+
+def ready(content: str) -> ChunkTokenizer:
+    """The tokenizer of this Python worker, with what earlier tasks learnt."""
+    if content not in _READY:
+        _READY.clear()
+        _READY[content] = ChunkTokenizer(content)
+    return _READY[content]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -109,19 +104,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, text: s
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        tokenizer, end = ChunkTokenizer(content.value), np.array([SEPARATOR], "<u4").tobytes()
+        tokenizer, end = ready(content.value), SEPARATOR.to_bytes(4, "little")
+        size = 4 * max_len
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows = []
-                for key, ids in zip(part.column(0).to_pylist(), tokenizer.ids([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * max_len)):
-                        cut = ids[at : at + 4 * max_len]
-                        rows.append((key, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                cols = list(zip(*rows))
+                sizes, crcs, count = [], [], []
+                for text in part.column(1).cast(pa.binary()).to_pylist():
+                    ids = tokenizer.ids(text or b"") + end
+                    cuts = [ids[at : at + size] for at in range(0, len(ids), size)] if len(ids) > size else [ids]
+                    count.append(len(cuts))
+                    sizes += map(len, cuts)
+                    crcs += map(zlib.crc32, cuts)
+                count = np.array(count)
+                first = np.repeat(np.cumsum(count) - count, count)
+                piece = np.arange(len(sizes)) - first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    [part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(piece.astype(np.int32)), pa.array(piece * max_len), pa.array(np.array(sizes) // 4), pa.array(np.array(crcs, np.int64))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

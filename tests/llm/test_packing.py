@@ -49,10 +49,33 @@ def test_ids_of_documents():
     content = open(vocabulary()).read()
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
     whole = Tokenizer.from_str(content)
-    chunks = packing.ChunkTokenizer(content, most=3000)
-    for lo in range(0, len(texts), 20):
-        for t, got in zip(texts[lo : lo + 20], chunks.ids(texts[lo : lo + 20])):
-            assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    for most in (50, 800_000):  # a cache that starts anew all the time gives the same ids
+        chunks = packing.ChunkTokenizer(content, most)
+        for t in texts:
+            assert np.frombuffer(chunks.ids(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert len(chunks) <= max(most, 1) + 3 or most > 50
+
+
+def test_fuzz_against_tokenizer():
+    from tokenizers import Tokenizer
+
+    content = open(vocabulary()).read()
+    whole, chunks = Tokenizer.from_str(content), packing.ChunkTokenizer(content, 5000)
+    odd = "é ñ ß ÿ × ÷ É Ÿ Å İ ſ K Å \u0301 \u0307 \u00a0 \u2003 \x1c \x85 ’ 中 한 🙂 \u200d µ ª Σ ς 's 'll \u0345 \u1100 \u1161 ² ½ <|endoftext|> </w>".split(" ")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choices([*"abcXYZ  '.,-_!09 \n\t", *odd], k=rng.randint(0, 14)))
+        assert np.frombuffer(chunks.ids(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_cut_at_the_real_length(spark):
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"word{k % 977} é{k % 31}," for k in range(3000))
+    ids = np.array([*Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    got = sorted(packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), vocabulary()).collect(), key=lambda r: r["piece"])
+    assert [(r["piece"], r["start"], r["length"]) for r in got] == [(k, at, min(2048, len(ids) - at)) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in got]
 
 
 def slow_best_fit(histogram, max_len):
