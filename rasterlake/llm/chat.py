@@ -4,14 +4,18 @@ Each turn becomes ``### role:`` newline, text, newline, ``</turn>`` newline. Bac
 and newline too inside roles) get a backslash before them, so no text can contain a
 marker, and removing one backslash before each escaped character gives it back.
 
-Prefix sums of turn tokens (estimated as bytes of the formatted turn over ``bytes_per_token``) choose
-spans: with r tokens of room, a turn that starts and ends inside the k-th stretch of r tokens
+Prefix sums of turn tokens choose spans: with r tokens of room, a turn that starts and ends inside the k-th stretch of r tokens
 belongs to span k, and a turn that crosses a stretch's end is a span of its own. So spans are whole
 turns and hold at most r tokens, except a single turn that alone holds more. A window is a
 span after the leading system turn and as many turns before the span as fit into ``history``
-tokens; room is what these leave of ``budget``. Repeated turns are never under the loss mask,
+tokens; room is what these leave of ``budget``. No window exceeds the budget but one whose new turn alone does: a system turn
+that leaves less than ``LEAST_ROOM`` is a window of its own and not repeated, and before a turn that is too long for them
+the history goes first, then the system turn. Repeated turns are never under the loss mask,
 which covers the text of every assistant turn exactly once.
 
+Tokens are counted exactly by ``count_tokens``: runs of ASCII letters, single digits, and single other characters that are
+no white space (a column function; another one can be given).
+
 One shuffle by conv_id serves the prefix sums, the windows and the read-back. A conversation is
 read in one task because its order is its meaning; its history per turn is bounded by ``history``.
 
@@ -26,11 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUDGET, HISTORY, LEAST_ROOM, BYTES_PER_TOKEN = 512, 128, 64, 4
+BUDGET, HISTORY, LEAST_ROOM = 512, 128, 64
+TOKEN = r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0D0-9A-Za-z]"
 #: Inside an escaped text a backslash stands before every <, so a newline never does.
 END = "\n</turn>\n"
 
 
+def count_tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\<#])", r"\\$1")
 
@@ -43,7 +52,7 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, bytes_per_token: int = BYTES_PER_TOKEN) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=count_tokens) -> DataFrame:
     """``(conv_id, window, formatted, n_turns, n_repeated, loss)``: loss is an array of (start, length) in code
     points of formatted; the first n_repeated turns of a window are repeated from earlier ones."""
     head = F.concat(F.lit("### "), escape_role(F.coalesce(F.col("role").cast("string"), F.lit(""))), F.lit(":\n"))
@@ -52,29 +61,32 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     turns = turns.select("conv_id", "turn", "role", F.length("head").alias("skip"), F.length("body").alias("size"), F.concat("head", "body", F.lit(END)).alias("seg"))
     order = Window.partitionBy("conv_id").orderBy("turn", "seg")
     whole, so_far = Window.partitionBy("conv_id"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = F.ceil(F.octet_length("seg") / F.lit(bytes_per_token)).cast("long")
-    turns = turns.withColumn("idx", F.row_number().over(order)).withColumn("tokens", tokens)
+    turns = turns.withColumn("tokens", tokens(F.col("seg"))).withColumn("idx", F.row_number().over(order))
     turns = turns.withColumn("sys", F.coalesce((F.col("idx") == 1) & (F.col("role") == "system"), F.lit(False)))
     turns = turns.withColumn("at", F.sum(F.when(F.col("sys"), 0).otherwise(F.col("tokens"))).over(so_far) - F.col("tokens"))
     turns = turns.withColumn("chars", F.sum(F.length("seg")).over(so_far) - F.length("seg"))
     turns = turns.withColumn("at", F.when(F.col("sys"), F.lit(-(10**15))).otherwise(F.col("at")))
-    turns = turns.withColumn("sys_seg", F.max(F.when(F.col("sys"), F.col("seg"))).over(whole)).withColumn("sys_tokens", F.coalesce(F.max(F.when(F.col("sys"), F.col("tokens"))).over(whole), F.lit(0)))
-    turns = turns.withColumn("room", F.greatest(F.lit(budget - history) - F.col("sys_tokens"), F.lit(LEAST_ROOM)))
+    again = F.col("sys") & (F.col("tokens") <= budget - history - LEAST_ROOM)  # a system turn that windows can repeat
+    turns = turns.withColumn("sys_seg", F.max(F.when(again, F.col("seg"))).over(whole)).withColumn("sys_tokens", F.coalesce(F.max(F.when(again, F.col("tokens"))).over(whole), F.lit(0)))
+    turns = turns.withColumn("second", F.coalesce(F.max(F.when(F.col("idx") == 2, F.col("tokens"))).over(whole), F.lit(0)))
+    turns = turns.withColumn("room", F.lit(budget - history) - F.col("sys_tokens"))
     cell = F.floor(F.col("at") / F.col("room")).cast("long")
     turns = turns.withColumn("span", F.when(~F.col("sys"), 2 * cell + F.when(F.col("at") + F.col("tokens") > (cell + 1) * F.col("room"), 1).otherwise(0)))
-    turns = turns.withColumn("span", F.coalesce("span", F.min("span").over(whole), F.lit(0)))
+    # the system turn goes with the first span if both fit
+    turns = turns.withColumn("span", F.coalesce("span", F.when(again & (F.col("tokens") + F.col("second") <= budget), F.min("span").over(whole)), F.lit(-1)))
     near = Window.partitionBy("conv_id").orderBy("at").rangeBetween(-history, -1)
-    turns = turns.withColumn("past", F.collect_list("seg").over(near))
+    turns = turns.withColumn("past", F.collect_list("seg").over(near)).withColumn("past_tokens", F.coalesce(F.sum("tokens").over(near), F.lit(0)))
     spans = turns.groupBy("conv_id", "span").agg(
         F.array_sort(F.collect_list(F.struct("idx", "chars", "skip", "size", "seg", (F.col("role") == "assistant").alias("learn")))).alias("new"),
-        F.min_by("past", "idx").alias("past"),
-        F.max(F.when(~F.col("sys"), F.col("sys_seg"))).alias("sys_seg"),
+        F.min_by(F.struct("past", "past_tokens", "sys_seg", "sys_tokens"), "idx").alias("old"),
         F.max("sys").alias("has_sys"),
+        F.sum("tokens").alias("own"),
     )
-    first = F.when(F.col("has_sys"), F.lit("")).otherwise(F.coalesce("sys_seg", F.lit("")))
-    repeated = F.when(F.col("has_sys"), 0).otherwise(F.when(F.col("sys_seg").isNotNull(), 1).otherwise(0) + F.size("past"))
-    past = F.when(F.col("has_sys"), F.lit("")).otherwise(F.array_join("past", ""))
-    spans = spans.withColumn("before", F.concat(first, past)).withColumn("n_repeated", repeated.cast("long"))
+    with_sys = ~F.col("has_sys") & F.col("old.sys_seg").isNotNull() & (F.col("old.sys_tokens") + F.col("own") <= budget)
+    with_past = ~F.col("has_sys") & (F.col("old.sys_tokens") + F.col("old.past_tokens") + F.col("own") <= budget)
+    none = F.array().cast("array<string>")
+    repeated = F.concat(F.when(with_sys, F.array("old.sys_seg")).otherwise(none), F.when(with_past, F.col("old.past")).otherwise(none))
+    spans = spans.withColumn("old", repeated).withColumn("before", F.array_join("old", "")).withColumn("n_repeated", F.size("old").cast("long"))
     base = F.length("before").cast("long") - F.col("new")[0]["chars"]
     loss = F.transform(F.filter("new", lambda t: F.coalesce(t["learn"], F.lit(False))), lambda t: F.struct((base + t["chars"] + t["skip"]).cast("long").alias("start"), t["size"].cast("long").alias("length")))
     return spans.select(
@@ -113,21 +125,26 @@ WITH c AS (
 ), s AS (
   SELECT *, '### ' || regexp_replace(role, '([\\<#:\n])', '\\\1', 'g') || ':' || chr(10) || regexp_replace(text, '([\\<#])', '\\\1', 'g') || chr(10) || '</turn>' || chr(10) AS seg FROM c
 ), t AS (
-  SELECT *, row_number() OVER w AS idx, CAST(ceil(strlen(seg) / {BYTES_PER_TOKEN}.0) AS BIGINT) AS tokens FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, seg)
-), u AS (SELECT *, idx = 1 AND role = 'system' AS sys FROM t
+  SELECT *, row_number() OVER w AS idx, CAST(len(regexp_extract_all(seg, '{TOKEN}')) AS BIGINT) AS tokens FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, seg)
+), u AS (SELECT *, idx = 1 AND role = 'system' AS sys, idx = 1 AND role = 'system' AND tokens <= {BUDGET - HISTORY - LEAST_ROOM} AS again FROM t
 ), v AS (
   SELECT *, CASE WHEN sys THEN -1000000000000000 ELSE sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY idx) - tokens END AS pos,
-    max(CASE WHEN sys THEN length(seg) END) OVER (PARTITION BY conv_id) AS sys_chars,
-    greatest({BUDGET - HISTORY} - coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0), {LEAST_ROOM}) AS room
+    coalesce(max(CASE WHEN again THEN length(seg) END) OVER (PARTITION BY conv_id), 0) AS sys_chars,
+    coalesce(max(CASE WHEN again THEN tokens END) OVER (PARTITION BY conv_id), 0) AS sys_tokens,
+    coalesce(max(CASE WHEN idx = 2 THEN tokens END) OVER (PARTITION BY conv_id), 0) AS second
   FROM u
+), r AS (SELECT *, {BUDGET - HISTORY} - sys_tokens AS room FROM v
 ), x AS (
-  SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY conv_id ORDER BY pos RANGE BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING), 0) AS past,
+  SELECT *, coalesce(sum(length(seg)) OVER near, 0) AS past, coalesce(sum(tokens) OVER near, 0) AS past_tokens,
     CASE WHEN NOT sys THEN 2 * CAST(floor(pos / room) AS BIGINT) + CASE WHEN pos + tokens > (floor(pos / room) + 1) * room THEN 1 ELSE 0 END END AS span0
-  FROM v
-), y AS (SELECT *, coalesce(span0, min(span0) OVER (PARTITION BY conv_id), 0) AS span FROM x
+  FROM r WINDOW near AS (PARTITION BY conv_id ORDER BY pos RANGE BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING)
+), y AS (SELECT *, coalesce(span0, CASE WHEN again AND tokens + second <= {BUDGET} THEN min(span0) OVER (PARTITION BY conv_id) END, -1) AS span FROM x
 ), w AS (
-  SELECT conv_id, span, sum(length(seg)) AS chars, CASE WHEN bool_or(sys) THEN 0 ELSE coalesce(max(sys_chars), 0) + arg_min(past, idx) END AS more FROM y GROUP BY conv_id, span
-), f AS (SELECT conv_id, CAST(sum(chars + more) AS BIGINT) AS formatted_chars FROM w GROUP BY conv_id
+  SELECT conv_id, span, sum(length(seg)) AS chars, sum(tokens) AS own, bool_or(sys) AS has_sys, max(sys_chars) AS sys_chars, max(sys_tokens) AS sys_tokens,
+    arg_min(past, idx) AS past, arg_min(past_tokens, idx) AS past_tokens FROM y GROUP BY conv_id, span
+), f AS (
+  SELECT conv_id, CAST(sum(chars + CASE WHEN has_sys THEN 0 ELSE CASE WHEN sys_tokens + own <= {BUDGET} THEN sys_chars ELSE 0 END
+    + CASE WHEN sys_tokens + past_tokens + own <= {BUDGET} THEN past ELSE 0 END END) AS BIGINT) AS formatted_chars FROM w GROUP BY conv_id
 ), d AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
     CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
