@@ -3,11 +3,13 @@
 A text is a vector of hashed byte trigrams (ASCII letters lowered, runs of other ASCII
 bytes as spaces), weighted by TF-IDF and normalised. Each language has several
 centroids from spherical k-means; the nearest one by cosine names the language.
-Distance-based rejection marks texts that are farther from their centroid than all but
-a small share of what it was learnt from.
+Distance-based rejection: texts that are farther from their centroid than all but
+a small share of what its language was learnt from keep the nearest language's name, but their score falls with the
+distance, from half at the rejecting distance to 0 at a cosine of 0.
 
-Fitting uses at most ``max_docs`` labelled documents in all, dealt evenly over the
-languages (documented bound, drawn by a hash of doc_id).
+Fitting uses about ``max_docs`` labelled documents in all, dealt evenly over the
+languages (documented bound, drawn by a 64-bit hash of doc_id and text, so that the share is exact at any number of rows and rows
+without a doc_id are drawn like others; equal rows count once).
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0;
 repeated rows each get their row; rows with null lang are not learnt from; other columns
@@ -80,7 +82,9 @@ class Model:
             has = seen[ends[1:]] > seen[ends[:-1]]
             for i in range(hi - lo):
                 if has[i] or (ends[i] < ends[i + 1] and any(c.isalpha() for c in texts[lo + i].as_py())):
-                    lang[lo + i], score[lo + i], rejected[lo + i] = self.langs[best[i]], soft[i], cos[i, near[i]] < self.least[near[i]]
+                    far = cos[i, near[i]] < self.least[near[i]]
+                    close = 0.5 * max(0.0, cos[i, near[i]]) / max(self.least[near[i]], 1e-9) if far else 1.0
+                    lang[lo + i], score[lo + i], rejected[lo + i] = self.langs[best[i]], soft[i] * close, far
         return lang, score, rejected
 
 
@@ -114,6 +118,12 @@ def fit(x: np.ndarray, lang: list[str], per_lang: int = 4, reject: float = 0.001
     return Model(langs, idf.astype(np.float32), centroids.astype(np.float32), lang_of, least)
 
 
+def shares(sizes: dict[str, int], max_docs: int) -> list[tuple[str, int]]:
+    """For each language the largest signed 64-bit hash that is drawn, for about max_docs documents in all."""
+    each = max(1, max_docs // len(sizes))
+    return [(k, min(2**63 - 1, each * 2**64 // n - 2**63)) for k, n in sorted(sizes.items())]
+
+
 def train(docs: DataFrame, folds: int = 4, held: int = 2, max_docs: int = 2400, text: str = "text", lang: str = "lang") -> Model:
     """Fit on rows with a lang outside the held-out fold (crc32(doc_id as text) mod folds == held)."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(F.coalesce(bucket_of("doc_id", folds), F.lit(-1)) != held)
@@ -121,9 +131,9 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, max_docs: int = 2400,
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not sizes:
         return fit(np.zeros((0, DIM)), [])
-    each = max(1, max_docs // len(sizes))
-    cut = docs.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * 10**6)) for k, n in sorted(sizes.items())], "lang string, cut int")
-    drawn = known.join(F.broadcast(cut), "lang").where(F.pmod(F.xxhash64("id"), F.lit(10**6)) < F.col("cut")).select("lang", "text")
+    cut = docs.sparkSession.createDataFrame(shares(sizes, max_docs), "lang string, cut long")
+    drawn = known.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(cut), "lang").where(F.col("h") <= F.col("cut"))
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches):
         for batch in batches:
