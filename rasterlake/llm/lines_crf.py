@@ -4,8 +4,9 @@ Every line gets the label good or bad from features of itself and of its neighbo
 forward-backward marginals of "good", weighted by line length, aggregate into the
 document's score. Line features come from byte-class counts of the Arrow buffer.
 
-Fitting uses at most ``max_docs`` labelled documents of each class with at most
-``max_lines`` lines each (documented bounds; rows are drawn by a hash of doc_id).
+Fitting uses at most ``max_docs`` labelled documents of each class, and of one with more than
+``max_lines`` lines a run of that many (documented bounds; rows are drawn by a hash of doc_id, runs by their
+text's size; scores always take all lines).
 Documents carry labels, lines do not: all lines of a good document count as good; of a
 bad one those that a line-wise logistic model finds worse than even, and its worst line
 in any case. The last step is a logistic map from the aggregate to the score.
@@ -252,11 +253,13 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: in
                 x, chars, lines = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 first = np.concatenate([[0], np.cumsum(lines)])
                 for i in range(hi - lo):
-                    if lines[i] <= max_lines:
-                        got["y"].append(batch.column(1)[lo + i].as_py())
-                        got["lines"].append(int(lines[i]))
-                        got["x"].append(x[first[i] : first[i + 1]].astype(np.float32).tobytes())
-                        got["chars"].append(chars[first[i] : first[i + 1]].astype(np.float32).tobytes())
+                    # a run of lines of a long document, its place told by the document's size
+                    n = min(int(lines[i]), max_lines)
+                    at = first[i] + int(offsets[lo + i + 1] - offsets[lo + i]) % (int(lines[i]) - n + 1)
+                    got["y"].append(batch.column(1)[lo + i].as_py())
+                    got["lines"].append(n)
+                    got["x"].append(x[at : at + n].astype(np.float32).tobytes())
+                    got["chars"].append(chars[at : at + n].astype(np.float32).tobytes())
             kinds = {"y": pa.int32(), "lines": pa.int32(), "x": pa.binary(), "chars": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(got[k], t) for k, t in kinds.items()], names=list(kinds))
 

@@ -35,6 +35,30 @@ def test_marginals_against_enumeration():
     assert np.isclose(pair[1, 1], sum(w * sum(a & b for a, b in zip(y, y[1:])) for y, w in weights.items()) / z)
 
 
+def test_scores_against_enumeration():
+    """Whole scores of a fitted model: marginals by enumeration of all labellings, weighted by line lengths."""
+    rng = np.random.default_rng(2)
+    texts = ["Good plain words here.\nAnother fine line." if k % 2 else "!!! ||| $$$\nBUY BUY BUY\n@@@" for k in range(40)] + ["", "one\n\nTHREE!!!\nfour four"]
+    x, chars, lines = lines_crf.line_features(*text_bytes(pa.array(texts)))
+    model = lines_crf.fit(x, chars, lines, np.array([k % 2 for k in range(40)] + [1, 0]), np.ones(42))
+    got, first = model.score(x, chars, lines), np.concatenate([[0], np.cumsum(lines)])
+    for i in rng.choice(42, 12, replace=False).tolist() + [40, 41]:
+        z = ((x[first[i] : first[i + 1]] - model.mean) / model.scale) @ model.weight
+        c = chars[first[i] : first[i + 1]] + 1
+        weight = {y: np.exp(sum(g for g, k in zip(z, y) if k) + sum(model.move[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=len(z))}
+        p = np.array([sum(w for y, w in weight.items() if y[k]) for k in range(len(z))]) / sum(weight.values())
+        share = np.clip((p * c).sum() / c.sum(), 1e-6, 1 - 1e-6)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.shift))))
+
+
+def test_long_documents_are_learnt_from(spark):
+    docs = [(k, "\n".join(("Plain words stand here." if k % 2 else "!!! BUY $$$ NOW") for _ in range(200))) for k in range(60)]
+    labels = [(k, k % 2) for k in range(60)]
+    model = lines_crf.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = lines_crf.scores(model, pa.array([t for _, t in docs]))
+    assert (got[1::2] > 0.9).all() and (got[::2] < 0.1).all()
+
+
 def test_held_out_accuracy_and_edges(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     model = lines_crf.train(docs, labels)
