@@ -8,9 +8,11 @@ not count. The weights of the hits are summed and normalised by text length, and
 logistic map turns both into the score.
 
 The lexicon is learnt from at most ``max_toxic`` toxic and ``max_clean`` clean labelled
-documents (documented bounds, drawn by a hash of doc_id). A term's support is the number
+documents (documented bounds, drawn by a hash of doc_id; they bound everything that fitting holds). A term's support is the number
 of different words it follows in toxic documents, so that groups of copies do not make
-ordinary words look toxic; its weight is its log-odds against clean documents.
+ordinary words look toxic; a term needs a support of an eighth of the toxic documents of the sample, at least 5 and at most 12.
+Its weight is its log-odds against clean documents, at least ``min_weight``. Exception phrases are learnt, too: two neighbouring
+words, one of them hit by a term, that stand in at least ``min_clean`` clean documents and, by share, less than half as often in toxic ones.
 
 Defined results: null, empty and blank texts have no hits and get the score of a text
 without hits; repeated rows each get their row; null labels are not learnt from; other
@@ -38,9 +40,8 @@ LOOK_ALIKES = dict(zip("авсԁеһіјкӏмнорѕтухѵαβεικνορτ
 DIGITS = dict(zip("0134578", "oieastb"))
 BETWEEN = dict(zip("@$!|", "asil"))
 INVISIBLE = [0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF, *range(0x300, 0x370)]
-#: English insults that are matched even if no labels are there, and phrases in which lexicon words are harmless.
+#: English insults that are matched even if no labels are there.
 SEED_LEXICON = {"idiot": 3.0, "moron": 3.0, "stupid": 2.0, "scum": 3.0, "pathetic": 2.0, "worthless": 2.0, "disgusting": 2.0}
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circus clown", "class clown", "idiot proof", "sore loser", "oxy moron", "pond scum", "stupid simple")
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -113,16 +114,26 @@ class Lexicon:
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """(log of the summed weight, log of the weight per 1000 characters) of each text."""
-        out = np.zeros((len(texts), 2))
+        """(log of the summed weight, log of the weight per 1000 characters, hits) of each text."""
+        out = np.zeros((len(texts), 3))
         for k, t in enumerate(texts):
             if t and (got := self.hits(folded := fold(t))):
                 total = sum(h[2] for h in got)
-                out[k] = np.log1p(total), np.log1p(1000 * total / len(folded))
+                out[k] = np.log1p(total), np.log1p(1000 * total / len(folded)), len(got)
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.coef[:2] + self.coef[2], -30, 30)))
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features[:, :2] @ self.coef[:2] + self.coef[2], -30, 30)))
+
+    def phrases(self, text: str) -> set[str]:
+        """The pairs of neighbouring words of which one is hit."""
+        folded, out = fold(text), set()
+        for start, _, _ in self.hits(folded):
+            end = folded.find(" ", start + 1)
+            before, after = folded[max(0, start - 60) : start].rsplit(None, 1)[-1:], folded[end : end + 60].split(None, 1)[:1]
+            word = folded[start + 1 : end]
+            out |= {f" {b} {word} " for b in before} | {f" {word} {a} " for a in after}
+        return out
 
 
 def _terms(word: str) -> list[str]:
@@ -145,16 +156,15 @@ def _toxic_terms(batches):
 
 def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
-    max_toxic: int = 1500, max_clean: int = 6000, min_support: tuple[int, int] = (5, 12), min_weight: float = 3.0, max_terms: int = 2000,
+    max_toxic: int = 1500, max_clean: int = 6000, min_support: tuple[int, int] = (5, 12), min_weight: float = 3.0, min_clean: int = 3,
 ) -> Lexicon:
     """Learn weights from labelled rows outside the held-out fold."""
-    exceptions = tuple(f" {e} " for e in EXCEPTIONS)
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where(bucket_of("id", folds) != held)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     seed = {f" {w} ": x for w, x in SEED_LEXICON.items()}
     if len(counts) < 2:
-        return Lexicon(seed, exceptions)
+        return Lexicon(seed)
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     sample = materialise(rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", F.col("y").cast("int").alias("y")), "toxicity-sample")
@@ -162,7 +172,7 @@ def learn(
     support = toxic.mapInArrow(_toxic_terms, "term string, before long").groupBy("term").agg(F.count_distinct("before").alias("support"))
     low, high = min_support  # 12, but fewer where there are under 100 toxic documents
     needed = max(low, min(high, min(counts[1], max_toxic) // 8))
-    candidates = support.where(F.col("support") >= needed).orderBy(F.desc("support"), "term").limit(20 * max_terms).collect()
+    candidates = support.where(F.col("support") >= needed).collect()  # a ``needed``-th of the terms of max_toxic documents at most
     chosen = {r["term"]: r["support"] for r in candidates}
 
     def with_term(batches):
@@ -177,8 +187,21 @@ def learn(
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    best = found.withColumn("w", weight).where(F.col("w") >= min_weight).orderBy(F.desc("w"), "term").limit(max_terms).collect()
-    lexicon = Lexicon(seed | {r["term"]: float(r["w"]) for r in best}, exceptions)
+    best = found.withColumn("w", weight).where(F.col("w") >= min_weight).orderBy("term").collect()
+    lexicon = Lexicon(seed | {r["term"]: float(r["w"]) for r in best})
+
+    def around(batches):
+        n = Counter()
+        for batch in batches:
+            for text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                n.update((p, y) for p in lexicon.phrases(text))
+        rows = [(p, y, k) for (p, y), k in n.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["phrase", "y", "n"])
+
+    pairs = sample.select("text", "y").mapInArrow(around, "phrase string, y int, n long").groupBy("phrase").agg(F.sum(F.expr("if(y = 0, n, 0)")).alias("b"), F.sum(F.expr("if(y = 1, n, 0)")).alias("a"))
+    harmless = pairs.where((F.col("b") >= min_clean) & (2 * F.col("a") * (n0 + 1) < F.col("b") * (n1 + 1))).orderBy("phrase").collect()  # bounded by the clean sample
+    lexicon.exceptions = tuple(r["phrase"] for r in harmless)
+    lexicon._automaton = None
 
     def measured(batches):
         for batch in batches:
@@ -195,13 +218,13 @@ def learn(
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, score, n_hits)`` for each row."""
+    """``(doc_id, score, n_hits)`` for each row; n_hits are the hits that no exception phrase covers."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lexicon.scores(texts))], names=["doc_id", "score"])
+                x = lexicon.features(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lexicon.scores(x)), pa.array(x[:, 2].astype(np.int64))], names=["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_hits long")

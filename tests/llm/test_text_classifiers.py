@@ -23,6 +23,40 @@ def test_hits_and_exceptions():
     assert len(plain) == 5  # two of them are spared
 
 
+def test_scores_against_a_plain_search():
+    """Every score and hit count against substring searches, no automaton: long, empty, folded and exempt texts."""
+    lexicon = toxicity.Lexicon({" clown ": 2.0, " lowei": 3.0, " loweir ": 1.0, " scum ": 4.0}, (" clown fish ", " pond scum "))
+    texts = [None, "", "a clown", "Cl0wn fish and ponD sсum, clown", "loweir loweix " * 30, "x " * 5000 + "scum", "clown fish clown fish scum scum"]
+    got = lexicon.features(texts)
+    for t, x in zip(texts, got):
+        folded = toxicity.fold(t or "")
+        spared = [(k, k + len(e) - 1) for e in lexicon.exceptions for k in range(len(folded)) if folded.startswith(e, k)]
+        total = n = 0
+        for k in range(len(folded)):
+            best = max(((w, p) for p, w in lexicon.terms.items() if folded.startswith(p, k)), default=None)
+            if best and not any(lo <= k and k + len(best[1]) - 1 <= hi for lo, hi in spared):
+                total, n = total + best[0], n + 1
+        assert np.allclose(x, [np.log1p(total), np.log1p(1000 * total / len(folded)) if n else 0, n])
+        assert np.isclose(lexicon.scores(x[None])[0], 1 / (1 + np.exp(-(1.5 * x[0] + 0.5 * x[1] - 3.0))))
+
+
+def test_exceptions_are_learnt(spark):
+    """A term that is harmless beside a certain word in clean texts is exempt there, and nowhere else."""
+    rng = np.random.default_rng(0)
+    filler = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(filler, n))
+    docs, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        text = f"{some(15)} blarg {some(4)} {some(2)} blarg" if toxic else f"{some(20)} circus blarg {some(3)}" if i % 20 == 1 else some(25)
+        docs.append((i, text))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " blarg " in lexicon.terms and " circus blarg " in lexicon.exceptions
+    got = toxicity.score(spark.createDataFrame([(1, "you blarg"), (2, "the circus blarg here")], "doc_id long, text string"), lexicon).collect()
+    assert {r["doc_id"]: r["n_hits"] for r in got} == {1: 1, 2: 0}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     lexicon = toxicity.learn(docs, labels)
@@ -47,6 +81,41 @@ def test_trigram_counts_against_slow_form():
         assert np.array_equal(row, want)
 
 
+def test_share_of_any_number_of_rows():
+    """The drawn share stays right where it is tiny."""
+    for n in (10, 10**6, 7 * 10**8, 10**9, 10**12):
+        ((_, cut),) = langid.shares({"en": n}, 2400)
+        assert abs((cut + 2**63) / 2**64 * n - min(n, 2400)) < 1e-2 * min(n, 2400)
+    assert len(langid.shares({str(k): 10**9 for k in range(5000)}, 2400)) == 5000
+
+
+def test_predictions_against_plain_cosines(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train(docs)
+    texts = [r["text"] for r in docs.limit(40).collect()]
+    lang, score, rejected = model.predict(pa.array(texts))
+    for t, got, s, r in zip(texts, lang, score, rejected):
+        v = np.log1p(langid.counts(*text_bytes(pa.array([t])))[0]) * model.idf
+        cos = [float(v @ c / np.linalg.norm(v)) for c in model.centroids]
+        k = int(np.argmax(cos))
+        assert got == model.langs[model.lang_of[k]] and r == (cos[k] < model.least[k]) and (s < 0.5 or not r)
+
+
+def test_unknown_language_is_rejected(spark):
+    model = langid.train(table(spark, "/root/testdata/sf0.01", "documents"))
+    rng = np.random.default_rng(1)
+    greek = [" ".join("".join(rng.choice(list("αβγδεζηθικλμνξοπρστυφχψω"), 7)) for _ in range(150)) for _ in range(20)]
+    _, score, rejected = model.predict(pa.array(greek))
+    assert rejected.all() and (score < 0.5).all()
+
+
+def test_rows_without_an_id_do_not_crowd_out_others(spark):
+    rows = [(None, f"alpha beta gamma {k} delta epsilon", "xx") for k in range(3000)] + [(k, f"uno dos tres {k} cuatro cinco", "yy") for k in range(3000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=200)
+    assert model.langs == ["xx", "yy"]
+    assert model.predict(pa.array(["alpha gamma delta", "dos cuatro cinco"]))[0] == ["xx", "yy"]
+
+
 def test_language_held_out(spark):
     docs = table(spark, DATA, "documents")
     model = langid.train(docs)
