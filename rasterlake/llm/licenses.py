@@ -1,6 +1,7 @@
 """License scans: base phrases, and an exact set-similarity join against notice templates. DataFrame functions only.
 
-Blocks are the lines of a text, as sets of lower-cased words. A template is found in a block if at
+Blocks are runs of ``run`` neighbouring lines of a text (from each line on; fewer at the text's end), as sets of
+words lower-cased in A-Z, so that wrapped notices are blocks, too. A template is found in a block if at
 least ``threshold`` of its words are in it. The join is exact:
 
 1. frequencies of the templates' words over all words of the corpus give one global order, rarest first;
@@ -10,8 +11,10 @@ least ``threshold`` of its words are in it. The join is exact:
 4. positional filter: the words left after the shared one, on the shorter side, must reach the need;
 5. what is left is verified by the size of the intersection.
 
-The template side has a row per prefix word, so its size is fixed by the template list. Only words of
-templates are kept of a block; words no template has cannot change an overlap.
+Templates are pairs (label, notice), or a table with these two columns and at most ``MOST_TEMPLATES`` rows (more are an error: their
+words are literals of the plan and their side of the join is sent to every task). Only words of
+templates are kept of a block; words no template has cannot change an overlap. Texts are cut into words once, to
+the table of blocks; the frequencies are counted from it, each word of a line once for each block it lies in.
 
 Defined results: null text is empty: no words, no labels, score 0; places are word numbers from 0; repeated rows each get
 their row; a null doc_id stays null; other columns are ignored; an empty table gives an empty result.
@@ -19,6 +22,7 @@ their row; a null doc_id stays null; other columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import ceil
 from operator import and_
@@ -47,6 +51,9 @@ TEMPLATES = (
     ("all-rights", "copyright all rights reserved"),
 )
 THRESHOLD = 0.8
+#: Lines of a block: the longest notice, wrapped at some 60 characters, takes three.
+RUN = 3
+MOST_TEMPLATES = 2000
 
 
 def words(text: Column) -> Column:
@@ -91,24 +98,41 @@ def _follows(phrase: list[str]):
     return test
 
 
-def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(key, block, label, containment)`` for each line and template that meet ``threshold``."""
+def listed(templates) -> list[tuple[str, str]]:
+    """Templates as pairs (label, notice)."""
+    if not isinstance(templates, DataFrame):
+        return list(templates)
+    rows = templates.select("label", "notice").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return [(r["label"], r["notice"]) for r in rows if r["notice"]]
+
+
+def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, run: int = RUN) -> DataFrame:
+    """``(key, block, label, containment)`` for each block (by its first line) and template that meet ``threshold``."""
     spark = docs.sparkSession
-    sets = {label: sorted(set(t.split())) for label, t in templates}
+    sets: dict[str, list[str]] = {}
+    for k, (label, t) in enumerate(listed(templates)):
+        found = sorted({w for w in re.split(GAP + "+", t.translate(str.maketrans(UPPER, LOWER))) if w})
+        if found:
+            sets[f"{k}:{label}"] = found
+    if not sets:
+        return docs.select("key", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     vocabulary = sorted({w for s in sets.values() for w in s})
-    need = {label: ceil(threshold * len(s) - 1e-9) for label, s in sets.items()}
+    need = {label: max(1, ceil(threshold * len(s) - 1e-9)) for label, s in sets.items()}
     lowest = min(need.values())
     known = F.array(*map(F.lit, vocabulary))
-    lines = docs.where("text is not null").select("key", F.posexplode(F.split(F.lower("text"), "\n")).alias("block", "line"))
-    cut = lines.select("key", "block", F.split("line", GAP + "+").alias("w"))
-    counted = cut.select(F.explode("w").alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
+    lines = F.transform(F.split(F.translate("text", UPPER, LOWER), "\n"), lambda line: F.array_intersect(F.split(line, GAP + "+"), known))
+    cut = docs.where("text is not null").select("key", lines.alias("lines"))
+    around = F.transform("lines", lambda w, i: F.array_distinct(F.concat(w, *(F.coalesce(F.get("lines", i + k), F.array().cast("array<string>")) for k in range(1, run)))))
+    blocks = cut.where(F.exists("lines", lambda w: F.size(w) > 0)).select("key", F.posexplode(around).alias("block", "w")).where(F.size("w") >= lowest)
+    blocks = materialise(blocks, "license-blocks")
+    counted = blocks.select(F.explode("w").alias("w")).groupBy("w").count()
     frequency = {r["w"]: r["count"] for r in counted.collect()}  # a row for each template word at most
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     ranks = F.create_map(*(F.lit(x) for w, k in rank.items() for x in (w, k)))
-    blocks = cut.select("key", "block", F.array_intersect("w", known).alias("w")).where(F.size("w") >= lowest)
     blocks = blocks.select("key", "block", F.array_sort(F.transform("w", lambda w: F.element_at(ranks, w))).alias("b"))
-    blocks = materialise(blocks, "license-blocks")
     index = []
     for k, (label, s) in enumerate(sets.items()):
         mine = sorted(rank[w] for w in s)
@@ -121,15 +145,15 @@ def notices(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     left = F.least(F.size("b") - F.col("b_at"), F.size("t") - F.col("t_at"))
     pairs = prefix.join(F.broadcast(side), "word").where((F.size("b") >= F.col("need")) & (left >= F.col("need")))
     found = pairs.where(F.size(F.array_intersect("b", "t")) >= F.col("need"))
-    return found.select("key", "block", "label", (F.size(F.array_intersect("b", "t")) / F.size("t")).alias("containment")).distinct()
+    return found.select("key", "block", F.regexp_replace("label", "^[0-9]+:", "").alias("label"), (F.size(F.array_intersect("b", "t")) / F.size("t")).alias("containment")).distinct()
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD, run: int = RUN) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for each row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # rows with equal key are copies of one row and have equal results
-    rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))
-    labels = notices(rows, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    # rows with equal key are copies of one row and have equal results: the same doc_id, hash and length of the text
+    rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")), F.length("text").cast("string")))
+    labels = notices(rows, templates, threshold, run).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = base(rows).join(labels, "key", "left")
     every = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
     return out.select(
@@ -140,7 +164,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=
 
 
 def _oracle() -> str:
-    """The same results in DuckDB SQL, without any filter: every line against every template."""
+    """The same results in DuckDB SQL, without any filter: every block against every template."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     starts = []
     for phrase, label in PHRASES.items():
@@ -156,7 +180,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 ), a AS (SELECT r, doc_id, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '{gap}'), lambda x: x <> '') AS w FROM d
 ), b AS (SELECT r, doc_id, len(w) AS n_words, {lists} FROM a
 ), c AS (SELECT r, doc_id, n_words, {every} AS s, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM b
-), l AS (SELECT r, list_distinct(regexp_split_to_array(line, '{gap}')) AS w FROM (SELECT r, unnest(string_split(lower(text), chr(10))) AS line FROM d)
+), g AS (SELECT r, string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10)) AS lines FROM d
+), l AS (SELECT r, list_distinct(regexp_split_to_array(block, '{gap}')) AS w FROM (SELECT r, unnest(list_transform(range(1, len(lines) + 1), lambda i: array_to_string(list_slice(lines, i, i + {RUN - 1}), chr(10)))) AS block FROM g)
 ), m AS (SELECT r, label, len(list_intersect(words, w)) / len(words) AS containment FROM l, t
 ), n AS (SELECT r, list(DISTINCT label) AS more, max(containment) AS best FROM m WHERE containment >= {THRESHOLD} - 1e-9 GROUP BY r)
 SELECT doc_id, n_words, CAST(len(s) AS BIGINT) AS n_base, list_min(s) AS first_word, list_max(s) AS last_word,

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 from rasterlake.llm import licenses
 
@@ -18,8 +19,9 @@ def slow(text):
         starts += hits
         labels |= {label} if hits else set()
     best, more = 0.0, set()
-    for line in (text or "").lower().split("\n"):
-        seen = set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    lines = lower.split("\n")
+    for k in range(len(lines)):
+        seen = set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "\n".join(lines[k : k + licenses.RUN])))
         for label, t in licenses.TEMPLATES:
             share = len(seen & set(t.split())) / len(set(t.split()))
             if share >= licenses.THRESHOLD - 1e-9:
@@ -38,6 +40,7 @@ def corpus():
         for drop in range(5):
             keep = rng.sample(w, max(1, len(w) - drop))
             texts.append("before\n" + " ".join(keep) + "\nafter " + " ".join(rng.sample(w, 2)))
+        texts.append("code\n" + textwrap.fill(t.capitalize() + ".", 60) + "\n\nmore code")
     texts += [None, "", "\n\n", "MIT License mit license", "cc by " * 50_000, "(C)CC--BY!"]
     return [(i, t, "x", "y") for i, t in enumerate(texts)] + [(0, texts[0], None, None), (None, "Released under the MIT License.", None, None), (None, None, None, None)]
 
@@ -49,5 +52,22 @@ def test_against_slow_form(spark):
     assert sorted(map(as_row, got), key=str) == sorted(((r[0], *slow(r[1])) for r in rows), key=str)
 
 
+def test_wrapped_notices_are_found(spark):
+    """Notices wrapped at 60 to 80 characters, behind comment signs."""
+    rows = []
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        for width in (60, 72, 80):
+            rows.append((k * 100 + width, "x = 1\n" + "\n".join("# " + line for line in textwrap.wrap(t.capitalize() + ".", width)) + "\ny = 2"))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(licenses.TEMPLATES[d // 100][0] in labels for d, labels in got.items())
+
+
+def test_templates_from_a_table(spark):
+    docs = spark.createDataFrame([(1, "This Work is\nPLACED in the public domain."), (2, "something else")], "doc_id long, text string")
+    table = spark.createDataFrame([("pd", "this work is placed in the public domain"), ("none", ""), (None, None)], "label string, notice string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, templates=table).collect()} == {1: "pd", 2: ""}
+    assert {r["labels"] for r in licenses.scan(docs, templates=table.limit(0)).collect()} == {""}
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
