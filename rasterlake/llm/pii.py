@@ -8,7 +8,8 @@ patterns run on the rewritten text; spans map back through that table. A found s
 added if a transducer changed something in it and it overlaps no base span.
 
 Only the neighbourhood of a disguise is rewritten, so a whole text is scanned by plain
-searches and costs linear time; spans never depend on where a text is cut.
+searches and costs linear time. A neighbourhood reaches at least ``REACH`` characters to either side and from there on to
+a place that no pattern can cross, however far that is: spans never depend on where a text is cut.
 
 Defined results: null and empty texts have no spans; offsets are code points of the
 source, end exclusive; repeated rows each get their row; a null doc_id stays null; other
@@ -100,7 +101,7 @@ _SPELLED_ONE = re.compile(rf"(?<!\w)(?:({_WORD})|(dot|point|punkt|punto)|(plus)|
 _SPELLED_SET = frozenset(SPELLED)
 _GAP = re.compile(r"[ \t,-]{1,3}(?=[0-9])")
 _OPEN, _CLOSE = r"[ \t]{0,2}[\[({<]{1,2}[ \t]{0,2}", r"[ \t]{0,2}[\])}>]{1,2}[ \t]{0,2}"
-_AT = rf"{_OPEN}(?:at|ät|arroba|@){_CLOSE}|[ \t]{{1,3}}(?:at|arroba)[ \t]{{1,3}}|[ \t]{{1,2}}@[ \t]{{0,2}}|@[ \t]{{1,2}}|[_-](?:at)[_-]"
+_AT = rf"{_OPEN}(?:at|ät|arroba|@){_CLOSE}|[ \t]{{1,3}}(?:at|arroba)[ \t]{{1,3}}|[ \t]{{1,2}}@[ \t]{{0,2}}|@[ \t]{{1,2}}|[_-](?:at)[_-]|@"
 _DOT = rf"{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|[ \t]{{1,3}}(?:dot|punkt|punto)[ \t]{{1,3}}|[_-](?:dot)[_-]|\."
 _NAME = r"[A-Za-z0-9-]+"
 #: An address whose @ or dots may be disguised; its last name has letters only.
@@ -126,7 +127,20 @@ def _sign_table() -> dict[int, str]:
 
 
 _SIGNS = _sign_table()
-_ODD = re.compile("[" + re.escape("".join(map(chr, sorted(_SIGNS)))) + INVISIBLE + "]")
+#: The same characters as two sets: one set over both planes would be searched member by member.
+_ODD = re.compile("[" + re.escape("".join(chr(c) for c in sorted(_SIGNS) if c < 0x10000)) + INVISIBLE + "]")
+_ODD_BEYOND = re.compile("[\U0001d400-\U0001d7ff]")
+
+
+def _odd(text: str) -> list[tuple[int, int]]:
+    """Places of characters that are read as another one or as none."""
+    if text.isascii():
+        return []
+    try:
+        text.encode("latin-1")
+        return [m.span() for m in re.finditer("\u00ad", text)]
+    except UnicodeEncodeError:
+        return sorted([m.span() for m in _ODD.finditer(text)] + [m.span() for m in _ODD_BEYOND.finditer(text)])
 
 
 class Rewritten:
@@ -151,7 +165,14 @@ class Rewritten:
 
 
 def _look_alikes(r: Rewritten) -> Rewritten:
-    return r.replace([(m.start(), m.end(), _SIGNS.get(ord(m[0]), "")) for m in _ODD.finditer(r.text)])
+    return r.replace([(a, b, _SIGNS.get(ord(r.text[a]), "" if r.text[a] in INVISIBLE else r.text[a])) for a, b in _odd(r.text)])
+
+
+def _lettered(r: Rewritten) -> Rewritten:
+    edits = []
+    for m in _LETTERED.finditer(r.text):
+        edits += [(k, k + 1, "0" if r.text[k] in "Oo" else "1") for k in range(m.start(), m.end()) if r.text[k] in "OoIl"]
+    return r.replace(edits)
 
 
 def _spelled(r: Rewritten) -> Rewritten:
@@ -174,7 +195,7 @@ def _spelled(r: Rewritten) -> Rewritten:
 def _at_and_dot(r: Rewritten) -> Rewritten:
     edits = []
     for m in _ADDRESS.finditer(r.text):
-        plain_at = m[2].strip(" \t") == "@" and m[2] == "@"
+        plain_at = m[2] == "@"
         words = _DOT_WORD.search(m[1] + " " + m[3])
         bracket_at = any(c in m[2] for c in "[({<_-")
         ending = _ENDING.search(m[3])
@@ -193,18 +214,73 @@ def _at_and_dot(r: Rewritten) -> Rewritten:
 
 _BRACKET = re.compile(r"[\[({<]{1,2}[ \t]{0,2}(?:at|ät|arroba|@|dot|punkt|point|punto|\.)[ \t]{0,2}[\])}>]", re.I)
 _DOTS = frozenset(("dot", "punkt", "punto", "arroba"))
-_TLD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64}){0,4}\.(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk)(?![A-Za-z0-9.-]))", re.I)
+_TLD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64}){0,4}\.(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk|(?:ac|co|com|edu|gov|ne|net|or|org)\.[a-z]{2})(?![A-Za-z0-9.-]))", re.I)
+#: A dotted quad with letters for 0 and 1.
+_LETTERED = re.compile(r"(?<![\w.])(?=[0-9.]*[OoIl])(?=[OoIl.]*[0-9])[0-9OoIl]{1,3}(?:\.[0-9OoIl]{1,3}){3}(?![\w]|\.[\w])")
+_LETTER_AND_DOT = re.compile(r"[OoIl]\.[0-9OoIl]|\.[OoIl]+[0-9]")
 _RUN_OF_TWO = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.-]{{1,3}}(?:{_WORD})(?!\w)", re.I)
 _DOT_ALONE = re.compile(r"(?<!\w)(?:dot|punkt|punto|arroba)(?!\w)", re.I)
 _JOINED = re.compile(r"[_-](?:at|dot)[_-]", re.I)
 #: A last name of letters only, and a name that hardly is a word of prose: a dot, digit or underscore after a letter.
 _ENDING = re.compile(r"\.[A-Za-z]{2,}$")
 _MARKED = re.compile(r"[A-Za-z][A-Za-z%+-]*[._0-9]")
-_AT_ALONE = re.compile(r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}\.[A-Za-z0-9-])", re.I)
+_AT_WORD = re.compile(r"[ \t][aA][tT][ \t]")
+_NAME_AFTER = re.compile(r"[ \t]{1,3}(?=[A-Za-z0-9-]{1,64}\.[A-Za-z0-9-])")
 _AT_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[ \t]{1,2}@[ \t]{0,2}|@[ \t]{1,2})(?=[A-Za-z0-9-]{1,64}\.[A-Za-z0-9-])")
-_BESIDE_NUMERAL = re.compile(rf"(?<=[0-9])[ \t,.()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
+_BEFORE_NUMERAL = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
+_ONE_SPELLED = re.compile(rf"(?:{_WORD})(?!\w)", re.I)
+_DOT_IN_NUMERAL = re.compile(r"\.[0-9OoIl]")
+_NUMERAL = re.compile(rf"(?<=[0-9])[ \t,.()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
 _NUMERAL = re.compile("[0-9]")
 REACH = 120
+#: White space that a pattern may cross: between the signs of a number.
+_NUMERIC = frozenset("0123456789().+-")
+
+
+def _edge(text: str, at: int, step: int) -> int:
+    """The first place from ``at`` on in a direction where no match of a pattern can pass: white space that does not
+    stand between signs of numbers."""
+    while 0 < at < len(text):
+        here, there = text[at - 1], text[at]
+        if here.isspace() or there.isspace():
+            lo, hi = at, at
+            while lo > 0 and text[lo - 1].isspace():
+                lo -= 1
+            while hi < len(text) and text[hi].isspace():
+                hi += 1
+            if lo == 0 or hi == len(text) or text[lo - 1] not in _NUMERIC or text[hi] not in _NUMERIC:
+                return at
+            at = lo if step < 0 else hi
+        at += step
+    return at
+
+
+def _places(text: str, low: str, words) -> list[int]:
+    """Where one of the words stands, also inside others."""
+    if len(low) != len(text):  # lower-casing moved something
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out = []
+    for w in words:
+        at = low.find(w)
+        while at >= 0:
+            out.append(at)
+            at = low.find(w, at + 1)
+    return out
+
+
+def _spelled_sites(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Spelled digits beside another one or beside a numeral; patterns are tried at these places only."""
+    out = []
+    for at in places:
+        m = _RUN_OF_TWO.match(text, at) or _BEFORE_NUMERAL.match(text, at)
+        if m:
+            out.append(m.span())
+        lo = at
+        while at - lo < 3 and lo > 0 and text[lo - 1] in " \t,.()-":
+            lo -= 1
+        if 0 < lo < at and text[lo - 1] in "0123456789" and (m := _ONE_SPELLED.match(text, at)):
+            out.append((lo, m.end()))
+    return out
 
 
 def _sites(text: str) -> list[tuple[int, int]]:
@@ -212,24 +288,25 @@ def _sites(text: str) -> list[tuple[int, int]]:
     out, low = [], text.lower()
     words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
     if not _SPELLED_SET.isdisjoint(words):
-        hit = [w in _SPELLED_SET for w in words]
-        if any(x and y for x, y in zip(hit, hit[1:])):
-            out += [m.span() for m in _RUN_OF_TWO.finditer(text)]
-        if any(x and _NUMERAL.search(" ".join(words[max(0, k - 1) : k + 2])) for k, x in enumerate(hit)):
-            out += [m.span() for m in _BESIDE_NUMERAL.finditer(text)]
+        out += _spelled_sites(text, _places(text, low, _SPELLED_SET.intersection(words)))
     if "dot" in low or "pun" in low or "arroba" in low:
-        out += [m.span() for m in _DOT_ALONE.finditer(text)]
+        out += [m.span() for at in _places(text, low, _DOTS) if (m := _DOT_ALONE.match(text, at))]
     if "[" in low or "(" in low or "{" in low or "<" in low:
         out += [m.span() for m in _BRACKET.finditer(text)]
     if "_at_" in low or "-at-" in low or "_dot_" in low or "-dot-" in low:
         out += [m.span() for m in _JOINED.finditer(text)]
     if " at " in low or "\tat" in low or "at\t" in low:
-        out += [m.span() for m in _AT_ALONE.finditer(text)]
+        for m in _AT_WORD.finditer(text):
+            lo = m.start()
+            while m.start() - lo < 2 and lo > 0 and text[lo - 1] in " \t":
+                lo -= 1
+            if lo > 0 and text[lo - 1] in LOCAL and text[lo - 1] != "." and (name := _NAME_AFTER.match(text, m.end() - 1)):
+                out.append((lo, name.end()))
     if " @" in low or "@ " in low or "\t@" in low or "@\t" in low:
         out += [m.span() for m in _AT_SPACED.finditer(text)]
-    if not text.isascii():
-        out += [m.span() for m in _ODD.finditer(text)]
-    return sorted(out)
+    if "." in text and _DOT_IN_NUMERAL.search(text) and _NUMERAL.search(text) and _LETTER_AND_DOT.search(text):
+        out += [m.span() for m in _LETTERED.finditer(text)]
+    return sorted(out + _odd(text))
 
 
 def found_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -237,18 +314,17 @@ def found_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     blocks: list[list[int]] = []
     for s, e in _sites(text):  # neighbourhoods that meet are one block
-        s, e = max(0, s - REACH), min(len(text), e + REACH)
+        if blocks and s - REACH <= blocks[-1][1]:
+            if e + REACH > blocks[-1][1]:
+                blocks[-1][1] = _edge(text, min(len(text), e + REACH), 1)
+            continue
+        s, e = _edge(text, max(0, s - REACH), -1), _edge(text, min(len(text), e + REACH), 1)
         if blocks and s <= blocks[-1][1]:
             blocks[-1][1] = max(blocks[-1][1], e)
         else:
             blocks.append([s, e])
     for s, e in blocks:
-        least, most = s - 4 * REACH, e + 4 * REACH
-        while s > max(0, least) and not text[s - 1].isspace():
-            s -= 1
-        while e < min(len(text), most) and not text[e].isspace():
-            e += 1
-        r = _at_and_dot(_spelled(_look_alikes(Rewritten(text[s:e], s))))
+        r = _at_and_dot(_spelled(_lettered(_look_alikes(Rewritten(text[s:e], s)))))
         for kind, spans in base_spans(r.text).items():
             for a, b in spans:
                 lo, hi = r.source(a, b)

@@ -87,3 +87,54 @@ def test_disguises_without_other_signs(text, kind, found):
 def test_prose_beside_signs_is_left_alone():
     for text in ("meet at main.street today", "he was 5 at that.time", "look @ this", "in 2019 one of 10", "a @ b"):
         assert not any(pii.spans(text)[1].values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_phones_against_the_plain_pattern(seed):
+    """Phone base spans and the digest of all base spans against plain searches."""
+    rng = random.Random(seed)
+    plain = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for _ in range(4000):
+        text = "".join(rng.choice("+0123456789 ().-ax") for _ in range(rng.randint(0, 60)))
+        want = [m.span() for m in plain.finditer(text) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        assert pii.base_spans(text)["phone"] == want
+
+
+def slow_found(text):
+    """Added spans without sites or blocks: the transducers on the whole text, mapped back."""
+    r = pii._at_and_dot(pii._spelled(pii._lettered(pii._look_alikes(pii.Rewritten(text)))))
+    out = set()
+    for kind, spans in pii.base_spans(r.text).items():
+        for a, b in spans:
+            lo, hi = r.source(a, b)
+            if text[lo:hi] != r.text[a:b]:
+                out.add((kind, lo, hi))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_added_spans_against_the_whole_text(seed):
+    """What the neighbourhoods of disguises give is what rewriting whole texts gives, far from and near to any cut."""
+    rng = random.Random(seed)
+    parts = "anna.berg [at] firma dot ch|sam at mail8.example.com|m@exаmple.com|plus one five five five one two three four five six|10 dot 0 dot 0 dot 1|1O.0.0.1|john @ example.com|+1 555 one 23 four 567|te​st@ex​ample.com|+4 55 12 345 seven|john at example.co.jp|x_at_y_dot_org|bob (at) x (dot) org".split("|")
+    fill = ["word", "42", "one", "dot", "at", "(", "+", "3.14", "a@b.cc", "un", "é", "12", "l", "x" * 300, "7 " * 90, "(1) " * 40, "\n", "  "]
+    for _ in range(150):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.15 else rng.choice(fill) for _ in range(rng.randint(1, 80)))
+        got = {(k, a, b) for k, v in pii.found_spans(text).items() for a, b in v}
+        assert got == slow_found(text), text
+
+
+def test_spans_do_not_depend_on_cuts():
+    name = "a" * 700
+    for text in (f"{name} [at] x [dot] org", f"so {name} [at] x [dot] org.", f"{name}@x [dot] {'b' * 900} [dot] org"):
+        at = text.index("a" * 700)
+        (span,) = pii.spans(text)[1]["email"]
+        assert span == (at, len(text.rstrip(".")))
+    digits = "4" * 200 + " seven"
+    assert not any(pii.spans(digits)[1].values())
+
+
+def test_letters_for_digits_and_national_endings():
+    assert pii.spans("on 1O.0.0.1 now")[1]["ip"] == [(3, 11)] and pii.spans("l92.168.O.1")[1]["ip"] == [(0, 11)]
+    assert pii.spans("john at example.co.jp")[1]["email"] == [(0, 21)]
+    assert not any(pii.spans("Ol.Ol.Il.lO and v1.O.2")[1].values())
