@@ -5,7 +5,8 @@ sentences become typed placeholders. Windows of five canonical words are hash-jo
 with those of the benchmark (a second hash of the plain lower-cased words keeps copies
 whose letter case was changed). On each alignment of a document with an item, the
 placeholders' values must be consistent: one value of the item always stands against
-the same value in the document. Windows of consistent alignments count; an item is
+the same value in the document. Numbers are told apart by what they count, the word after them: in "5 loaves for 5 coins"
+the two may change apart, in "12 apples ... 12 apples" they may not (whole-item windows and items under ten words tell no numbers apart). Windows of consistent alignments count; an item is
 found in a document when at least ``least`` of its windows are, or of those of its windows
 that can match as a template if these are at least half of all.
 
@@ -44,6 +45,8 @@ WINDOW = 5
 LEAST_PLAIN = 3
 #: The same for a window that is a whole item, and the words it has at least.
 LEAST_PLAIN_WHOLE, LEAST_WHOLE = 2, 3
+#: In shorter items equal numbers are not told apart by what they count: consistency is most of what shows them.
+LEAST_ROLES = 10
 UNITS = frozenset(
     "mm cm m km in inch inches ft feet yard yards mile miles mg g gram grams kg kilogram kilograms ton tons tonne tonnes lb lbs oz ml cl l liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent pct usd eur dollar dollars euro euros cent cents "
@@ -208,11 +211,11 @@ class Canon:
 SCHEMA = "id long, size long, open long, place long, can boolean, whole long, code long, slots array<string>"
 
 
-def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None) -> DataFrame:
+def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None, roles: bool = False) -> DataFrame:
     """``(id, size, open, place, can, whole, code, slots)`` of ``(id, text)`` rows, for all windows or for those in the sorted hashes ``wanted``.
 
     size: windows of the text, open: those that can match as a template in every reading, can: whether this one does. whole: 0, or the words of a window
-    that is a whole item; these have one of ``lengths``, or without lengths are whole texts that need one. slots: kind (O: an opener read as a name), place in the window and value of each placeholder, empty for plain hashes."""
+    that is a whole item; these have one of ``lengths``, or without lengths are whole texts that need one. slots: kind (O: an opener read as a name), place in the window and value of each placeholder, empty for plain hashes; with ``roles``, a number's value is followed by | and the word after it."""
 
     def run(batches):
         canon = Canon()
@@ -228,10 +231,13 @@ def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None
             at = np.searchsorted(known, code[hit])
             return hit[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code[hit])] if len(known) else hit[:0]
 
-        def slots(word, kind, at, length, named):
+        def role(word, kind, at):
+            return f"|{canon.surface[word[at + 1]]}" if kind[at] == NUMBER and counted[at] and kind[at + 1] != NUMBER else ""
+
+        def slots(word, kind, at, length, named, roles=roles):
             """Placeholders of the window at a word; ``named`` tells whether its opener at a place is one."""
             return [
-                f"{'_NUCO'[kind[at + j]]}{j:05d}{canon.surface[word[at + j]]}"
+                f"{'_NUCO'[kind[at + j]]}{j:05d}{canon.surface[word[at + j]]}{role(word, kind, at + j) if roles else ''}"
                 for j in range(length)
                 if kind[at + j] != PLAIN and (kind[at + j] != OPENER or named(j))
             ]
@@ -241,6 +247,8 @@ def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None
                 part = batch.slice(lo, 400)
                 ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
                 word, kind, n_words = canon.read(texts)
+                counted = np.repeat(n_words >= LEAST_ROLES, n_words)  # whether a word can have a role: not the last of its text
+                counted[(np.cumsum(n_words) - 1)[n_words > 0]] = False
                 text, place, at, template, plain, can, readings = canon.codes(word, kind, n_words)
                 sizes = np.bincount(text, minlength=len(texts))
                 opens = np.bincount(text[can], minlength=len(texts))
@@ -259,7 +267,7 @@ def windows(rows: DataFrame, wanted=None, lengths: tuple[int, ...] | None = None
                     h = hits(code != 0, code)
                     if lengths is None:
                         h = h[(n_words[of[h]] == length) & np.isin(of[h], own)]
-                    out.append((of[h], (i - begin[of])[h], np.ones(len(h), bool), length, code[h], [slots(word, kind, k, length, lambda j: reading == 2) if reading else [] for k in i[h]]))
+                    out.append((of[h], (i - begin[of])[h], np.ones(len(h), bool), length, code[h], [slots(word, kind, k, length, lambda j: reading == 2, False) if reading else [] for k in i[h]]))
                 texts_of = np.concatenate([o[0] for o in out])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -285,12 +293,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, most_window
     kind is ``reparameterised`` if a placeholder's value differs from the item's, else ``verbatim``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    asked = materialise(windows(items).dropDuplicates(["id", "place", "whole", "code"]), "decontam-items")
+    asked = materialise(windows(items, roles=True).dropDuplicates(["id", "place", "whole", "code"]), "decontam-items")
     n = asked.count()
     lengths = tuple(sorted(r["whole"] for r in asked.where("whole > 0").select("whole").distinct().collect()))
     wanted = None
     if n <= most_windows:
-        codes = np.unique(np.array([r["code"] for r in asked.select("code").distinct().collect()], np.int64).view(np.uint64))
+        codes = np.unique(asked.select("code").distinct().toArrow().column("code").to_numpy().view(np.uint64))  # 8 bytes each, at most most_windows
         wanted = spark.sparkContext.broadcast(codes)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     got = windows(rows, wanted, lengths).select(F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "whole", "code", F.col("slots").alias("doc_slots"))
@@ -305,10 +313,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, most_window
     slots = both.groupBy("doc_id", "item_id", "shift", place.alias("at"), name(F.col("s.item_slots")).alias("a"), name(F.col("s.doc_slots")).alias("b")).agg(
         F.min(opener(F.col("s")) | (F.col("whole") > 0)).alias("optional"), F.min(opener(F.col("s"))).alias("opener")
     )
-    counts = (~F.col("opener") | (F.col("a") != F.col("b"))).cast("long")
+    changed = F.substring_index("a", "|", 1) != F.col("b")
+    counts = (~F.col("opener") | changed).cast("long")
     judged = slots.groupBy("doc_id", "item_id", "shift", "a").agg(
         F.count_distinct(F.when(~F.col("optional"), F.col("b"))).alias("values"), F.count_distinct("b").alias("every"),
-        *(F.sum(F.when(of, n_of).otherwise(0)).alias(f"{tag}_{k}") for tag, of in (("must", ~F.col("optional")), ("may", F.col("optional"))) for k, n_of in (("places", counts), ("changed", (F.col("a") != F.col("b")).cast("long")))),
+        *(F.sum(F.when(of, n_of).otherwise(0)).alias(f"{tag}_{k}") for tag, of in (("must", ~F.col("optional")), ("may", F.col("optional"))) for k, n_of in (("places", counts), ("changed", changed.cast("long")))),
     )
     summed = lambda k: F.sum(F.col(f"must_{k}") + F.when(F.col("every") > 1, 0).otherwise(F.col(f"may_{k}")))
     judged = judged.groupBy(F.col("doc_id").alias("j_doc"), F.col("item_id").alias("j_item"), F.col("shift").alias("j_shift")).agg(
