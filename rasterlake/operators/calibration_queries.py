@@ -52,12 +52,23 @@ def saturation_level(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", top.alias("top"), F.round(F.log2(F.col("p_retailprice") / 100), 6).alias("baseline"))
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN ok THEN least(floor((l - 8) * 640 / 40), 639) END AS BIGINT) AS left_px, CAST(CASE WHEN ok THEN least(floor((r - 8) * 640 / 40), 639) END AS BIGINT) AS right_px FROM (SELECT *, l <= r AS ok FROM (SELECT p_partkey, greatest(p_size, 8) AS l, least(p_size + p_partkey % 30 - 10, 47) AS r FROM part))""")
+def to_decoded(rect, keep, size):
+    """A rectangle (left, top, right, bottom; ends included) in the pixels of the decoded image: cut to the kept area, shifted, rescaled by integer
+    division and held inside; null where it is empty or the kept area is malformed."""
+    x0, y0, x1, y1 = (F.greatest(r, k) if i < 2 else F.least(r, k) for i, (r, k) in enumerate(zip(rect, keep)))
+    ok = (keep[2] >= keep[0]) & (keep[3] >= keep[1]) & (x0 <= x1) & (y0 <= y1)
+    scaled = lambda v, i: F.when(ok, F.least(F.floor((v - keep[i]) * size[i] / (keep[2 + i] - keep[i] + 1)), size[i] - 1))
+    return scaled(x0, 0), scaled(y0, 1), scaled(x1, 0), scaled(y1, 1)
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN ok THEN least(floor((l - 8) * 640 / 40), 639) END AS BIGINT) AS left_px, CAST(CASE WHEN ok THEN least(floor((t - 4) * 480 / kh), 479) END AS BIGINT) AS top_px,
+CAST(CASE WHEN ok THEN least(floor((r - 8) * 640 / 40), 639) END AS BIGINT) AS right_px, CAST(CASE WHEN ok THEN least(floor((b - 4) * 480 / kh), 479) END AS BIGINT) AS bottom_px
+FROM (SELECT *, l <= r AND t <= b AND kh > 0 AS ok FROM (SELECT p_partkey, greatest(p_size, 8) AS l, least(p_size + p_partkey % 30 - 10, 47) AS r, greatest(p_size // 2, 4) AS t, least(p_size // 2 + p_partkey % 9, 3 + p_partkey % 31) AS b, p_partkey % 31 AS kh FROM part))""")
 def rect_transform(spark, sf_dir):
-    """A span cut to the kept area, shifted and rescaled by integer floor division; nothing if it is empty."""
-    p = load(spark, sf_dir, "part").select("p_partkey", F.greatest("p_size", F.lit(8)).alias("l"), F.least(F.col("p_size") + F.col("p_partkey") % 30 - 10, F.lit(47)).alias("r"))
-    scaled = lambda c: F.when(F.col("l") <= F.col("r"), F.least(F.floor((F.col(c) - 8) * 640 / 40), F.lit(639)))
-    return p.select("p_partkey", scaled("l").alias("left_px"), scaled("r").alias("right_px"))
+    p, k = F.col("p_size"), F.col("p_partkey")
+    half = F.floor(p / 2)
+    rect = to_decoded((p, half, p + k % 30 - 10, half + k % 9), (F.lit(8), F.lit(4), F.lit(47), 3 + k % 31), (F.lit(640), F.lit(480)))
+    return load(spark, sf_dir, "part").select("p_partkey", *(c.cast("long").alias(n) for c, n in zip(rect, ("left_px", "top_px", "right_px", "bottom_px"))))
 
 
 @query("SELECT p_partkey, CAST(ceil(max(abs(r * (1 + k1 * r * r + k2 * r * r * r * r) - r)) * 100) + 2 AS BIGINT) AS margin FROM (SELECT p_partkey, i / 16.0 AS r, p_size / 500.0 AS k1, -p_size / 900.0 AS k2 FROM part, range(1, 17) t(i)) GROUP BY 1")

@@ -146,20 +146,26 @@ def contrast_sigmoid(spark, sf_dir):
 
 
 def _inverse_sql():
-    m = [f"embedding[{k + 1}]::DOUBLE" for k in range(9)]
-    minor = lambda a, b, c, d: f"round(({m[a]} * {m[b]} - {m[c]} * {m[d]}) / det, 4)"
+    m = [f"m[{k + 1}]" for k in range(9)]
+    minor = lambda a, b, c, d: f"({m[a]} * {m[b]} - {m[c]} * {m[d]}) / det"
     order = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
     det = f"{m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]})"
-    return f"SELECT vec_id, {', '.join(f'{minor(*o)} AS m{k}' for k, o in enumerate(order))} FROM (SELECT *, CASE WHEN d = 0 THEN 1.0 ELSE d END AS det FROM (SELECT *, {det} AS d FROM embeddings)) WHERE abs(d) >= 0.001"
+    rows = "SELECT vec_id, list_transform(embedding[1:9], lambda v: v::DOUBLE) AS m FROM embeddings UNION ALL SELECT -1, [1.0, 2.0, 3.0, 2.0, 4.0, 6.0, 0.0, 1.0, 1.0]::DOUBLE[]"
+    top = "greatest(" + ", ".join(f"abs(i{k})" for k in range(9)) + ")"
+    inverse = f"SELECT vec_id, {', '.join(f'{minor(*o)} AS i{k}' for k, o in enumerate(order))} FROM (SELECT *, CASE WHEN d = 0 THEN 1.0 ELSE d END AS det FROM (SELECT *, {det} AS d FROM ({rows})))"
+    return f"SELECT vec_id, {', '.join(f'round(CASE WHEN top = 0 THEN 0 ELSE i{k} / top END, 6) AS m{k}' for k in range(9))}, round(CASE WHEN top > 0 THEN log10(top) END, 6) AS magnitude FROM (SELECT *, {top} AS top FROM ({inverse}))"
 
 
 @query(_inverse_sql())
 def matrix_inverse(spark, sf_dir):
+    """The inverse of every matrix over its largest entry, and that entry's decimal logarithm; one exactly singular matrix is put beside them, its determinant counts as 1."""
     from rasterlake.plans.registry import load
 
-    m = [F.col("embedding")[k].cast("double") for k in range(9)]
-    det = m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
-    return load(spark, sf_dir, "embeddings").where(F.abs(det) >= 0.001).select("vec_id", *(F.round(c, 4).alias(f"m{k}") for k, c in enumerate(C.inverse3(m))))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double")).alias("m"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("vec_id"), F.array(*map(F.lit, (1.0, 2.0, 3.0, 2.0, 4.0, 6.0, 0.0, 1.0, 1.0))).alias("m")))
+    out = rows.select("vec_id", *(c.alias(f"i{k}") for k, c in enumerate(C.inverse3([F.col("m")[k] for k in range(9)]))))
+    out = out.withColumn("top", F.greatest(*(F.abs(f"i{k}") for k in range(9))))
+    return out.select("vec_id", *(F.round(F.when(F.col("top") == 0, 0.0).otherwise(F.col(f"i{k}") / F.col("top")), 6).alias(f"m{k}") for k in range(9)), F.round(F.when(F.col("top") > 0, F.log10("top")), 6).alias("magnitude"))
 
 
 @query(f"SELECT image_id, 7 - x AS y, y AS x, round(v, 6) AS v FROM (SELECT image_id, x AS y0, y AS x0, x, y, v FROM ({S.GRAY}))".replace("7 - x AS y, y AS x", "x AS y, 7 - y AS x"))

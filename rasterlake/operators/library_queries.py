@@ -32,17 +32,26 @@ def camera_name(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.startswith(F.upper(model), F.upper(maker)), model).otherwise(F.concat(maker, F.lit(" "), model)).alias("camera"))
 
 
-@query("SELECT o_orderkey, hdr, tone OR hdr AS tone, CASE WHEN kind = 'x3f' THEN lens END AS lens FROM (SELECT o_orderkey, o_orderkey % 3 = 0 AS hdr, o_orderkey % 2 = 0 AS tone, CASE WHEN o_orderkey % 5 = 0 THEN 'x3f' ELSE 'raw' END AS kind, o_orderpriority AS lens FROM orders)")
+@query("SELECT o_orderkey, hdr, tone OR hdr AS tone, kind = 'x3f' AND denoise AS denoise, CASE WHEN kind = 'x3f' THEN lens END AS lens FROM (SELECT o_orderkey, o_orderkey % 3 = 0 AS hdr, o_orderkey % 2 = 0 AS tone, o_orderkey % 7 < 4 AS denoise, CASE WHEN o_orderkey % 5 = 0 THEN 'x3f' ELSE 'raw' END AS kind, o_orderpriority AS lens FROM orders)")
 def settings_invariants(spark, sf_dir):
-    """HDR implies automatic tone; lens settings hold for one kind of file only."""
+    """HDR implies automatic tone; denoising and lens settings hold for one kind of file only."""
     k = F.col("o_orderkey")
-    return load(spark, sf_dir, "orders").select("o_orderkey", (k % 3 == 0).alias("hdr"), ((k % 2 == 0) | (k % 3 == 0)).alias("tone"), F.when(k % 5 == 0, F.col("o_orderpriority")).alias("lens"))
+    x3f = k % 5 == 0
+    return load(spark, sf_dir, "orders").select("o_orderkey", (k % 3 == 0).alias("hdr"), ((k % 2 == 0) | (k % 3 == 0)).alias("tone"), (x3f & (k % 7 < 4)).alias("denoise"), F.when(x3f, F.col("o_orderpriority")).alias("lens"))
 
 
-@query("SELECT p_partkey, CASE WHEN ratio < 1.02 THEN 'keep' WHEN ratio < 1.2 THEN 'rescind' ELSE 'request' END AS decision, CAST(greatest(ceil(p_retailprice * 2 / 256) * 256, 1280) AS BIGINT) AS pixels FROM (SELECT *, p_size / 40.0 AS ratio FROM part)")
+def tile_decision(zoom, applied_px, shown_px, padded_px, base_px, most_px):
+    """What to do about a zoom tile: none is needed up to a zoom of 1.02; an applied one stays if it has 95 % of the pixels shown; a new one
+    is asked for only if it has 5 % more pixels than the base image gives to the region."""
+    capped = F.least(F.ceil(padded_px), most_px)
+    return F.when(zoom <= 1.02, "rescind").when(applied_px >= shown_px * 0.95, "keep").when(capped > base_px * 1.05, "request").otherwise("rescind"), capped
+
+
+@query("SELECT p_partkey, CASE WHEN zoom <= 1.02 THEN 'rescind' WHEN applied >= shown * 0.95 THEN 'keep' WHEN least(ceil(padded), 4096) > base * 1.05 THEN 'request' ELSE 'rescind' END AS decision, CAST(least(ceil(padded), 4096) AS BIGINT) AS pixels, CAST(greatest(ceil(p_retailprice * 2 / 256) * 256, 1280) AS BIGINT) AS preview FROM (SELECT *, p_size / 12.0 AS zoom, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS applied, p_size * 40.0 AS shown, p_size * 48.5 AS padded, p_retailprice AS base FROM part)")
 def tile_policy(spark, sf_dir):
-    ratio = F.col("p_size") / 40.0
-    return load(spark, sf_dir, "part").select("p_partkey", F.when(ratio < 1.02, "keep").when(ratio < 1.2, "rescind").otherwise("request").alias("decision"), F.greatest(F.ceil(F.col("p_retailprice") * 2 / 256) * 256, F.lit(1280)).cast("long").alias("pixels"))
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    what, pixels = tile_decision(size / 12.0, F.when(F.col("p_partkey") % 3 == 0, price), size * 40.0, size * 48.5, price, F.lit(4096))
+    return load(spark, sf_dir, "part").select("p_partkey", what.alias("decision"), pixels.cast("long").alias("pixels"), F.greatest(F.ceil(price * 2 / 256) * 256, F.lit(1280)).cast("long").alias("preview"))
 
 
 @query("SELECT p_partkey, pow(0.5, greatest(0, floor(log2(longest / 1600.0)))) AS scale FROM (SELECT p_partkey, p_size * 300.5 AS longest FROM part)")

@@ -10,27 +10,28 @@ from rasterlake.plans.registry import load, query
 from rasterlake.sources import surrogates as S
 
 
-def bracket(samples: DataFrame, grid: DataFrame, x: str, keys: list[str], most_grid: int = 1_000_000) -> DataFrame:
-    """Adds ``value``: the grid's y at x, linear between the two nearest knots of the same keys, held at both ends.
+def bracket(samples: DataFrame, grid: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """Adds ``value``: the grid's y at x, linear between the two nearest knots of the same keys, held at both ends; null
+    where x or a key is null, or where the grid has no knot of the keys. Every sample gives one row.
 
-    The grid becomes half-open intervals [lo, hi) with both ends; every x lies in exactly one. Grids of at
-    most ``most_grid`` rows are broadcast; larger ones are merged with the samples by a window per key, so that no range join is needed."""
+    The grid becomes half-open intervals [gx, hx), the first and the last open-ended; every x lies in exactly one. The range of a key is cut
+    into as many cells as it has knots, and an interval stands in each cell it touches: intervals are disjoint, so these are at most
+    two rows a knot. A sample then finds its interval by (keys, cell), an equi-join at any size, and no key sits in one task."""
     w = Window.partitionBy(*keys).orderBy("gx")
-    if grid.limit(most_grid + 1).count() <= most_grid:
-        parts = grid.select(*(F.col(k).alias(f"_{k}") for k in keys), "gx", "gy", F.lead("gx").over(w).alias("hx"), F.lead("gy").over(w).alias("hy"), F.row_number().over(w).alias("_n"))
-        inside = ((F.col(x) >= F.col("gx")) | (F.col("_n") == 1)) & (F.col("hx").isNull() | (F.col(x) < F.col("hx")))
-        joined = samples.join(F.broadcast(parts), [F.col(k) == F.col(f"_{k}") for k in keys] + [inside])
-        t = F.when(F.col("hx").isNull() | (F.col(x) <= F.col("gx")), F.lit(0.0)).otherwise((F.col(x) - F.col("gx")) / (F.col("hx") - F.col("gx")))
-        return joined.withColumn("value", F.col("gy") + t * (F.coalesce("hy", "gy") - F.col("gy"))).drop("gx", "gy", "hx", "hy", "_n", *(f"_{k}" for k in keys))
-    knots = grid.select(*keys, F.col("gx").alias("_x"), F.struct("gx", "gy").alias("_k"))
-    rows = samples.withColumn("_s", F.lit(1)).withColumn("_x", F.col(x)).unionByName(knots, allowMissingColumns=True)
-    at = Window.partitionBy(*keys).orderBy("_x", F.col("_s").asc_nulls_first())
-    lo = F.last("_k", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first("_k", ignorenulls=True).over(at.rowsBetween(1, Window.unboundedFollowing))
-    out = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_s = 1")
-    t = (F.col("_x") - F.col("_lo.gx")) / (F.col("_hi.gx") - F.col("_lo.gx"))
-    value = F.when(F.col("_lo").isNull(), F.col("_hi.gy")).when(F.col("_hi").isNull(), F.col("_lo.gy")).otherwise(F.col("_lo.gy") + t * (F.col("_hi.gy") - F.col("_lo.gy")))
-    return out.withColumn("value", value).drop("_s", "_x", "_k", "_lo", "_hi")
+    every = Window.partitionBy(*keys)
+    knots = grid.where(F.col("gx").isNotNull()).select(
+        *(F.col(k).alias(f"_{k}") for k in keys), "gx", "gy", F.lead("gx").over(w).alias("hx"), F.lead("gy").over(w).alias("hy"),
+        (F.row_number().over(w) == 1).alias("_first"), F.min("gx").over(every).alias("_lo"), F.max("gx").over(every).alias("_hi"), F.count(F.lit(1)).over(every).alias("_cells"),
+    )
+    cell = lambda v, lo, hi, n: F.when(hi > lo, F.least(F.greatest(F.floor((v - lo) / (hi - lo) * n), F.lit(0)), n - 1)).otherwise(0).cast("long")
+    of = lambda v: cell(v, F.col("_lo"), F.col("_hi"), F.col("_cells"))
+    cells = knots.withColumn("_cell", F.explode(F.sequence(of(F.col("gx")), F.coalesce(of(F.col("hx")), F.col("_cells") - 1))))
+    ranges = knots.where("_first").select(*(F.col(f"_{k}").alias(f"_r_{k}") for k in keys), "_lo", "_hi", "_cells")
+    placed = samples.join(ranges, [F.col(k) == F.col(f"_r_{k}") for k in keys], "left").withColumn("_at", F.when(F.col(x).isNotNull(), of(F.col(x)))).drop("_lo", "_hi", "_cells", *(f"_r_{k}" for k in keys))
+    inside = ((F.col(x) >= F.col("gx")) | F.col("_first")) & (F.col("hx").isNull() | (F.col(x) < F.col("hx")))
+    joined = placed.join(cells.drop("_lo", "_hi", "_cells"), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_cell"), inside], "left")
+    t = F.when(F.col("hx").isNull() | (F.col(x) <= F.col("gx")), F.lit(0.0)).otherwise((F.col(x) - F.col("gx")) / (F.col("hx") - F.col("gx")))
+    return joined.withColumn("value", F.col("gy") + t * (F.coalesce("hy", "gy") - F.col("gy"))).drop("gx", "gy", "hx", "hy", "_first", "_cell", "_at", *(f"_{k}" for k in keys))
 
 
 @query("SELECT c_custkey, coalesce(r.r_name, d.r_name) AS region FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 5 <> 0 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey, (SELECT r_name FROM region WHERE r_regionkey = 0) d")
@@ -168,11 +169,11 @@ def except_missing(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
 def anti_bad(spark, sf_dir):
-    """Only orders of known bad keys."""
+    """Known bad keys are skipped; a null key is not known to be bad."""
     bad = load(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(bad, "o_custkey", "left_semi").select("o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(bad, "o_custkey", "left_anti").select("o_orderkey")
 
 
 @query("SELECT n_name, ext, concat(lower(replace(n_name, ' ', '_')), '.', ext) AS out, count(*) OVER (PARTITION BY concat(lower(replace(n_name, ' ', '_')), '.', ext)) > 1 AS collides FROM nation, (SELECT unnest(['dng', 'tiff', 'jpg', 'jpg']) AS ext)")

@@ -56,13 +56,16 @@ def monotone_progress(spark, sf_dir):
 
 @query("SELECT page_id, strlen(html) AS size, CAST(sum(strlen(html) + strlen(html) % 2) OVER (ORDER BY page_id) - strlen(html) - strlen(html) % 2 + 8 AS BIGINT) AS at FROM pages".replace(" AS at", " AS pos"))
 def ifd_offsets(spark, sf_dir):
-    """Offsets of even-aligned blocks. The running sum goes over range partitions: sums per partition first,
-    then inside each, so no task sees all rows."""
+    """Offsets of even-aligned blocks. The running sum goes over cells of ids at two levels: sums of cells of cells, of cells, then
+    inside each, so the one window over everything sees a row for each four million ids."""
     size = F.octet_length("html").cast("long")
     rows = load(spark, sf_dir, "pages").select("page_id", size.alias("size"), (size + size % 2).alias("even"))
-    cells = rows.withColumn("cell", F.floor(F.col("page_id") / 1024))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.groupBy("cell").agg(F.sum("even").alias("s")).select("cell", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    cells = rows.withColumn("cell", F.floor(F.col("page_id") / 2048))
+    before = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = cells.groupBy("cell").agg(F.sum("even").alias("s")).withColumn("big", F.floor(F.col("cell") / 2048))
+    big = sums.groupBy("big").agg(F.sum("s").alias("s")).select("big", running("s", before(Window.partitionBy(F.lit(0)), "big")).alias("far"))
+    base = sums.join(big, "big").select("cell", (F.col("far") + running("s", before(Window.partitionBy("big"), "cell"))).alias("base"))
     inside = Window.partitionBy("cell").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
     return cells.join(base, "cell").select("page_id", "size", (F.lit(8) + F.col("base") + F.coalesce(F.sum("even").over(inside), F.lit(0))).alias("pos"))
 

@@ -35,9 +35,9 @@ def metering(samples: DataFrame, p: float = 0.995) -> DataFrame:
 
 
 def auto_exposure_ev(stats: DataFrame, target: float = 0.18) -> DataFrame:
-    """``(ettr_ev, key_ev)``, both clamped to [-3, 4]."""
+    """``(ettr_ev, key_ev, film_ev)``, clamped to [-3, 4]; film wants its key 0.85 stops above the target."""
     held = lambda c: F.round(F.least(F.greatest(c, F.lit(-3.0)), F.lit(4.0)), 6)
-    return stats.select(held(F.log2(0.9 / F.greatest("top", F.lit(1e-4)))).alias("ettr_ev"), held(F.log2(target / F.col("key"))).alias("key_ev"))
+    return stats.select(held(F.log2(0.9 / F.greatest("top", F.lit(1e-4)))).alias("ettr_ev"), held(F.log2(target / F.col("key"))).alias("key_ev"), held(F.log2(target * 2**0.85 / F.col("key"))).alias("film_ev"))
 
 
 _KEY = f"SELECT greatest(exp(avg(ln(greatest(v, 1e-4)))), 1e-4) AS key, count(*) AS n FROM ({S.SCENE})"
@@ -61,7 +61,7 @@ def ettr_percentile(spark, sf_dir):
     return percentile_of_bins(log2_bins(px), px.agg(F.count(F.lit(1)).alias("n_all")), 0.995).select(F.round("value", 9).alias("value"))
 
 
-@query(f"SELECT round(least(greatest(log2(0.9 / greatest(top, 1e-4)), -3.0), 4.0), 6) AS ettr_ev, round(least(greatest(log2(0.18 / key), -3.0), 4.0), 6) AS key_ev FROM ({_KEY}), ({_TOP})")
+@query(f"SELECT round(least(greatest(log2(0.9 / greatest(top, 1e-4)), -3.0), 4.0), 6) AS ettr_ev, round(least(greatest(log2(0.18 / key), -3.0), 4.0), 6) AS key_ev, round(least(greatest(log2(0.18 * pow(2, 0.85) / key), -3.0), 4.0), 6) AS film_ev FROM ({_KEY}), ({_TOP})")
 def auto_exposure(spark, sf_dir):
     return auto_exposure_ev(metering(S.scene(spark, sf_dir)))
 
@@ -147,6 +147,13 @@ def noise_bins(samples: DataFrame, keys: list[str], least: int = LEAST) -> DataF
     return bins.where(F.col("n") >= least)
 
 
+def whole_frames(bins: DataFrame, frame: str, channel: str, channels: int = 3, least: int = 4) -> DataFrame:
+    """The bins of frames that have ``least`` bins in each of their ``channels``; a frame with a weaker channel goes as a whole."""
+    strong = bins.groupBy(frame, channel).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    whole = strong.groupBy(frame).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= channels).select(frame)
+    return bins.join(whole, frame, "left_semi")
+
+
 def affine_fit(bins: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, a, b, weight)``: least squares var = a + b x weighted by n; a negative coefficient is set to 0 and the other refitted."""
     w, x, v = F.col("n").cast("double"), F.col("x"), F.col("var")
@@ -159,12 +166,21 @@ def affine_fit(bins: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, a.alias("a"), b.alias("b"), F.col("w").alias("weight"))
 
 
-def lower_weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """``(*keys, value)``: the first value whose running weight reaches half the total; values are summed up first."""
-    summed = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    part = Window.partitionBy(*keys)
-    run = summed.withColumn("_c", F.sum("_w").over(part.orderBy(value))).withColumn("_t", F.sum("_w").over(part))
-    return run.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias(value))
+def lower_weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str, cells: int = 1024) -> DataFrame:
+    """``(*keys, value)``: the first value whose running weight reaches half the total; values are summed up first.
+
+    The range of a key is cut into ``cells`` equal parts. Their sums tell in which part half the weight is reached; only that part's values are
+    sorted, from the sum before it on. So a task sees ``cells`` rows and one part of the values (all of them only where nearly all lie together)."""
+    summed = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    ends = summed.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("_w").alias("_t"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))).otherwise(0)
+    placed = summed.join(ends, keys).withColumn("_cell", cell)
+    parts = placed.groupBy(*keys, "_cell", "_t").agg(F.sum("_w").alias("_s"))
+    run = parts.withColumn("_c", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_cell")))
+    hit = run.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min_by(F.struct("_cell", (F.col("_c") - F.col("_s")).alias("_before")), "_cell").alias("_h"))
+    last = placed.join(hit.select(*keys, F.col("_h._cell").alias("_cell"), F.col("_h._before").alias("_before")), [*keys, "_cell"])
+    last = last.withColumn("_c", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy(value)))
+    return last.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias(value))
 
 
 _HP = f"""WITH p AS (SELECT image_id, y, x, (v + 0.6) / 1.2 * (1 + image_id % 5) / 5 AS v FROM ({S.GRAY})),
@@ -173,7 +189,8 @@ FROM p c JOIN p n ON n.image_id = c.image_id AND n.y BETWEEN c.y - 1 AND c.y + 1
 _BIN_OF = "CASE " + " ".join(f"WHEN m >= {EDGES[k]!r} AND m < {EDGES[k + 1]!r} THEN {k}" for k in range(40)) + " END"
 _NB = _HP + f""", nb AS (SELECT frame, ch, bin, quantile_cont(m, 0.5) AS x, pow(1.4826 * quantile_cont(abs(d), 0.5), 2) AS var, count(*) AS n
 FROM (SELECT CAST(floor(image_id / 30) AS BIGINT) AS frame, image_id % 3 AS ch, m, d, {_BIN_OF} AS bin FROM hp WHERE m > 0 AND m < {CLIP}) WHERE bin IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST})"""
-_FIT = _NB + """, sm AS (SELECT frame, ch, sum(n)::DOUBLE AS w, sum(n * x) AS wx, sum(n * var) AS wv, sum(n * x * x) AS wxx, sum(n * x * var) AS wxv, count(*) AS k FROM nb GROUP BY 1, 2),
+_FIT = _NB + """, whole AS (SELECT frame FROM (SELECT frame, ch FROM nb GROUP BY 1, 2 HAVING count(*) >= 4) GROUP BY 1 HAVING count(*) >= 3),
+sm AS (SELECT frame, ch, sum(n)::DOUBLE AS w, sum(n * x) AS wx, sum(n * var) AS wv, sum(n * x * x) AS wxx, sum(n * x * var) AS wxv, count(*) AS k FROM nb WHERE frame IN (SELECT frame FROM whole) GROUP BY 1, 2),
 f0 AS (SELECT *, (w * wxv - wx * wv) / (w * wxx - wx * wx) AS b0 FROM sm WHERE k >= 2 AND w * wxx - wx * wx > 1e-12), f1 AS (SELECT *, (wv - b0 * wx) / w AS a0 FROM f0),
 fit AS (SELECT frame, ch, CASE WHEN a0 < 0 THEN 0 WHEN b0 < 0 THEN wv / w ELSE a0 END AS a, CASE WHEN a0 < 0 THEN wxv / wxx WHEN b0 < 0 THEN 0 ELSE b0 END AS b, w AS weight FROM f1)"""
 
@@ -195,7 +212,7 @@ def noise_bins_mad(spark, sf_dir):
 
 @query(_FIT + " SELECT frame, ch, round(a, 7) AS a, round(b, 7) AS b, weight FROM fit")
 def noise_affine_fit(spark, sf_dir):
-    fit = affine_fit(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), ["frame", "ch"])
+    fit = affine_fit(whole_frames(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), "frame", "ch"), ["frame", "ch"])
     return fit.select("frame", "ch", F.round("a", 7).alias("a"), F.round("b", 7).alias("b"), "weight")
 
 
@@ -206,9 +223,11 @@ def _median_sql(c):
 @query(_FIT + f" SELECT ch, round(greatest(a, pow(1.0 / 1024, 2) / 12), 7) AS a, round(b, 7) AS b FROM {_median_sql('a')} JOIN {_median_sql('b')} USING (ch)")
 def noise_profile(spark, sf_dir):
     """Stencil, filter, robust bins, weighted fit and weighted median: the whole noise job."""
-    fit = affine_fit(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), ["frame", "ch"]).persist()
-    a, b = (lower_weighted_median(fit, ["ch"], c, "weight") for c in ("a", "b"))
-    return a.join(b, "ch").select("ch", F.round(F.greatest("a", F.lit((1 / 1024) ** 2 / 12)), 7).alias("a"), F.round("b", 7).alias("b"))
+    fit = affine_fit(whole_frames(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), "frame", "ch"), ["frame", "ch"])
+    both = fit.select("ch", "weight", F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("v")), F.struct(F.lit("b").alias("of"), F.col("b").alias("v")))).alias("p"))
+    found = lower_weighted_median(both.select("ch", "weight", "p.of", "p.v"), ["ch", "of"], "v", "weight")
+    found = found.groupBy("ch").agg(*(F.max(F.when(F.col("of") == c, F.col("v"))).alias(c) for c in ("a", "b")))
+    return found.select("ch", F.round(F.greatest("a", F.lit((1 / 1024) ** 2 / 12)), 7).alias("a"), F.round("b", 7).alias("b"))
 
 
 @query("SELECT l_returnflag, min(l_extendedprice) AS value FROM (SELECT l_returnflag, l_extendedprice, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS c, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS t FROM lineitem) WHERE c >= t / 2 GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterlake.plans.registry import query
 from rasterlake.sources import surrogates as S
@@ -152,15 +153,19 @@ def tile_overlap_add(spark, sf_dir):
     return overlap_add(S.gray(spark, sf_dir), 4, 3, S.SIDE).select("image_id", "y", "x", F.round("v", 7).alias("v"))
 
 
-@query(f"WITH p AS ({S.GRAY}) SELECT image_id, y, x, round(v, 7) AS v FROM p")
+@query(f"""WITH p AS ({S.GRAY}) SELECT c.image_id, c.y, c.x, round(c.v * 0.5 + sum(n.v) * 0.125, 7) AS v FROM p c, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), p n
+WHERE n.image_id = c.image_id AND n.y = least(greatest(c.y + dy, 0), 7) AND n.x = least(greatest(c.x + dx, 0), 7) GROUP BY c.image_id, c.y, c.x, c.v""")
 def d4_ensemble(spark, sf_dir):
-    """Mean of the eight symmetric variants of a pointwise model, each turned back: here it must equal the model itself."""
+    """Mean of a model over the eight symmetric variants of its input, each result turned back. The model mixes a pixel with its left neighbour
+    alone, so each variant gives another image, and the mean has all four neighbours alike."""
     n = S.SIDE - 1
     forth = [("y", "x"), ("x", f"{n} - y"), (f"{n} - y", f"{n} - x"), (f"{n} - x", "y"), ("y", f"{n} - x"), (f"{n} - x", f"{n} - y"), (f"{n} - y", "x"), ("x", "y")]
     back = [0, 3, 2, 1, 4, 5, 6, 7]
     px = S.gray(spark, sf_dir)
     variants = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.expr(a).cast("int").alias("ty"), F.expr(b).cast("int").alias("tx")) for k, (a, b) in enumerate(forth))))
     turned = px.select("image_id", "v", variants.alias("t")).select("image_id", "v", "t.k", F.col("t.ty").alias("y"), F.col("t.tx").alias("x"))
+    left = F.lag("v").over(Window.partitionBy("image_id", "k", "y").orderBy("x"))
+    turned = turned.withColumn("v", 0.5 * F.col("v") + 0.5 * F.coalesce(left, "v"))
     pick = lambda i: F.expr("CASE k " + " ".join(f"WHEN {k} THEN {forth[b][i]}" for k, b in enumerate(back)) + " END").cast("int")
     home = turned.select("image_id", "v", pick(0).alias("y"), pick(1).alias("x"))
     return home.groupBy("image_id", "y", "x").agg(F.round(F.avg("v"), 7).alias("v"))

@@ -39,19 +39,38 @@ def test_weighted_median_is_the_lower_one(spark):
     assert {r["k"]: r["v"] for r in stats_queries.lower_weighted_median(d, ["k"], "v", "w").collect()} == {"a": 1.0, "b": 7.0}
 
 
+def test_weighted_median_against_sorting(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", float(v), float(w)) for v, w in zip(rng.lognormal(0, 3, 500), rng.integers(0, 5, 500))] + [("b", float(v), 1.0) for v in rng.integers(0, 4, 40)]
+    want = {}
+    for k in "ab":
+        v = sorted((x, w) for c, x, w in rows if c == k)
+        total, run = sum(w for _, w in v) / 2, np.cumsum([w for _, w in v])
+        want[k] = v[int(np.flatnonzero(run >= total)[0])][0]
+    for cells in (1, 7, 1024):
+        got = stats_queries.lower_weighted_median(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], "v", "w", cells)
+        assert {r["k"]: r["v"] for r in got.collect()} == want
+
+
+def test_frames_with_a_weak_channel_go(spark):
+    bins = [(f, c, b) for f, sizes in enumerate(((4, 4, 4), (9, 9, 3), (5, 5, 0))) for c, n in enumerate(sizes) for b in range(n)]
+    kept = stats_queries.whole_frames(spark.createDataFrame(bins, "frame int, ch int, bin int"), "frame", "ch")
+    assert {r["frame"] for r in kept.collect()} == {0} and kept.count() == 12
+
+
 def test_fit_refits_when_negative(spark):
     d = spark.createDataFrame([(1, 0.1, 0.0, 5), (1, 0.2, 1.0, 5), (2, 0.1, 1.0, 5), (2, 0.2, 0.0, 5)], "f int, x double, var double, n int")
     got = {r["f"]: (r["a"], r["b"]) for r in stats_queries.affine_fit(d, ["f"]).collect()}
     assert got[1][0] == 0 and got[1][1] == pytest.approx(0.2 / 0.05) and got[2] == (0.5, 0.0)
 
 
-def test_bracket_both_ways(spark):
-    grid = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 20.0), ("a", 4.0, 0.0)], "k string, gx double, gy double")
-    pts = spark.createDataFrame([("a", v) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0)], "k string, x double")
-    want = [10.0, 10.0, 15.0, 20.0, 10.0, 0.0, 0.0]
-    for most in (1_000_000, 0):
-        got = sorted((r["x"], r["value"]) for r in lookup_queries.bracket(pts, grid, "x", ["k"], most).collect())
-        assert [v for _, v in got] == pytest.approx(want)
+def test_bracket(spark):
+    """Ends are held; missing keys and nulls give null values; every sample gives one row; knots crowd or stand alone."""
+    grid = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 20.0), ("a", 4.0, 0.0), ("one", 5.0, 7.0), (None, 1.0, 1.0), *(("many", 1e-6 * k, float(k)) for k in range(300)), ("many", 1e6, -1.0)], "k string, gx double, gy double")
+    pts = [("a", v) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0, None)] + [("none", 1.0), (None, 1.0), ("one", -3.0), ("one", 8.0), ("many", 1.5e-6), ("many", -1.0), ("many", 2e6)]
+    want = [10.0, 10.0, 15.0, 20.0, 10.0, 0.0, 0.0, None, None, None, 7.0, 7.0, 1.5, 0.0, -1.0]
+    got = {(r["k"], r["x"]): r["value"] for r in lookup_queries.bracket(spark.createDataFrame(pts, "k string, x double"), grid, "x", ["k"]).collect()}
+    assert len(got) == len(pts) and [got[p] for p in pts] == [w if w is None else pytest.approx(w, abs=1e-9) for w in want]
 
 
 def test_range_match_against_all_pairs(spark):
