@@ -8,6 +8,7 @@ wrapping once after the sum, the global minimum by a partial aggregate.
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import numpy as np
@@ -67,11 +68,55 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return sections(spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX]3[fF]").option("recursiveFileLookup", "true").load(path))
 
 
+HEADERS = "path string, version long, rotation long, orientation int, white_balance string, error string"
+#: Fixed values of the format: from this version on the header has no rotation; from that one on it has a white balance.
+NO_ROTATION, HAS_BALANCE = 0x40000, 0x20001
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """Version, rotation (with its TIFF orientation) and white balance of each file."""
+
+    def one(path: str, blob: bytes) -> tuple:
+        if len(blob) < 8 or blob[:4] != MAGIC:
+            return path, None, None, None, None, "bad magic"
+        (version,) = struct.unpack_from("<I", blob, 4)
+        rotation, balance = 0, ""
+        if version < NO_ROTATION:
+            if len(blob) < 72:
+                return path, version, None, None, None, "short header"
+            (rotation,) = struct.unpack_from("<I", blob, 36)
+            balance = _text(blob[40:72], 0) if version >= HAS_BALANCE else ""
+        return path, version, rotation, {90: 6, 180: 3, 270: 8}.get(rotation, 1), balance, None
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(p, b) for p, b in zip(pdf["path"], pdf["content"])], columns=[c.split()[0] for c in HEADERS.split(", ")]).astype(object)
+
+    return files.select("path", F.substring("content", 1, 72).alias("content")).mapInPandas(run, HEADERS)
+
+
+#: Fixed values of the format: type and formats of raw images.
+RAW_KIND, RAW_FORMATS = 3, (5, 6)
+
+
 def image_section(rows: DataFrame) -> DataFrame:
-    """The first image section of each file; files without one get an error row."""
-    fits = (F.col("identifier") == "SECi") & F.col("columns").between(1, MOST_SIDE) & F.col("rows").between(1, MOST_SIDE)
-    best = rows.groupBy("path").agg(F.min_by(F.struct("columns", "rows", "stride", "data"), F.when(fits, F.col("pos"))).alias("s"), F.first("error", ignorenulls=True).alias("error"))
-    return best.select("path", "s.*", F.coalesce("error", F.when(F.col("s").isNull(), "no image section")).alias("error"))
+    """The first raw image section of each file (previews are image sections of other formats); a file without one, or with one that is too
+    short for what it announces, gets a row with an error."""
+    image, raw = F.col("identifier") == "SECi", (F.col("kind") == RAW_KIND) & F.col("format").isin(*RAW_FORMATS)
+    best = rows.groupBy("path").agg(
+        F.min_by(F.struct("format", "columns", "rows", "stride", "data"), F.when(image & raw, F.col("pos"))).alias("s"), F.max(image).alias("some"), F.first("error", ignorenulls=True).alias("error")
+    )
+    size = F.length("s.data")
+    side = F.col("s.columns").between(1, MOST_SIDE) & F.col("s.rows").between(1, MOST_SIDE)
+    wrong = (
+        F.when(~F.coalesce("some", F.lit(False)), "no image section")
+        .when(F.col("s").isNull(), "no image section of a raw format")
+        .when(~side, "implausible image size")
+        .when(size < 2 * TABLE, "mapping table out of range")
+        .when((F.col("s.stride") == 0) & (size < 6 * TABLE + 4 * F.col("s.rows")), "code table or row offsets out of range")
+        .when((F.col("s.stride") > 0) & (size < 2 * TABLE + F.col("s.stride") * (F.col("s.rows") - 1) + 4 * F.col("s.columns")), "image out of range")
+    )
+    return best.select("path", "s.*", F.coalesce("error", wrong).alias("error"))
 
 
 def huffman(table: np.ndarray) -> dict[tuple[int, int], int]:
@@ -79,21 +124,37 @@ def huffman(table: np.ndarray) -> dict[tuple[int, int], int]:
     return {(w >> 27, w & 0x7FFFFFF): k for k, w in reversed(list(enumerate(table.tolist()))) if w and w >> 27 and (w & 0x7FFFFFF) < 1 << (w >> 27)}
 
 
-def _huffman_row(bits: np.ndarray, codes: dict, mapping: np.ndarray, n: int) -> list[int]:
-    """n mapped symbols from a row's bits, most significant first; zeros follow the end, a code that leads nowhere is 0."""
-    out, at, longest = [], 0, max((k[0] for k in codes), default=0)
-    for _ in range(n):
-        code, value = 0, 0
-        for length in range(1, longest + 1):
-            code = code << 1 | (int(bits[at + length - 1]) if at + length <= len(bits) else 0)
-            hit = codes.get((length, code))
-            if hit is not None:
-                value, at = int(mapping[hit]), at + length
-                break
-        else:
-            at += longest
-        out.append(value)
-    return out
+class Codes:
+    """The codes as ranges of left-aligned bit patterns, so that the code at every bit of a row is one search in NumPy."""
+
+    def __init__(self, codes: dict[tuple[int, int], int], mapping: np.ndarray):
+        self.longest = max((length for length, _ in codes), default=0)
+        spans: list[tuple[int, int, int, int]] = []
+        for (length, code), k in sorted(codes.items()):  # a code behind a shorter one that begins it is never reached
+            lo, hi = code << (self.longest - length), (code + 1) << (self.longest - length)
+            if not any(a <= lo < b for a, b, _, _ in spans if b - a > hi - lo):
+                spans.append((lo, hi, length, int(mapping[k])))
+        spans.sort()
+        self.lo, self.hi, self.length, self.value = (np.array([s[i] for s in spans], np.int64) for i in range(4))
+
+    def row(self, data: bytes, n: int) -> list[int]:
+        """n mapped symbols of a row, most significant bit first; zeros follow the end, a code that leads nowhere is 0."""
+        if not self.longest or not len(self.lo):
+            return [0] * n
+        bits = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(self.longest + 1, np.uint8)]).astype(np.int64)
+        size = len(bits) - self.longest
+        window = np.zeros(size, np.int64)
+        for k in range(self.longest):
+            window = window << 1 | bits[k : k + size]
+        at = np.searchsorted(self.lo, window, "right") - 1
+        known = (at >= 0) & (window < self.hi[at])
+        step = np.where(known, self.length[at], self.longest).tolist()
+        value, last = np.where(known, self.value[at], 0).tolist(), size - 1
+        out, place = [], 0
+        for _ in range(n):
+            out.append(value[place])
+            place = min(place + step[place], last)
+        return out
 
 
 def _differences(columns: int, rows: int, stride: int, data: bytes):
@@ -101,15 +162,14 @@ def _differences(columns: int, rows: int, stride: int, data: bytes):
     mapping, body = np.frombuffer(data, "<u2", TABLE).astype(np.int64), data[2 * TABLE :]
     if stride:
         for y in range(rows):
-            line = body[y * stride : y * stride + 4 * columns].ljust(4 * columns, b"\0")
-            words = np.frombuffer(line, "<u4")
+            words = np.frombuffer(body[y * stride : y * stride + 4 * columns], "<u4")
             for c in range(3):
                 yield y, c, mapping[(words >> (10 * c)) & 1023].tolist()
         return
-    codes = huffman(np.frombuffer(body, "<u4", TABLE))
+    codes = Codes(huffman(np.frombuffer(body, "<u4", TABLE)), mapping)
     body, starts = body[4 * TABLE : len(body) - 4 * rows], np.frombuffer(body[len(body) - 4 * rows :], "<u4")
     for y in range(rows):
-        got = _huffman_row(np.unpackbits(np.frombuffer(body[starts[y] : (starts[y + 1] if y + 1 < rows else len(body))], np.uint8)), codes, mapping, 3 * columns)
+        got = codes.row(body[starts[y] : (starts[y + 1] if y + 1 < rows else len(body))], 3 * columns)
         for c in range(3):
             yield y, c, got[c::3]
 
@@ -132,13 +192,23 @@ def decode(images: DataFrame) -> DataFrame:
     return out.select("path", "y", "x", "ch", "s")
 
 
+@functools.cache
+def _cycle() -> tuple[np.ndarray, np.ndarray]:
+    """The states of the cipher's linear congruence in the order it runs through them all, and each state's place."""
+    states, key = np.zeros(244944, np.int64), 0
+    for k in range(len(states)):
+        states[k] = key
+        key = (key * 1597 + 51749) % 244944
+    place = np.zeros_like(states)
+    place[states] = np.arange(len(states))
+    return states, place
+
+
 def keystream(key: int, n: int) -> np.ndarray:
     """The cipher's bytes: a linear congruence scaled to one byte."""
-    out = np.zeros(n, np.uint8)
-    for k in range(n):
-        key = (key * 1597 + 51749) % 244944
-        out[k] = (key << 8) // 244944
-    return out
+    states, place = _cycle()
+    first = (key * 1597 + 51749) % 244944
+    return ((states[(place[first] + np.arange(n)) % len(states)] << 8) // 244944).astype(np.uint8)
 
 
 def decrypt(data: bytes, key: int) -> bytes:
@@ -168,9 +238,9 @@ def properties(rows: DataFrame) -> DataFrame:
     return named.mapInPandas(run, "path string, pos int, key string, value string").groupBy("path", "key").agg(F.min_by("value", "pos").alias("value"))
 
 
-def container(bodies: list[bytes]) -> bytes:
+def container(bodies: list[bytes], rotation: int = 0, balance: str = "") -> bytes:
     """A file of the given sections, for round trips."""
-    head = MAGIC + struct.pack("<I", 0x00020003) + bytes(32)
+    head = MAGIC + struct.pack("<I", 0x00020003) + bytes(28) + struct.pack("<I", rotation) + balance.encode()[:31].ljust(32, b"\0")
     at, places = len(head), []
     for b in bodies:
         places.append((at, len(b), b[:4]))
@@ -183,7 +253,7 @@ def packed_section(image: np.ndarray, mapping: np.ndarray, index: dict[int, int]
     d = np.diff(image.astype(np.int64), axis=1, prepend=0)
     idx = np.vectorize(index.__getitem__)(d)
     words = (idx[..., 0] | idx[..., 1] << 10 | idx[..., 2] << 20).astype("<u4")
-    return b"SECi" + struct.pack("<6I", 0x20000, 2, 0x30005, image.shape[1], image.shape[0], 4 * image.shape[1]) + mapping.astype("<u2").tobytes() + words.tobytes()
+    return b"SECi" + struct.pack("<6I", 0x20000, RAW_KIND, 5, image.shape[1], image.shape[0], 4 * image.shape[1]) + mapping.astype("<u2").tobytes() + words.tobytes()
 
 
 @query(f"SELECT image_id, y, x, unnest([0, 1, 2]) AS ch, unnest([CAST(floor(c0 / 16) AS BIGINT), CAST(floor(c1 / 16) AS BIGINT), CAST(floor(c2 / 16) AS BIGINT)]) AS s FROM ({S.COLOUR})")

@@ -23,7 +23,7 @@ def coded_section(image):
         bits = "".join(f"{words[v][1]:0{words[v][0]}b}" for v in d[y].ravel().tolist())
         offsets.append(len(body))
         body += int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
-    head = b"SECi" + struct.pack("<6I", 0x20000, 2, 0x30006, cols, rows, 0)
+    head = b"SECi" + struct.pack("<6I", 0x20000, 3, 6, cols, rows, 0)
     return head + mapping.tobytes() + table.tobytes() + body + struct.pack(f"<{rows}I", *offsets)
 
 
@@ -57,6 +57,59 @@ def test_coded_image_and_properties(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in x3f.properties(rows).collect()} == {("ISO", "100"), ("LENSMODEL", "späte Linse")}
 
 
+def test_raw_section_behind_a_preview(spark, tmp_path):
+    """The raw image is told by its format; broken files are rows with an error beside good ones."""
+    image = np.arange(60).reshape(4, 5, 3) % 23
+    preview = b"SECi" + struct.pack("<6I", 0x20000, 2, 11, 5, 4, 20) + bytes(4000)
+    good = coded_section(image)
+    (tmp_path / "good.x3f").write_bytes(x3f.container([preview, good], 90, "Sunlight"))
+    (tmp_path / "preview.x3f").write_bytes(x3f.container([preview]))
+    (tmp_path / "short.x3f").write_bytes(x3f.container([good[: 28 + 6000]]))
+    (tmp_path / "tiny.x3f").write_bytes(x3f.container([good[: 28 + 100]]))
+    (tmp_path / "packed.x3f").write_bytes(x3f.container([x3f.packed_section(image, (np.arange(1024) - 512) & 0xFFFF, {k - 512: k for k in range(1024)})[:-9]]))
+    (tmp_path / "wide.x3f").write_bytes(x3f.container([b"SECi" + struct.pack("<6I", 0x20000, 3, 6, 30000, 1, 0)]))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    images = x3f.image_section(x3f.sections(files)).collect()
+    name = lambda r: r["path"].rsplit("/", 1)[1].split(".")[0]
+    assert {name(r): r["error"] for r in images} == {
+        "good": None, "preview": "no image section of a raw format", "short": "code table or row offsets out of range", "tiny": "mapping table out of range",
+        "packed": "image out of range", "wide": "implausible image size",
+    }
+    got = np.zeros(image.shape, int)
+    for r in x3f.decode(x3f.image_section(x3f.sections(files))).collect():
+        assert name(r) == "good"
+        got[r["y"], r["x"], r["ch"]] = r["s"]
+    assert np.array_equal(got, image - image.min())
+    (head,) = [r for r in x3f.headers(files).collect() if name(r) == "good"]
+    assert (head["version"], head["rotation"], head["orientation"], head["white_balance"], head["error"]) == (0x20003, 90, 6, "Sunlight", None)
+
+
+def test_codes_against_bit_by_bit():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        table = np.zeros(1024, np.uint32)
+        for k in range(12):
+            length = int(rng.integers(1, 7))
+            table[k] = length << 27 | int(rng.integers(0, 1 << length))
+        codes, mapping = x3f.huffman(table), rng.integers(0, 65536, 1024)
+        data = rng.integers(0, 256, 20, dtype=np.uint8).tobytes()
+        bits, longest, want, at = np.unpackbits(np.frombuffer(data, np.uint8)), max(k[0] for k in codes), [], 0
+        for _ in range(60):
+            hit = next(((n, codes[n, c]) for n in range(1, longest + 1) if (n, c := int("".join(str(bits[at + j]) if at + j < len(bits) else "0" for j in range(n)), 2)) in codes), None)
+            want.append(int(mapping[hit[1]]) if hit else 0)
+            at += hit[0] if hit else longest
+        assert x3f.Codes(codes, mapping).row(data, 60) == want
+
+
+def test_keystream_against_steps():
+    for start in (0, 1, 4242, 244943, 300000):
+        key, want = start, []
+        for _ in range(50):
+            key = (key * 1597 + 51749) % 244944
+            want.append((key << 8) // 244944)
+        assert x3f.keystream(start, 50).tolist() == want
+
+
 def test_cipher_is_its_own_inverse():
     data = bytes(range(256)) * 3
     assert x3f.decrypt(x3f.decrypt(data, 77), 77) == data and x3f.decrypt(data, 77) != data
