@@ -57,6 +57,8 @@ def to_decoded(rect, keep, size):
     division and held inside; null where it is empty or the kept area is malformed."""
     x0, y0, x1, y1 = (F.greatest(r, k) if i < 2 else F.least(r, k) for i, (r, k) in enumerate(zip(rect, keep)))
     ok = (keep[2] >= keep[0]) & (keep[3] >= keep[1]) & (x0 <= x1) & (y0 <= y1)
+    for r in rect:  # greatest and least pass over nulls
+        ok = ok & r.isNotNull()
     scaled = lambda v, i: F.when(ok, F.least(F.floor((v - keep[i]) * size[i] / (keep[2 + i] - keep[i] + 1)), size[i] - 1))
     return scaled(x0, 0), scaled(y0, 1), scaled(x1, 0), scaled(y1, 1)
 

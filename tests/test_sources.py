@@ -151,3 +151,55 @@ def test_metadata_entries(spark, tmp_path):
     assert got["I"]["i32"] == [-1, 2, 3] and got["U"]["u32"] == [7, 65535]
     assert [(p["key"], p["value"]) for p in got["List"]["props"]] == [("k1", "v1"), ("k2", "v2")]
     assert got["odd"]["error"] and got["long"]["error"] and len(got) == 6
+
+
+def list_entry(name, pairs):
+    text, table = b"", []
+    for p in pairs:
+        for part in p:
+            table.append(len(text))
+            text += part.encode() + b"\0"
+    body = struct.pack("<II", len(pairs), 20 + 8 + 4 * len(table)) + struct.pack(f"<{len(table)}I", *table) + text
+    return b"CMbP" + struct.pack("<IIII", 0, 20 + len(body) + len(name) + 1, 20 + len(body), 20) + body + name.encode() + b"\0"
+
+
+def test_prepare_and_develop(spark, tmp_path):
+    """A whole file: section choice, metadata, calibration, black level, active area and development against NumPy."""
+    from rasterlake.functions import color as C
+    from rasterlake.operators import develop_queries as D
+
+    rng = np.random.default_rng(5)
+    image = rng.integers(100, 900, (6, 8, 3))
+    image -= image.min() - 1  # coded images are lifted by their smallest sample, here none
+    image[0] = image[0] % 40
+    f32 = lambda *v: struct.pack(f"<{len(v)}f", *v)
+    u32 = lambda *v: struct.pack(f"<{len(v)}I", *v)
+    cc, gain = rng.uniform(0.2, 1, 9) + np.eye(3).ravel(), [1.5, 1.0, 2.0]
+    blob = (
+        list_entry("WhiteBalanceGains", [("Sunlight", "GainSun"), ("Overcast", "GainCloud")]) + list_entry("WhiteBalanceColorCorrections", [("Sunlight", "MatrixSun")])
+        + matrix_entry("GainSun", 3, [3], f32(*gain)) + matrix_entry("GainCloud", 3, [3], f32(2, 1, 4)) + matrix_entry("MatrixSun", 3, [3, 3], f32(*cc))
+        + matrix_entry("TempGainFact", 3, [3], f32(1, 2, 1)) + matrix_entry("CaptureISO", 3, [1], f32(400)) + matrix_entry("SensorISO", 3, [1], f32(100))
+        + matrix_entry("KeepImageArea", 1, [4], u32(10, 20, 17, 25)) + matrix_entry("ActiveImageArea", 1, [4], u32(11, 21, 16, 24)) + matrix_entry("DarkShieldTop", 1, [4], u32(10, 20, 17, 20))
+        + matrix_entry("ImageDepth", 1, [1], u32(10)) + b"\0" * 24
+    )
+    meta = b"SECc" + struct.pack("<6I", 0x20000, 2, 0, 0, 0, 99) + x3f.decrypt(blob, 99)
+    (tmp_path / "a.x3f").write_bytes(x3f.container([coded_section(image), meta], 270, "Sunlight"))
+    (tmp_path / "b.x3f").write_bytes(x3f.container([coded_section(image)]))
+    px, images = D.prepared(spark.read.format("binaryFile").load(str(tmp_path)))
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in images.collect()}
+    a = rows["a.x3f"]
+    assert rows["b.x3f"]["error"] == "no metadata section" and a["error"] is None and (a["orientation"], a["wb"], a["baseline"]) == (8, "Sunlight", 2.0)
+    decoded = image - min(image.min(), 0)
+    bmt = np.array(C.SRGB_TO_XYZ).reshape(3, 3) @ np.float32(cc).astype(float).reshape(3, 3)
+    g = np.array(gain) * [1, 2, 1]
+    assert np.allclose(a["gain"], g) and np.allclose(a["neutral"], 1 / g) and np.allclose(a["camera_calibration"], 1 / (np.array([2, 1, 4]) * [1, 2, 1]))
+    assert np.allclose(np.array(a["color_matrix"]).reshape(3, 3), np.linalg.inv(bmt)) and np.allclose(np.array(a["forward_matrix"]).reshape(3, 3), np.array(D.D65_TO_D50).reshape(3, 3) @ bmt)
+    assert a["top"] == [1023.0] * 3 and np.allclose(a["black"], decoded[0].mean(0)) and a["area"] == [1, 1, 5, 7]
+    n = (decoded - decoded[0].mean(0)) / (1023 - decoded[0].mean(0))
+    rgb = np.maximum(n * g, 0) @ (np.array(C.XYZ_TO_SRGB).reshape(3, 3) @ bmt).T
+    t = np.clip((n.max(-1) - 0.88) / 0.12, 0, 1)[..., None]
+    want = (rgb + t * (rgb.max(-1, keepdims=True) - rgb))[1:5, 1:7]
+    got = np.zeros(want.shape)
+    for r in D.develop(px.withColumnRenamed("path", "image_id"), images.withColumnRenamed("path", "image_id")).collect():
+        got[r["y"], r["x"]] = r["r"], r["g"], r["b"]
+    assert np.allclose(got, want, atol=1e-6)
