@@ -203,3 +203,37 @@ def test_prepare_and_develop(spark, tmp_path):
     for r in D.develop(px.withColumnRenamed("path", "image_id"), images.withColumnRenamed("path", "image_id")).collect():
         got[r["y"], r["x"]] = r["r"], r["g"], r["b"]
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_dng_layout():
+    """Places are even, values and strips stand where the directories say, tags are in order; broken files raise in a defined way."""
+    rng = np.random.default_rng(1)
+    samples, preview = rng.integers(0, 65536, (5, 7, 3)), rng.integers(0, 256, (3, 3, 3))
+    cal = {"color_matrix": rng.normal(size=9), "forward_matrix": rng.normal(size=9), "camera_calibration": [0.5, 1.0, 0.25], "neutral": [0.5, 1, 0.7], "baseline": -1.5}
+    gain = rng.uniform(1, 2, (3, 4, 3))
+    opcodes = tiff.gain_map(5, 7, [1, 1, 5, 6], gain)
+    blob = tiff.dng_bytes(samples, preview, cal, 6, "Model X", {"A": '<"&'}, [1, 1, 5, 6], opcodes)
+    raw, small = tiff.parse(blob)
+    one = lambda d, t: struct.unpack("<I", d[t][2])[0]
+    assert list(raw) == sorted(raw) and one(raw, 273) % 2 == 0 and one(small, 273) % 2 == 0 and one(raw, 273) > one(small, 273)
+    assert np.array_equal(np.frombuffer(blob, "<u2", samples.size, one(raw, 273)).reshape(samples.shape), samples)
+    assert np.array_equal(np.frombuffer(blob, "u1", preview.size, one(small, 273)).reshape(preview.shape), preview)
+    back = np.frombuffer(raw[50721][2], "<i4").reshape(-1, 2)
+    assert np.allclose(back[:, 0] / back[:, 1], cal["color_matrix"], atol=1e-4) and raw[50708][2] == b"Model X\0" and raw[51009][2] == opcodes
+    assert struct.unpack(">5I", opcodes[:20]) == (1, 9, 0x01030000, 0, 76 + gain.size * 4) and len(opcodes) == 20 + 76 + gain.size * 4
+    assert np.allclose(struct.unpack(">4d", opcodes[60:92]), (5 / 4 / 2, 7 / 5 / 3, -1 / 4, -1 / 5)) and np.allclose(np.frombuffer(opcodes[96:], ">f4"), gain.ravel())
+    assert tiff.gain_map(5, 7, [1, 1, 1, 6], gain) is None and tiff.gain_map(5, 7, [0, 0, 5, 7], gain[:1]) is None
+    import xml.dom.minidom
+
+    packet = raw[700][2].decode()
+    assert xml.dom.minidom.parseString(packet[packet.index("<x:") : packet.index("<?xpacket end")]).getElementsByTagName("rdf:Description")[0].getAttribute("crs:A") == '<"&'
+    other = tiff.replace_packet(blob, b"other packet!")
+    again = tiff.parse(other)
+    assert again[0][700][2] == b"other packet!" and np.array_equal(np.frombuffer(other, "<u2", samples.size, one(again[0], 273)).reshape(samples.shape), samples)
+
+
+def test_directories_of_broken_files(spark):
+    good = tiff.tiff_bytes(np.zeros((2, 2, 3)))
+    files = [("good", good), ("empty", b""), ("text", b"hello world, this is no image"), ("cut", good[:40]), ("far", b"II*\0" + struct.pack("<I", 10**6))]
+    got = tiff.directories(spark.createDataFrame(files, "path string, content binary")).collect()
+    assert {r["path"] for r in got if r["error"]} == {"empty", "text", "cut", "far"} and sum(r["path"] == "good" for r in got) == 11
