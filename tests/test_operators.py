@@ -161,3 +161,31 @@ def test_rest_works_without_the_llm_folders(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys\nsys.modules['rasterlake.llm'] = None\nimport __spark_entry__ as e\nassert 'noise_profile' in e.queries() and not any(q.startswith('op') for q in e.queries())\nprint('fine')"
     assert "fine" in subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout
+
+
+def test_streams_resume(spark, tmp_path):
+    """A second start over the same folder takes up new files only and gives what one run over all of them gives."""
+    from rasterlake.streaming import requests
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").toPandas()
+    half = len(events) // 2
+    for job in (requests.latest_wins, requests.quick_then_full):
+        one, two = tmp_path / f"{job.__name__}-one", tmp_path / f"{job.__name__}-two"
+        one.mkdir()
+        two.mkdir()
+        for folder, parts in ((one, [events]), (two, [events[:half], events[half:]])):
+            for k, part in enumerate(parts):
+                spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+                for f in (folder / "events.parquet").glob("*.parquet"):
+                    f.rename(folder / f"events-{k}.parquet")
+                load, requests.load = requests.load, lambda s, d, n: s.read.parquet(f"{d}/events-0.parquet")
+                try:
+                    got = job(spark, str(folder))
+                finally:
+                    requests.load = load
+                rows = sorted(map(tuple, got.collect()))
+                if len(parts) == 1:
+                    want = rows
+        assert rows == want and rows
+        again = sorted(map(tuple, got.collect()))
+        assert again == want
