@@ -237,3 +237,22 @@ def test_directories_of_broken_files(spark):
     files = [("good", good), ("empty", b""), ("text", b"hello world, this is no image"), ("cut", good[:40]), ("far", b"II*\0" + struct.pack("<I", 10**6))]
     got = tiff.directories(spark.createDataFrame(files, "path string, content binary")).collect()
     assert {r["path"] for r in got if r["error"]} == {"empty", "text", "cut", "far"} and sum(r["path"] == "good" for r in got) == 11
+
+
+def test_lens_profiles(spark, tmp_path):
+    from rasterlake.sources import profiles
+
+    warp = '<stCamera:PerspectiveModel><rdf:Description stCamera:RadialDistortParam1="{0}" stCamera:RadialDistortParam2="0.5"><stCamera:ChromaticRedGreenModel stCamera:ScaleFactor="1.25" stCamera:RadialDistortParam1="0.1"/></rdf:Description></stCamera:PerspectiveModel>'
+    shade = '<stCamera:VignetteModel><rdf:Description stCamera:VignetteModelParam1="{0}"/></stCamera:VignetteModel>'
+    models = [("30", "1", "2", warp.format(1)), ("30", "1", "100", warp.format(2) + shade.format(7)), ("30", "2", "2", shade.format(8)), ("30", "2", "100", warp.format(3)), (None, "1", "5", warp.format(9)), ("30", "4", "100", "")]
+    rows = "".join(f'<rdf:li><rdf:Description {"" if f is None else f"stCamera:FocalLength=\"{f}\""} stCamera:ApertureValue="{a}" stCamera:FocusDistance="{d}">{inner}</rdf:Description></rdf:li>' for f, a, d, inner in models)
+    text = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:stCamera="http://ns.adobe.com/photoshop/1.0/camera-profile"><rdf:Description><list><rdf:Seq>{rows}</rdf:Seq></list></rdf:Description></rdf:RDF></x:xmpmeta>'
+    (tmp_path / "a.lcp").write_text(text)
+    got = profiles.lens_models(spark, str(tmp_path))
+    assert sorted((r["av"], r["focus"], r["dist"], r["vig"]) for r in got.collect() if r["dist"] and r["vig"]) == [(1.0, 100.0, [2.0, 0.5, 0.0], [7.0, 0.0, 0.0])] and got.count() == 4
+    (one,) = profiles.lens_samples(got).collect()
+    assert (one["focal"], one["min_av"], one["dist"]) == (30.0, 1.0, [2.0, 0.5, 0.0]) and (one["red"]["scale"], one["red"]["radial"], one["blue"]) == (1.25, [0.1, 0.0, 0.0], None)
+    assert [(s["av"], s["vig"][0]) for s in one["vig"]] == [(1.0, 7.0), (2.0, 8.0)]
+    (tmp_path / "c.json").write_text('{"log_exposure": [-1, 0],\n "curve": [[0.1, null], [0.2, 0.3]]}')
+    knots = sorted((r["x"], r["values"]) for r in profiles.curves(spark, str(tmp_path / "c.json")).collect())
+    assert knots[1] == (0.0, [0.2, 0.3]) and knots[0][1][0] == 0.1 and np.isnan(knots[0][1][1])
