@@ -10,6 +10,9 @@ Triple = tuple[Column, Column, Column]
 SRGB_TO_XYZ = (0.4124564, 0.3575761, 0.1804375, 0.2126729, 0.7151522, 0.0721750, 0.0193339, 0.1191920, 0.9503041)
 XYZ_TO_SRGB = (3.2404542, -1.5371385, -0.4985314, -0.9692660, 1.8760108, 0.0415560, 0.0556434, -0.2040259, 1.0572252)
 REC709_TO_REC2020 = (0.6274, 0.3293, 0.0433, 0.0691, 0.9195, 0.0114, 0.0164, 0.0880, 0.8956)
+REC2020_TO_REC709 = (1.66022677, -0.58754761, -0.07283825, -0.12455334, 1.13292605, -0.00834963, -0.01815514, -0.10060303, 1.11899817)
+REC2020_TO_XYZ = (0.636958048301291, 0.144616903586208, 0.168880975164172, 0.262700212011267, 0.677998071518871, 0.059301716469862, 0.0, 0.028072693049087, 1.060985057710791)
+XYZ_TO_REC2020 = (1.71665119, -0.35567078, -0.25336628, -0.66668435, 1.61648124, 0.01576855, 0.01763986, -0.04277061, 0.94210312)
 LUMA = (0.2126, 0.7152, 0.0722)
 WHITE = (0.95047, 1.0, 1.08883)
 
@@ -97,6 +100,11 @@ def contrast(x: Column) -> Column:
     return 0.5 + 0.5 * x * F.pow(1 + F.pow(F.abs(x), F.lit(4.5)), F.lit(-2 / 9))
 
 
+def contrast_slope(x: Column) -> Column:
+    """Derivative of :func:`contrast`."""
+    return 0.5 * F.pow(1 + F.pow(F.abs(x), F.lit(4.5)), F.lit(-11 / 9))
+
+
 def inverse3(m: list[Column]) -> list[Column]:
     """Inverse of a row-major 3 x 3 matrix; a zero determinant counts as 1."""
     det = m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])

@@ -112,6 +112,24 @@ def wide_gamut(spark, sf_dir):
     return S.linear(spark, sf_dir).select(*PX, *rounded(C.mix(C.REC709_TO_REC2020, rgb())))
 
 
+def _spaces_sql():
+    wide = sql_mix(C.REC709_TO_REC2020)
+    names = {"xyz": C.REC2020_TO_XYZ, "back": C.REC2020_TO_REC709}
+    px = f"(SELECT image_id, y, x, {', '.join(f'{e} AS {c}' for e, c in zip(wide, 'rgb'))} FROM ({S.LINEAR}))"
+    first = ", ".join(f"{e} AS {n}_{c}" for n, m in names.items() for e, c in zip(sql_mix(m), "rgb"))
+    home = ", ".join(f"round({e}, 6) AS home_{c}" for e, c in zip(sql_mix(C.XYZ_TO_REC2020, ["xyz_r", "xyz_g", "xyz_b"]), "rgb"))
+    return f"SELECT image_id, y, x, {', '.join(f'round({n}_{c}, 6) AS {n}_{c}' for n in names for c in 'rgb')}, {home} FROM (SELECT image_id, y, x, {first} FROM {px})"
+
+
+@query(_spaces_sql())
+def colour_spaces(spark, sf_dir):
+    """Wide-gamut pixels to XYZ, to the narrow gamut, and from XYZ home again: one projection."""
+    wide = C.mix(C.REC709_TO_REC2020, rgb())
+    xyz = C.mix(C.REC2020_TO_XYZ, wide)
+    sets = {"xyz": xyz, "back": C.mix(C.REC2020_TO_REC709, wide), "home": C.mix(C.XYZ_TO_REC2020, xyz)}
+    return S.linear(spark, sf_dir).select(*PX, *(F.round(v, 6).alias(f"{n}_{c}") for n, m in sets.items() for v, c in zip(m, "rgb")))
+
+
 def _toe_sql(v):
     out = f"CASE WHEN {v} <= 0 THEN 0.0"
     for (x0, y0), (x1, y1) in zip(C.TOE, C.TOE[1:]):
@@ -145,6 +163,12 @@ def contrast_sigmoid(spark, sf_dir):
     return S.gray(spark, sf_dir).select(*PX, F.round(C.contrast(F.col("v") * 4), 8).alias("v"))
 
 
+@query(f"SELECT image_id, y, x, round(0.5 * pow(1 + pow(abs(v), 4.5), {-11 / 9}), 8) AS v FROM (SELECT image_id, y, x, v * 4 AS v FROM ({S.GRAY}))")
+def contrast_slope(spark, sf_dir):
+    """Derivative of the contrast curve."""
+    return S.gray(spark, sf_dir).select(*PX, F.round(C.contrast_slope(F.col("v") * 4), 8).alias("v"))
+
+
 def _inverse_sql():
     m = [f"m[{k + 1}]" for k in range(9)]
     minor = lambda a, b, c, d: f"({m[a]} * {m[b]} - {m[c]} * {m[d]}) / det"
