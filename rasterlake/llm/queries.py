@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import chat, decontam, embeddings, langid, licenses, lines_crf, packing, pii, simhash, toxicity
+from rasterlake.llm import chat, decontam, embeddings, langid, licenses, linededup, lines_crf, packing, pii, resample, simhash, toxicity, turns
 from rasterlake.llm._common import bucket_of, table
 
 KEEP_QUALITY = 0.3
@@ -70,5 +70,21 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_embeddings": op10_embeddings}
-ORACLE: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_licenses": licenses.ORACLE}
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, repaired = turns.repair(turns.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    digest = turns.digests(repaired).withColumnRenamed("conv_id", "d_id").hint("merge")
+    return report.join(digest, report["conv_id"].eqNullSafe(digest["d_id"])).drop("d_id")
+
+
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, least_length=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.draw(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), n=2, buckets=10_000, percent=25, least_words=20, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_embeddings": op10_embeddings, "op11_turns": op11_turns, "op12_linededup": op12_linededup, "op13_resample": op13_resample}
+ORACLE: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_licenses": licenses.ORACLE, "op11_turns": turns.ORACLE, "op12_linededup": linededup.ORACLE, "op13_resample": resample.ORACLE}
