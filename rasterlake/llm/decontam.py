@@ -6,13 +6,14 @@ with those of the benchmark (a second hash of the plain lower-cased words keeps
 whose letter case was changed). On each alignment of a document with an item, the
 placeholders' values must be consistent: one value of the item always stands against
 the same value in the document. Numbers are told apart by what they count, the word after them: in "5 loaves for 5 coins"
-the two may change apart, in "12 apples ... 12 apples" they may not (whole-item windows and items under ten words tell no numbers apart). Windows of consistent alignments count; an item is
+the two may change apart, in "12 apples ... 12 apples" they may not (whole-item windows and items under ten words tell no numbers apart). A value that stands against
+two takes the template windows that hold it from its alignment, and no others: windows of the same plain words have no placeholders and always count. An item is
 found in a document when at least ``least`` of its windows are, or of those of its windows
 that can match as a template if these are at least half of all.
 
 A capitalised word that opens a sentence may be a name or not: a window is emitted in both
 readings, on either side. The reading as a name is optional: where its values are not consistent,
-it does not count, but takes nothing from the alignment's other windows.
+it does not count, but takes nothing from windows in which the value is read otherwise.
 
 Items under five words, and items of which less than half of the windows can match as a template, are
 hashed as one whole-item window, too (openers all plain, or all names; at least two plain words in a
@@ -319,13 +320,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, most_window
         F.count_distinct(F.when(~F.col("optional"), F.col("b"))).alias("values"), F.count_distinct("b").alias("every"),
         *(F.sum(F.when(of, n_of).otherwise(0)).alias(f"{tag}_{k}") for tag, of in (("must", ~F.col("optional")), ("may", F.col("optional"))) for k, n_of in (("places", counts), ("changed", changed.cast("long")))),
     )
-    summed = lambda k: F.sum(F.col(f"must_{k}") + F.when(F.col("every") > 1, 0).otherwise(F.col(f"may_{k}")))
+    # must: values stand apart without the optional ones, which takes all windows of the value; may: only with them, which takes the optional ones
+    must, may = F.col("values") > 1, F.col("every") > 1
+    summed = lambda k: F.sum(F.when(must, 0).otherwise(F.col(f"must_{k}")) + F.when(may, 0).otherwise(F.col(f"may_{k}")))
     judged = judged.groupBy(F.col("doc_id").alias("j_doc"), F.col("item_id").alias("j_item"), F.col("shift").alias("j_shift")).agg(
-        F.max("values").alias("values"), F.collect_set(F.when(F.col("every") > 1, F.col("a"))).alias("torn"), summed("places").alias("n_slots"), summed("changed").alias("n_changed")
+        F.collect_set(F.when(must, F.col("a"))).alias("torn"), F.collect_set(F.when(may, F.col("a"))).alias("torn_optional"), summed("places").alias("n_slots"), summed("changed").alias("n_changed")
     )
     keys = [F.col("doc_id").eqNullSafe(F.col("j_doc")), F.col("item_id").eqNullSafe(F.col("j_item")), F.col("shift") == F.col("j_shift")]
-    torn = F.exists(F.arrays_zip("item_slots", "doc_slots"), lambda s: (opener(s) | (F.col("whole") > 0)) & F.array_contains("torn", name(s["item_slots"])))
-    found = pairs.join(judged, keys, "left").where((F.coalesce("values", F.lit(1)) <= 1) & ~F.coalesce(torn, F.lit(False)))
+    optional = lambda s: opener(s) | (F.col("whole") > 0)
+    torn = F.exists(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.array_contains("torn", name(s["item_slots"])) | (optional(s) & F.array_contains("torn_optional", name(s["item_slots"]))))
+    found = pairs.join(judged, keys, "left").where(~F.coalesce(torn, F.lit(False)))
     at_least = lambda of: F.collect_set(F.when(of, F.col("item_place")))
     by_shift = found.groupBy("doc_id", "item_id", "shift").agg(
         F.max("n_windows").alias("n_windows"), F.max("n_open").alias("n_open"), F.max("whole").alias("whole"),

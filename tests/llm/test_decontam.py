@@ -131,6 +131,22 @@ def test_one_number_in_two_roles(spark):
     assert run(spark, [(1, twice.replace("5", "7")), (2, twice.replace("first 5", "first 7").replace("other 5", "other 9"))], [(1, twice)]).keys() == {(1, 1)}
 
 
+LONG = (
+    "every autumn the people of the little harbour bring what they grew to the long hall beside the water where a woman sells 12 apples to each child "
+    "who asks for them and keeps the rest for her own kitchen because she says that 12 apples are enough for one winter and that nobody needs any more fruit than this"
+)
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_near_verbatim_copies_with_a_torn_number(spark, most):
+    """One changed number that stands elsewhere, too, takes its own windows and leaves the verbatim rest."""
+    docs = [(1, LONG), (2, LONG.replace("sells 12", "sells 11")), (3, LONG.replace("little", "quiet")), (4, LONG.replace("12 apples", "11 apples"))]
+    got = run(spark, docs, [(9, LONG)], most_windows=most)
+    assert got.keys() == {(k, 9) for k in (1, 2, 3, 4)}
+    assert got[1, 9]["coverage"] == 1.0 and got[2, 9]["coverage"] > 0.85 and got[3, 9]["coverage"] > 0.85
+    assert {k: r["kind"] for (k, _), r in got.items()} == {1: "verbatim", 2: "verbatim", 3: "verbatim", 4: "reparameterised"}
+
+
 NAMES, UNITS = ["Anna", "Berlin", "Carlos", "Dora", "Emil", "Fatima", "Goran", "Hanoi"], ["km", "kg", "euros", "hours"]
 
 
@@ -178,9 +194,11 @@ def slow_leaks(docs, items, least=0.5):
                             if a[j][0] in kinds:
                                 role = item[k + j + 1][1] if a[j][0] == "<n>" and len(item) >= decontam.LEAST_ROLES and k + j + 1 < len(item) and item[k + j + 1][0] != "<n>" else None
                                 slots.setdefault((a[j], role), {}).setdefault(b[j][1], set()).add(k + j)
-                if any(len(v) > 1 for v in slots.values()):
-                    continue
-                places = {k for k, _, _ in hits}
+                torn = {a for a, v in slots.items() if len(v) > 1}
+                role_of = lambda k: item[k + 1][1] if item[k][0] == "<n>" and len(item) >= decontam.LEAST_ROLES and k + 1 < len(item) and item[k + 1][0] != "<n>" else None
+                # verbatim windows count by themselves, template windows without torn values
+                places = {k for k, plain, _ in hits if plain} | {k for k, _, template in hits if template and not any((item[j], role_of(j)) in torn for j in range(k, k + width))}
+                slots = {a: v for a, v in slots.items() if a not in torn}
                 found |= places
                 opened |= {k for k in places if can(item[k : k + width])}
                 n_slots = sum(len(at) for v in slots.values() for at in v.values())
