@@ -97,12 +97,36 @@ def row_groups(offsets: np.ndarray, max_rows: int, max_bytes: int) -> Iterator[t
 
 
 def _with_least(rows: DataFrame, least: DataFrame, total: int, share: int = 1000, salts: int = 64) -> DataFrame:
-    """``rows`` joined with ``least`` (u, m, n) on u; rows of a u with more than 1/``share`` of all are dealt over ``salts`` tasks.
+    """``rows`` (u, v and others) joined with ``least`` (u, m, n) on u; rows of a u with more than 1/``share`` of all are dealt over ``salts`` tasks.
     Such u are fewer than ``share``, which bounds the broadcast."""
     heavy = F.broadcast(least.where(F.col("n") * share > total).select("u", F.lit(True).alias("heavy")))
     dealt = rows.join(heavy, "u", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("v"), F.lit(salts))).otherwise(F.lit(0).cast("long")))
     copies = F.when(F.col("n") * share > total, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return dealt.join(least.select("u", "m", F.explode(copies).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+    return dealt.join(least.select("u", "m", F.explode(copies).alias("salt")), ["u", "salt"]).select(*rows.columns, "m")
+
+
+def complete_runs(batches, keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs from batches that are sorted by their first ``keys`` columns: rows with equal keys come together in one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([np.asarray(c) for c in batch.columns[:keys]], 1)
+        if held and tuple(k[0]) == tuple(c[held[-1].num_rows - 1].as_py() for c in held[-1].columns[:keys]):
+            change = np.flatnonzero((k != k[0]).any(1))
+            if not len(change):
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, int(change[0])))
+            batch, k = batch.slice(int(change[0])), k[change[0] :]
+        if held:
+            yield pa.Table.from_batches(held)
+        last = int(np.flatnonzero((k != k[-1]).any(1))[-1]) + 1 if (k != k[-1]).any() else 0
+        if last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:

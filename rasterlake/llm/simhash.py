@@ -13,7 +13,10 @@ under the minimum of 4 are dropped, the rest is verified by the differing bits.
 Jaccard similarity 0.8 differs in 39 on average, by 5.7), postings for 96 pairs of byte positions (measured: such a pair
 shares none with probability 0.03, one of similarity 0.83 with 0.01) and candidates up to 54 differing bits. So many bits can touch every byte, so the
 minimum of 3 shared bytes is calibrated there, not guaranteed. Each candidate is then verified on the texts' own
-shingle sets: only pairs of Jaccard similarity ``similarity`` or more are links.
+shingle sets: only pairs of Jaccard similarity ``similarity`` or more are links. Bits and similarity do not order alike, so a
+failed step of a forest may stand between texts that are linked: components of verified links that a failed candidate touches
+are looked at again, all their pairs across components, with the shingle sets at hand (``settled``). So no
+pair that meets in a list within ``max_bits`` is lost to the forest.
 
 Copies are one row of the index. A list longer than ``chunk`` is split into chunks and compared chunk
 pair by chunk pair in different tasks. A task reports a minimum spanning forest of the pairs it found, by differing bits (a row
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm._common import components, join_hot, materialise
+from rasterlake.llm._common import _with_least, complete_runs, components, join_hot, materialise
 
 MAX_BITS = 4
 SEED = 42
@@ -131,14 +134,14 @@ def _byte(position: int):
     return F.shiftrightunsigned(f"f{position // 8}", 8 * (position % 8)).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _postings(classes: DataFrame, plan: Plan) -> DataFrame:
+def _postings(classes: DataFrame, plan: Plan, *others: str) -> DataFrame:
     keys = []
     for k, at in enumerate(plan.positions):
         code = F.lit(k << 8 * len(at)).cast("long")
         for j, position in enumerate(at):
             code = code + F.shiftleft(_byte(position), 8 * (len(at) - 1 - j))
         keys.append(code)
-    return classes.select("id", *(f"f{k}" for k in range(plan.words)), F.explode(F.array(*keys)).alias("key"))
+    return classes.select("id", *others, *(f"f{k}" for k in range(plan.words)), F.explode(F.array(*keys)).alias("key"))
 
 
 def _bits(one: np.ndarray, many: np.ndarray, plan: Plan) -> np.ndarray:
@@ -218,23 +221,36 @@ def _matcher(plan: Plan):
     return run
 
 
-def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFrame:
-    """Spanning candidates ``(a, b)`` between the ids of classes: same components as all pairs that meet in a list."""
-    post = _postings(classes, plan)
+def _dealt(post: DataFrame, chunk: int, tag: str) -> DataFrame:
+    """Posting rows with ``block``: lists longer than ``chunk`` are split, and each pair of chunks has a block; shuffled and sorted by (key, block), which come first."""
     # written first: its size is then known (a row for each ``chunk`` postings at most), and a small one costs the postings no shuffle
-    long_lists = materialise(post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), "simhash-long")
+    long_lists = materialise(post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), tag)
     split = post.join(long_lists, "key", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("long"))
     own = F.pmod(F.xxhash64("id", "key"), F.col("parts"))
     blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
     )
-    spread = split.select("key", F.explode(blocks).alias("block"), "id", *(f"f{k}" for k in range(plan.words)))
-    return spread.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_matcher(plan), "a long, b long")
+    spread = split.select("key", F.explode(blocks).alias("block"), *(c for c in post.columns if c != "key"))
+    return spread.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def links(classes: DataFrame, plan: Plan = EXACT, chunk: int = 2048) -> DataFrame:
+    """Spanning candidates ``(a, b)`` between the ids of classes: same components as all pairs that meet in a list."""
+    post = _postings(classes, plan).select("key", "id", *(f"f{k}" for k in range(plan.words)))
+    return _dealt(post, chunk, "simhash-long").mapInArrow(_matcher(plan), "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of hashes have Jaccard similarity ``least`` or more."""
+    if not len(x) or not len(y) or min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
 
-def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str) -> DataFrame:
-    """The candidates whose classes have shingle sets of Jaccard similarity ``plan.similarity`` or more. Sets are made of the texts of
-    classes that have a candidate, and travel to its pairs."""
+def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates as ``(a, b, ok)``, ok where their classes have shingle sets of Jaccard similarity ``plan.similarity`` or more, and the sets ``(id, w)`` of
+    classes that have a candidate. Sets travel to pairs; those of hubs are dealt over several tasks."""
     pairs = materialise(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("h"))
     content = F.col(text).cast("string")
@@ -252,15 +268,83 @@ def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width:
 
     def compare(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= plan.similarity * max(len(x), len(y)) else 0
-                ok.append(both >= plan.similarity * (len(x) + len(y) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    left, right = (known.select(F.col("id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), plan.similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    total = pairs.count()
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    for _ in range(2):  # the set of one end, then of the other
+        count = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        side = known.join(count, known["id"] == count["u"]).select("u", F.col("w").alias("m"), "n")
+        both = _with_least(both, side, total)
+        both = both.select(F.col("v").alias("u"), F.col("u").alias("v"), *(c for c in both.columns if c not in "uvm"), F.col("m").alias(f"w{len(both.columns)}"))
+    return materialise(both.mapInArrow(compare, "a long, b long, ok boolean"), "simhash-verified"), known
+
+
+def _crossing(v: np.ndarray, root: np.ndarray, k: int, plan: Plan) -> np.ndarray:
+    """(bits, place, place) of the pairs of a list that are candidates, of different components, and meet in no list before the k-th."""
+    at, found = np.array(plan.positions), [np.zeros((0, 3), np.int64)]
+    for i in range(len(v) - 1):
+        bits = _bits(v[i], v[i + 1 :], plan)
+        j = np.flatnonzero((bits <= plan.max_bits) & (root[i + 1 :] != root[i]))
+        if len(j):
+            same = np.bitwise_xor(v[i], v[i + 1 + j]).view(np.uint8).reshape(len(j), -1) == 0
+            j = j[same[:, at].all(2).argmax(1) == k]
+            found.append(np.c_[bits[j], np.full(len(j), i), i + 1 + j])
+    return np.concatenate(found)
+
+
+def settled(pairs: DataFrame, known: DataFrame, classes: DataFrame, roots: DataFrame, plan: Plan, chunk: int = 2048, few: int = 256) -> DataFrame:
+    """``(root, into)``: components of verified links that are linked to others by pairs that no forest held, and the one they become.
+
+    Such a pair is joined in its list by a path of the forest with a failed step, and the first one from each end touches that end's component: only components
+    with a failed candidate are looked at. Their postings without sets tell who has a candidate across; those alone are met again with their sets,
+    in lists of ``few``."""
+    fields = [f"f{k}" for k in range(plan.words)]
+    failed = pairs.where(~F.col("ok")).select(F.explode(F.array("a", "b")).alias("node"))
+    named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", *fields, F.coalesce("root", "id").alias("root"))
+    touched = failed.join(named.select(F.col("id").alias("node"), F.col("root").alias("t")), "node").select("t").distinct()
+    rows = materialise(named.join(touched, named["root"] == touched["t"], "left_semi"), "simhash-touched")
+    post = _postings(rows, plan, "root").select("key", "id", "root", *fields)
+
+    def runs(table):
+        key = np.stack([np.asarray(table.column(c)) for c in (0, 1)], 1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        ids, root = (np.asarray(table.column(c)) for c in (2, 3))
+        v = np.stack([np.asarray(table.column(c)) for c in range(4, 4 + plan.words)], 1).view(np.uint64)
+        for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(key)].tolist()):
+            if hi - lo > 1 and (root[lo:hi] != root[lo]).any():
+                code = int(key[lo, 0])
+                yield code, lo, ids[lo:hi], root[lo:hi], _crossing(v[lo:hi], root[lo:hi], code >> 8 * len(plan.positions[0]), plan)
+
+    def across(batches):
+        for table in complete_runs(batches, 2):
+            for code, _, ids, _, found in runs(table):
+                some = ids[np.unique(found[:, 1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), code), pa.int64()), pa.array(some, pa.int64())], names=["key", "id"])
+
+    def settle(batches):
+        for table in complete_runs(batches, 2):
+            sets = table.column(4 + plan.words)
+            for _, lo, _, root, found in runs(table):
+                into: dict[int, int] = {}
+
+                def find(i: int) -> int:
+                    while (r := into.get(i, i)) != i:
+                        into[i] = i = into.get(r, r)
+                    return i
+
+                for _, i, j in found[found[:, 0].argsort(kind="stable")].tolist():
+                    a, b = find(int(root[i])), find(int(root[j]))
+                    if a != b and similar(*(np.frombuffer(sets[lo + k].as_buffer(), np.uint64) for k in (i, j)), plan.similarity):
+                        into[a] = b
+                out = [(r, into[r]) for r in into if into[r] != r]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    met = materialise(_dealt(post, chunk, "simhash-long").mapInArrow(across, "key long, id long").distinct(), "simhash-across")
+    again = met.join(rows, "id").join(known, "id").select("key", "id", "root", *fields, "w")
+    more = _dealt(again, few, "simhash-long").mapInArrow(settle, "a long, b long")
+    return components(more, "simhash-more").select(F.col("node").alias("root"), F.col("root").alias("into"))
 
 
 def classified(docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -273,9 +357,13 @@ def classified(docs: DataFrame, width: int, plan: Plan, text: str, doc_id: str)
     classes = materialise(rows.groupBy("id", *names).agg(first, F.count(F.lit(1)).alias("n")), "simhash-classes")
     found = links(classes, plan)
     if plan.similarity:
-        found = verified(found, classes, docs, width, plan, text, doc_id)
+        pairs, known = verified(found, classes, docs, width, plan, text, doc_id)
+        found = pairs.where("ok").select("a", "b")
     roots = components(found, "simhash-links")
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"))
+    if plan.similarity:
+        more = settled(pairs, known, classes, roots, plan)
+        named = named.join(more, "root", "left").select("id", "n", "first", F.coalesce("into", "root").alias("root"))
     named = materialise(named, "simhash-named")
     return rows, named, named.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("first"))
 

@@ -142,3 +142,66 @@ def test_forest_is_minimal():
     plan = simhash.WIDE
     bits = lambda e: sorted(int(np.bitwise_count(v[i] ^ v[j]).sum()) for i, j in e)
     assert bits(simhash.forests(key, v, plan, most=100)) == bits(simhash.grown(v, plan)) and len(simhash.grown(v, plan)) > 40
+
+
+def near_threshold(rng, groups, size, words=100, changed=(1, 2, 2, 3, 3)):
+    """Groups in which each text is an earlier one with a few words changed: two changed words of 100 leave similarity 0.81, three 0.73."""
+    out = []
+    for g in range(groups):
+        own = [[f"g{g}w{k}" for k in range(words)]]
+        while len(own) < size:
+            text = list(rng.choice(own))
+            for at in rng.sample(range(words), rng.choice(changed)):
+                text[at] = f"x{rng.randint(0, 10**9)}"
+            own.append(text)
+        out += [" ".join(t) for t in own]
+    return out
+
+
+def test_no_link_is_lost_to_a_forest(spark):
+    """Groups around similarity 0.8: components are those of all pairs that are candidates and similar, and all but those of all similar pairs."""
+    rng = random.Random(8)
+    texts = near_threshold(rng, 8, 25) + near_threshold(rng, 1, 100) + near_threshold(rng, 1, 60, 60, (1, 2))
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    prints = np.array([simhash.fingerprint(t.encode(), 5, 4) for t in texts], np.uint64)
+
+    def kept(ok):
+        root = list(range(len(texts)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        n = 0
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and ok(i, j):
+                    n += 1
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        return {i for i in range(len(texts)) if find(i) == i}, n
+
+    def candidate(i, j):
+        x = np.bitwise_xor(prints[i], prints[j])
+        same = x.view(np.uint8) == 0
+        return np.bitwise_count(x).sum() <= 54 and same.sum() >= 3 and any(all(same[p] for p in at) for at in simhash.WIDE.positions)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_first(docs, width=5, plan=simhash.WIDE).collect()}
+    exact, n_exact = kept(candidate)
+    every, n_every = kept(lambda i, j: True)
+    assert got == exact
+    assert 0.97 * n_every <= n_exact and len(got) <= len(every) + 5 and 1 < len(every) < len(texts) - 50, (len(got), len(every), n_exact, n_every)
+
+
+def test_runs_stay_whole():
+    from rasterlake.llm._common import complete_runs
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    for size in (1, 2, 3, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(range(k, min(k + size, len(keys))))], names=["k", "v"]) for k in range(0, len(keys), size)]
+        tables = [t.column(0).to_pylist() for t in complete_runs(batches, 1)]
+        assert sum(tables, []) == keys and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
