@@ -53,10 +53,10 @@ STRIP, STRIP_SIZE, SUBDIRECTORY, XMP, MOST_FIELDS = 273, 279, 330, 700, 4096
 
 
 def numbers(kind: int, values) -> tuple[int, int, bytes]:
-    """Type, count and bytes of a field; fractions are stored over 10000."""
+    """Type, count and bytes of a field; fractions are stored over 1,000,000, unsigned ones from 0 on."""
     values = list(values)
     if kind in (RATIONAL, SRATIONAL):
-        parts = [x for v in values for x in (round(v * 10000), 10000)]
+        parts = [x for v in values for x in (round((max(v, 0.0) if kind == RATIONAL else v) * 1_000_000), 1_000_000)]
         return kind, len(values), struct.pack(f"<{len(parts)}{'I' if kind == RATIONAL else 'i'}", *parts)
     return kind, len(values), struct.pack(f"<{len(values)}{ {SHORT: 'H', LONG: 'I'}.get(kind, 'B')}", *values)
 
@@ -202,22 +202,46 @@ def directories(files: DataFrame) -> DataFrame:
 
 
 MODES = ("dng", "tiff", "xmp", "preview")
+#: Width that a preview has at most, and the least number of pixels a side of its squares.
+PREVIEW_WIDTH, LEAST_REDUCTION = 1024, 2
+
+
+def plain_calibration() -> dict:
+    """The calibration of a raster that is linear sRGB already."""
+    from rasterlake.functions import color as C
+
+    return {"color_matrix": C.XYZ_TO_SRGB, "forward_matrix": C.SRGB_TO_XYZ, "camera_calibration": [1.0] * 3, "neutral": [1.0] * 3, "baseline": 0.0}
+
+
+def samples_of(image: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(image, 0, 1) * 65535 + 0.5).astype(np.uint16)
+
+
+def preview_of(image: np.ndarray, width: int = PREVIEW_WIDTH, matrix: np.ndarray | None = None, area: list[int] | None = None) -> np.ndarray:
+    """A small 8-bit sRGB picture of the ``area`` (top, left, bottom, right): means of whole squares of the stored samples, the linear ``matrix`` to sRGB if there is one, the sRGB curve."""
+    top, left, bottom, right = area or (0, 0, *image.shape[:2])
+    image = samples_of(image[top:bottom, left:right]) / 65535
+    h, w, _ = image.shape
+    n = min(max(-(-w // width), LEAST_REDUCTION), h, w)
+    rows, columns = h // n, w // n
+    small = image[: rows * n, : columns * n].reshape(rows, n, columns, n, 3).mean((1, 3))
+    if matrix is not None:
+        small = small @ np.asarray(matrix, float).reshape(3, 3).T
+    small = np.clip(small, 0, 1)
+    return np.floor(np.where(small <= 0.0031308, 12.92 * small, 1.055 * small ** (1 / 2.4) - 0.055) * 255 + 0.5).astype(np.uint8)
 
 
 def emit(images: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
     """``(image_id, mode, content, error)``: every wanted output of an image from one decoded row ``(image_id, px, my, mx)`` of pixels (r, g, b in 0..1, row by row)
     and its last row and column. An unknown mode is a row with an error, whatever the others give."""
-    from rasterlake.functions import color as C
-
-    plain = {"color_matrix": C.XYZ_TO_SRGB, "forward_matrix": C.SRGB_TO_XYZ, "camera_calibration": [1.0] * 3, "neutral": [1.0] * 3, "baseline": 0.0}
+    plain = plain_calibration()
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, px, y, x in zip(pdf["image_id"], pdf["px"], pdf["my"], pdf["mx"]):
                 image = np.stack([np.asarray(v, float) for v in px]).reshape(y + 1, x + 1, 3)
-                samples = np.floor(np.clip(image, 0, 1) * 65535 + 0.5).astype(np.uint16)
-                small = np.floor(np.clip(image[::2, ::2], 0, 1) * 255 + 0.5).astype(np.uint8)
+                samples, small = samples_of(image), preview_of(image)
                 for mode in modes:
                     made = {"dng": lambda: dng_bytes(samples, small, plain, model="raster"), "tiff": lambda: tiff_bytes(image), "xmp": lambda: xmp_packet(SETTINGS), "preview": lambda: small.tobytes()}.get(mode)
                     rows.append((key, mode, made() if made else None, None if made else f"unknown mode {mode}"))

@@ -2,8 +2,8 @@
 
 ``binaryFile`` lists the files; a small parser turns one file's bytes into section rows (a malformed file
 becomes one row with an error text and never fails a batch); packed and Huffman-coded rasters become
-difference rows, and everything after that is Spark: running sums per row and channel by a window, 16-bit
-wrapping once after the sum, the global minimum by a partial aggregate.
+ranges of rows, which different tasks decode: every row of a raster starts anew, so sums run inside a row, 16-bit
+wrapping comes once after the sum, and the global minimum is a partial aggregate.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rasterlake.operators.ordered_queries import wrap16
 from rasterlake.plans.registry import query
+from rasterlake.plans.shared import written
 from rasterlake.sources import surrogates as S
 
 #: Fixed values of the format.
@@ -157,39 +156,71 @@ class Codes:
         return out
 
 
-def _differences(columns: int, rows: int, stride: int, data: bytes):
-    """(y, channel, differences) of one image section."""
-    mapping, body = np.frombuffer(data, "<u2", TABLE).astype(np.int64), data[2 * TABLE :]
-    if stride:
-        for y in range(rows):
-            words = np.frombuffer(body[y * stride : y * stride + 4 * columns], "<u4")
-            for c in range(3):
-                yield y, c, mapping[(words >> (10 * c)) & 1023].tolist()
-        return
-    codes = Codes(huffman(np.frombuffer(body, "<u4", TABLE)), mapping)
-    body, starts = body[4 * TABLE : len(body) - 4 * rows], np.frombuffer(body[len(body) - 4 * rows :], "<u4")
-    for y in range(rows):
-        got = codes.row(body[starts[y] : (starts[y + 1] if y + 1 < rows else len(body))], 3 * columns)
-        for c in range(3):
-            yield y, c, got[c::3]
+#: Raster rows that a task decodes at a time.
+RANGE = 64
+SLICES = "path string, coded boolean, columns int, y int, tables binary, starts array<long>, body binary"
 
 
-def decode(images: DataFrame) -> DataFrame:
-    """``(path, y, x, ch, s)`` of image sections: packed ones clamp at 0, coded ones are lifted by their smallest sample."""
+def slices(images: DataFrame, rows_per_range: int = RANGE) -> DataFrame:
+    """Ranges of rows of image sections: the tables (2 or 6 KB), where each row starts in the range's bytes, and these bytes. Every row starts anew, so the
+    offsets that a coded section ends with (a packed one's stride) are restart points."""
+
+    def cut(columns: int, rows: int, stride: int, data: bytes):
+        head = 2 * TABLE if stride else 6 * TABLE
+        end = len(data) if stride else len(data) - 4 * rows
+        starts = head + (stride * np.arange(rows) if stride else np.frombuffer(data, "<u4", rows, end).astype(np.int64))
+        for y in range(0, rows, rows_per_range):
+            own = starts[y : y + rows_per_range]
+            # a row's bytes end where the next one's start, so the range has that place, too
+            after = int(starts[y + len(own)]) if y + len(own) < rows else end
+            lo, hi = int(own.min()), max(after, int(own.max()))
+            yield y, data[:head], [*(own - lo).tolist(), max(after - lo, 0)], data[lo : min(hi + 4 * columns if stride else hi, end)]
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                rows = [(r.path, r.stride == 0, y, c, d) for y, c, d in _differences(int(r.columns), int(r.rows), int(r.stride), r.data)]
-                yield pd.DataFrame(rows, columns=["path", "coded", "y", "ch", "d"])
+                for y, tables, starts, body in cut(int(r.columns), int(r.rows), int(r.stride), r.data):
+                    yield pd.DataFrame([(r.path, r.stride == 0, int(r.columns), y, tables, starts, body)], columns=[c.split()[0] for c in SLICES.split(", ")])
+
+    return images.where("error is null").select("path", "columns", "rows", "stride", "data").mapInPandas(run, SLICES)
+
+
+def _rows(coded: bool, columns: int, tables: bytes, starts, body: bytes) -> np.ndarray:
+    """Samples (rows, columns, 3) of a range: differences summed along each row and channel, wrapped to 16 bits."""
+    mapping, n = np.frombuffer(tables, "<u2", TABLE).astype(np.int64), len(starts) - 1
+    if coded:
+        codes = Codes(huffman(np.frombuffer(tables, "<u4", TABLE, 2 * TABLE)), mapping)
+        d = np.array([codes.row(body[lo:hi], 3 * columns) for lo, hi in zip(starts[:-1], starts[1:])], np.int64).reshape(n, columns, 3)
+    else:
+        words = np.stack([np.frombuffer(body, "<u4", columns, int(lo)) for lo in starts[:-1]])
+        d = mapping[np.stack([(words >> (10 * c)) & 1023 for c in range(3)], -1)]
+    return (np.cumsum(d, 1) + 32768 & 0xFFFF) - 32768
 
-    lines = images.where("error is null").select("path", "columns", "rows", "stride", "data").mapInPandas(run, "path string, coded boolean, y int, ch int, d array<long>")
-    px = lines.select("path", "coded", "y", "ch", F.posexplode("d").alias("x", "d"))
-    so_far = Window.partitionBy("path", "y", "ch").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    px = px.withColumn("v", wrap16(F.sum("d").over(so_far)))
-    low = px.where("coded").groupBy("path").agg(F.least(F.min("v"), F.lit(0)).alias("low"))
-    out = px.join(low, "path", "left").withColumn("s", F.when(F.col("coded"), F.col("v") - F.col("low")).otherwise(F.greatest("v", F.lit(0))))
-    return out.select("path", "y", "x", "ch", "s")
+
+def raster_rows(images: DataFrame, rows_per_range: int = RANGE) -> DataFrame:
+    """``(path, coded, y, ch, v)``: the samples of each row and channel as an array, ranges of a file being decoded in different tasks. A task holds one
+    range at a time, ``rows_per_range`` x columns x 3 numbers and its bytes."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                v = _rows(r.coded, int(r.columns), r.tables, r.starts, r.body).astype(np.int32)
+                rows = [(r.path, r.coded, r.y + k, c, v[k, :, c]) for k in range(len(v)) for c in range(3)]
+                yield pd.DataFrame(rows, columns=["path", "coded", "y", "ch", "v"])
+
+    # a stated number of partitions: coded bytes are few, and joining small partitions would put a whole file into one task
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = slices(images, rows_per_range).repartition(n, "path", "y")
+    return dealt.mapInPandas(run, "path string, coded boolean, y int, ch int, v array<int>")
+
+
+def decode(images: DataFrame, rows_per_range: int = RANGE) -> DataFrame:
+    """``(path, y, x, ch, s)`` of image sections: packed ones clamp at 0, coded ones are lifted by their smallest sample. Rows are decoded once, and written
+    for the two uses of them."""
+    rows = written(raster_rows(images, rows_per_range), "x3f-rows")
+    low = rows.where("coded").groupBy("path").agg(F.least(F.min(F.array_min("v")), F.lit(0)).alias("low"))
+    px = rows.join(low, "path", "left").select("path", "y", "ch", "coded", "low", F.posexplode("v").alias("x", "v"))
+    return px.select("path", "y", "x", "ch", F.when(F.col("coded"), F.col("v") - F.col("low")).otherwise(F.greatest("v", F.lit(0))).cast("long").alias("s"))
 
 
 @functools.cache
@@ -256,24 +287,59 @@ def packed_section(image: np.ndarray, mapping: np.ndarray, index: dict[int, int]
     return b"SECi" + struct.pack("<6I", 0x20000, RAW_KIND, 5, image.shape[1], image.shape[0], 4 * image.shape[1]) + mapping.astype("<u2").tobytes() + words.tobytes()
 
 
-@query(f"SELECT image_id, y, x, unnest([0, 1, 2]) AS ch, unnest([CAST(floor(c0 / 16) AS BIGINT), CAST(floor(c1 / 16) AS BIGINT), CAST(floor(c2 / 16) AS BIGINT)]) AS s FROM ({S.COLOUR})")
-def x3f_round_trip(spark, sf_dir):
-    """Every colour image written as a packed container and read back."""
+def coded_section(image: np.ndarray) -> bytes:
+    """An image section of (rows, columns, 3) samples in prefix codes, for round trips: three bits for the seven smallest differences, thirteen for the others (1,024 in all)."""
+    d = np.diff(image.astype(np.int64), axis=1, prepend=0)
+    values = sorted(set(d.ravel().tolist()), key=lambda v: (abs(v), v))
+    words = {v: (3, k) if k < 7 else (13, 7 << 10 | k) for k, v in enumerate(values)}
+    mapping = np.zeros(TABLE, "<u2")
+    mapping[: len(values)] = np.array(values) & 0xFFFF
+    table = np.zeros(TABLE, "<u4")
+    table[: len(values)] = [n << 27 | code for n, code in words.values()]
+    body, offsets = b"", []
+    for row in d.reshape(len(d), -1).tolist():
+        offsets.append(len(body))
+        bits = "".join(f"{code:0{n}b}" for n, code in map(words.__getitem__, row))
+        body += int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    head = b"SECi" + struct.pack("<6I", 0x20000, RAW_KIND, 6, image.shape[1], image.shape[0], 0)
+    return head + mapping.tobytes() + table.tobytes() + body + np.array(offsets, "<u4").tobytes()
+
+
+def _containers(spark, sf_dir, section, shift: int) -> DataFrame:
+    """Every colour image, a sixteenth of its samples less ``shift``, as ``(path, content)`` of a container with one ``section`` of it."""
     px = S.colour(spark, sf_dir)
-    cells = px.select("image_id", F.struct("y", "x", *(F.floor(F.col(f"c{k}") / 16).alias(f"c{k}") for k in range(3))).alias("p"))
+    cells = px.select("image_id", F.struct("y", "x", *((F.floor(F.col(f"c{k}") / 16) - shift).alias(f"c{k}") for k in range(3))).alias("p"))
     images = cells.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.array(p["c0"], p["c1"], p["c2"])).alias("px"))
 
     def write(batches):
-        mapping = (np.arange(TABLE) - 512) & 0xFFFF
-        index = {k - 512: k for k in range(TABLE)}
         for pdf in batches:
-            blobs = [container([packed_section(np.stack([np.asarray(v) for v in p]).reshape(S.SIDE, S.SIDE, 3), mapping, index)]) for p in pdf["px"]]
+            blobs = [container([section(np.stack([np.asarray(v) for v in p]).reshape(S.SIDE, S.SIDE, 3))]) for p in pdf["px"]]
             yield pd.DataFrame({"path": pdf["image_id"].astype(str), "content": blobs})
 
-    files = images.mapInPandas(write, "path string, content binary")
+    return images.mapInPandas(write, "path string, content binary")
+
+
+@query(f"SELECT image_id, y, x, unnest([0, 1, 2]) AS ch, unnest([CAST(floor(c0 / 16) AS BIGINT), CAST(floor(c1 / 16) AS BIGINT), CAST(floor(c2 / 16) AS BIGINT)]) AS s FROM ({S.COLOUR})")
+def x3f_round_trip(spark, sf_dir):
+    """Every colour image written as a packed container and read back."""
+
+    def section(image):
+        return packed_section(image, (np.arange(TABLE) - 512) & 0xFFFF, {k - 512: k for k in range(TABLE)})
+
+    files = _containers(spark, sf_dir, section, 0)
     return decode(image_section(sections(files))).select(F.col("path").cast("long").alias("image_id"), "y", "x", "ch", "s")
 
 
+@query(
+    f"WITH p AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS ch, unnest([CAST(floor(c0 / 16) AS BIGINT), CAST(floor(c1 / 16) AS BIGINT), CAST(floor(c2 / 16) AS BIGINT)]) - 100 AS v FROM ({S.COLOUR})) "
+    "SELECT image_id, y, x, ch, v - least(min(v) OVER (PARTITION BY image_id), 0) AS s FROM p"
+)
+def x3f_coded_round_trip(spark, sf_dir):
+    """Every colour image, shifted below zero, written as a coded container and decoded by ranges of three rows; the smallest sample becomes 0."""
+    files = _containers(spark, sf_dir, coded_section, 100)
+    return decode(image_section(sections(files)), rows_per_range=3).select(F.col("path").cast("long").alias("image_id"), "y", "x", "ch", "s")
+
+
 #: Fixed values of the format: entry tags and element types of matrices.
 TAGS = {b"CMbP": "property", b"CMbM": "matrix", b"CMbT": "text"}
 ELEMENTS = {0: "<i2", 1: "<u4", 2: "<u4", 3: "<f4", 5: "u1", 6: "<u2"}

@@ -8,7 +8,6 @@ named after the job and its input, so a restarted job goes on where it stopped:
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rasterlake.plans.registry import load, query
+from rasterlake.plans.shared import shared_folder
 
 LATE = "(SELECT *, max(generation) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, count(CASE WHEN kind = 'full' THEN 1 END) OVER (PARTITION BY user_id, generation ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fulls FROM (SELECT event_id, user_id, ts, event_id * 7919 % 10 AS generation, CASE WHEN event_id % 3 = 0 THEN 'full' ELSE 'quick' END AS kind FROM events))"
 
 
 def _folder(spark: SparkSession, tag: str, source: str) -> str:
     """The folder of a job over a source: the same one at every start."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="rasterlake-stream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    return shared_folder(spark, f"{tag}-{hashlib.sha256(source.encode()).hexdigest()[:16]}")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

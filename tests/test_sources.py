@@ -4,7 +4,9 @@ import struct
 
 import numpy as np
 
-from rasterlake.sources import tiff, x3f
+from pyspark.sql import functions as F
+
+from rasterlake.sources import formats, tiff, x3f
 
 
 def coded_section(image):
@@ -256,3 +258,116 @@ def test_lens_profiles(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"log_exposure": [-1, 0],\n "curve": [[0.1, null], [0.2, 0.3]]}')
     knots = sorted((r["x"], r["values"]) for r in profiles.curves(spark, str(tmp_path / "c.json")).collect())
     assert knots[1] == (0.0, [0.2, 0.3]) and knots[0][1][0] == 0.1 and np.isnan(knots[0][1][1])
+
+
+def test_coded_rows_in_several_tasks(spark):
+    """A coded raster 2,640 pixels wide: ranges of rows in different tasks equal the whole."""
+    rng = np.random.default_rng(4)
+    image = np.cumsum(rng.integers(-3, 4, (50, 2640, 3)), 1) - 5
+    body = x3f.coded_section(image)
+    head, data = struct.unpack_from("<5I", body, 8), body[28:]
+    images = spark.createDataFrame([("a", head[2], head[3], head[4], data, None)], "path string, columns long, rows long, stride long, data binary, error string")
+    cut = x3f.slices(images, 8)
+    assert cut.count() == 7 and max(len(r["body"]) for r in cut.collect()) < len(data) / 4
+    for n in (1, 8, 64):
+        rows = x3f.raster_rows(images, n).collect()
+        got = np.zeros(image.shape, int)
+        for r in rows:
+            got[r["y"], :, r["ch"]] = r["v"]
+        assert np.array_equal(got, image) and len(rows) == 150
+    tasks = x3f.raster_rows(images, 8).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
+def test_container_source(spark, tmp_path):
+    formats.register(spark)
+    rng = np.random.default_rng(1)
+    for k in range(5):
+        (tmp_path / f"{k}.x3f").write_bytes(x3f.container([coded_section(rng.integers(-9, 9, (3, 4, 3))), property_section([("ISO", str(k))])]))
+    (tmp_path / "bad.X3F").write_bytes(b"no")
+    (tmp_path / ".hidden.x3f").write_bytes(b"no")
+    rows = spark.read.format("x3f").option("partitionBytes", 20_000).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 1
+    want = x3f.read(spark, str(tmp_path)).where("path not like '%hidden%'")
+    bare = lambda df: sorted(str((r["path"].rsplit("/", 1)[1], *r[1:])) for r in df.collect())
+    assert bare(rows) == bare(want) and len(bare(rows)) == 11
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("x3f").load(str(tmp_path / "none")).count() == 0
+
+
+def image_rows(spark, names, height=6, width=5):
+    rng = np.random.default_rng(3)
+    data = [(n, rng.random((height * width, 3)).tolist(), height - 1, width - 1) for n in names]
+    return spark.createDataFrame(data, "name string, px array<array<double>>, my int, mx int"), {n: np.array(p).reshape(height, width, 3) for n, p, _, _ in data}
+
+
+def test_raster_files_round_trip(spark, tmp_path):
+    formats.register(spark)
+    rows, images = image_rows(spark, ["a", "b", "c"])
+    for mode, tolerance in (("dng", 0.51), ("tiff", 1e-3)):
+        path = str(tmp_path / mode)
+        rows.repartition(3).write.format("raster").option("mode", mode).mode("append").save(path)
+        assert sorted(p.name for p in (tmp_path / mode).iterdir()) == [n + formats.SUFFIX[mode] for n in "abc"]
+        for cut in (64, 100, 1 << 20):  # ranges shorter than the directory, than a file, and longer
+            found = spark.read.format("raster").option("partitionBytes", cut).load(path)
+            got = {n: np.full((6, 5, 3), -1.0) for n in images}
+            for r in found.collect():
+                got[r["path"].rsplit("/", 1)[1].split(".")[0]][r["y"]] = np.stack([r["r"], r["g"], r["b"]], -1)
+            assert found.count() == 18
+            for n, image in images.items():
+                assert np.abs(got[n] - image * (65535 if mode == "dng" else 1)).max() <= tolerance
+        assert formats.pixels(spark.read.format("raster").load(path)).count() == 3 * 30
+
+
+def test_failed_write_leaves_no_file(spark, tmp_path):
+    formats.register(spark)
+    path = tmp_path / "out"
+    rows, _ = image_rows(spark, ["a", "b"])
+    rows.write.format("raster").mode("append").save(str(path))
+    before = {p.name: p.read_bytes() for p in path.iterdir()}
+    bad = [image_rows(spark, ["c", "d", None])[0], image_rows(spark, ["c", "e", "c"])[0], image_rows(spark, ["c", "../d"])[0], rows.withColumn("mx", F.lit(7)).withColumn("name", F.concat("name", F.lit("x")))]
+    for k, df in enumerate(bad):
+        for mode in ("append", "overwrite"):
+            try:
+                df.repartition(2, "name").write.format("raster").mode(mode).save(str(path))
+            except Exception:
+                pass
+            else:
+                raise AssertionError(f"write {k} did not fail")
+            assert {p.name: p.read_bytes() for p in path.iterdir()} == before
+    try:
+        rows.write.format("raster").mode("append").save(str(path))  # the names exist
+    except Exception:
+        pass
+    else:
+        raise AssertionError("an existing name was overwritten")
+    assert {p.name: p.read_bytes() for p in path.iterdir()} == before
+    image_rows(spark, ["z"])[0].write.format("raster").mode("overwrite").save(str(path))
+    assert [p.name for p in path.iterdir()] == ["z.dng"]
+    rows.limit(0).write.format("raster").mode("overwrite").save(str(path))
+    assert list(path.iterdir()) == [] and spark.read.format("raster").load(str(path)).count() == 0
+
+
+def test_broken_rasters_are_rows(spark, tmp_path):
+    formats.register(spark)
+    image = np.random.default_rng(0).random((4, 4, 3))
+    (tmp_path / "a.tif").write_bytes(tiff.tiff_bytes(image))
+    (tmp_path / "cut.tif").write_bytes(tiff.tiff_bytes(image)[:-30])
+    (tmp_path / "no.dng").write_bytes(b"II*")
+    (tmp_path / "empty.tiff").write_bytes(b"")
+    rows = spark.read.format("raster").load(str(tmp_path)).collect()
+    assert {r["path"].rsplit("/", 1)[1] for r in rows if r["error"]} == {"cut.tif", "no.dng", "empty.tiff"}
+    assert sum(r["error"] is None for r in rows) == 4
+
+
+def test_fractions_and_preview():
+    kind, n, data = tiff.numbers(tiff.RATIONAL, [0.1234567, -1.0])
+    assert struct.unpack("<4I", data) == (123457, 1_000_000, 0, 1_000_000)
+    assert struct.unpack("<2i", tiff.numbers(tiff.SRATIONAL, [-0.5])[2]) == (-500_000, 1_000_000)
+    image = np.random.default_rng(2).random((9, 2100, 3))
+    small = tiff.preview_of(image)
+    assert small.shape == (3, 700, 3)
+    mean = (np.floor(image[3:6, 30:33] * 65535 + 0.5) / 65535).mean((0, 1))
+    assert np.array_equal(small[1, 10], np.floor((1.055 * mean ** (1 / 2.4) - 0.055) * 255 + 0.5))
+    assert tiff.preview_of(image, area=[1, 2, 5, 12]).shape == (2, 5, 3)
+    assert np.array_equal(tiff.preview_of(image, matrix=np.eye(3)), small) and tiff.preview_of(np.ones((1, 1, 3))).tolist() == [[[255] * 3]]
