@@ -13,7 +13,7 @@ that leaves less than ``LEAST_ROOM`` is a window of its own and not repeated, an
 the history goes first, then the system turn. Repeated turns are never under the loss mask,
 which covers the text of every assistant turn exactly once.
 
-Tokens are counted exactly by ``count_tokens``: runs of ASCII letters, single digits, and single other characters that are
+Tokens are counted exactly by ``count_tokens``: runs of at most four ASCII letters, single digits, and single other characters that are
 no white space (a column function; another one can be given).
 
 One shuffle by conv_id serves the prefix sums, the windows and the read-back. A conversation is
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUDGET, HISTORY, LEAST_ROOM = 512, 128, 64
-TOKEN = r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0D0-9A-Za-z]"
+TOKEN = r"[A-Za-z]{1,4}|[0-9]|[^\x20\x09-\x0D0-9A-Za-z]"
 #: Inside an escaped text a backslash stands before every <, so a newline never does.
 END = "\n</turn>\n"
 

@@ -65,5 +65,13 @@ def test_very_long_turn(spark):
     assert got["n_turns"] == 3 and got["loss_chars"] == len(text) and got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_runs_of_letters_are_many_tokens(spark):
+    """A window's budget bounds its characters: runs of letters count as one token for each four."""
+    talk = [(1, k, "user" if k % 2 == 0 else "assistant", "x" * 700) for k in range(40)]
+    frames = chat.format_windows(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), budget=512, history=128).collect()
+    assert sum(r["n_turns"] - r["n_repeated"] for r in frames) == 40
+    assert all(len(r["formatted"]) <= 4 * 512 for r in frames)
+
+
 def test_empty(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], SCHEMA))).count() == 0
