@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, rows_per_
     kind = T.StructType([T.StructField(c, T.LongType(), False) for c in ("length", "first", "n", "seq", "fill", "per")])
     slots = spark.createDataFrame(slots, kind)
     buckets = max(64, -(-sum(histogram.values()) // rows_per_bucket))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("k")).select("length", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")

@@ -105,5 +105,18 @@ def test_plan(seed):
     assert len(used) == slow_best_fit(histogram, 256)
 
 
+def test_rows_of_one_id_are_ranked_in_several_tasks(spark):
+    """Rows of null or repeated ids and one length: gapless places, whatever the buckets."""
+    texts = [f"word number {a} of {b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    docs = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = packing.pack(docs, vocabulary(), rows_per_bucket=1).collect()
+    assert len(got) == 100 and len({(r["sequence_id"], r["offset"]) for r in got}) == 100
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len(ends) == 1
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), vocabulary()).count() == 0
