@@ -230,7 +230,6 @@ _AT_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[ \t]{1,2}@[ \t]{0,2}|@[ \t]{1,
 _BEFORE_NUMERAL = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
 _ONE_SPELLED = re.compile(rf"(?:{_WORD})(?!\w)", re.I)
 _DOT_IN_NUMERAL = re.compile(r"\.[0-9OoIl]")
-_NUMERAL = re.compile(rf"(?<=[0-9])[ \t,.()-]{{1,3}}(?:{_WORD})(?!\w)|(?<!\w)(?:{_WORD})[ \t,.()-]{{1,3}}[0-9]", re.I)
 _NUMERAL = re.compile("[0-9]")
 REACH = 120
 #: White space that a pattern may cross: between the signs of a number.

@@ -1,4 +1,6 @@
-"""The opN queries: thin wrappers that apply each operator to its whole table with production parameters."""
+"""The opN queries: thin wrappers that apply each operator to its whole table with production parameters.
+
+Where a query tells held-out rows by the CRC of doc_id, a row without a doc_id is neither: its ``held_out`` is null."""
 
 from __future__ import annotations
 
