@@ -1,8 +1,8 @@
 """Line deduplication: lines that stand in many documents are dropped everywhere.
 
 Lines are exploded as hashes only: (document, position, hash of the key). A key is the line stripped of white space at
-both ends with A-Z lower-cased. A document counts once for each different key it holds (its hashes are made distinct
-before they are exploded), so the number of documents per hash is a plain count that Spark combines before the shuffle. The positions of
+both ends with A-Z lower-cased. A document counts once for each different key it holds: its first line of a key says so, and so the
+number of documents per hash is a plain count that Spark combines before the shuffle. The positions of
 lines whose hash reaches the threshold go back to their document, which drops them and joins the other lines in order;
 the text itself is shuffled once, there.
 
@@ -16,13 +16,15 @@ white space of its line; other columns are ignored by ``scan`` and kept by ``cle
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm._common import join_hot, materialise
 
-SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = b" \t\n\x0b\x0c\r"
 MIN_DOCS = 10
 
 
@@ -30,42 +32,58 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+def keys_of(text: bytes, least_length: int) -> list[tuple[int, bytes]]:
+    """(position, key) of the lines whose key is long enough."""
+    found = [(at, line.strip(SPACE)) for at, line in enumerate(text.lower().split(b"\n"))]  # bytes: lowers A-Z only
+    return [(at, key) for at, key in found if key and (least_length <= 1 or len(key.decode("utf-8", "replace")) >= least_length)]
 
 
-def _code(line: Column, least_length: int) -> Column:
-    """128 bits of a line's key; null for keys that are too short."""
-    key = key_of(line)
-    return F.when(F.char_length(key) >= max(least_length, 1), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
-
-
-def _codes(content: Column, least_length: int) -> Column:
-    return F.transform(lines_of(content), lambda line: _code(line, least_length))
-
-
-def common(docs: DataFrame, min_docs: int = MIN_DOCS, least_length: int = 1, text: str = "text") -> DataFrame:
-    """``(code, docs, lines)`` of the keys that stand in at least ``min_docs`` documents: how many documents and lines have them."""
+def exploded(docs: DataFrame, least_length: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(id, h, at, code, new)`` of each line with a key: its document (id, and h of its text), position, hash, and whether it is the first of its
+    document with this key."""
     content = F.col(text).cast("string")
-    codes = docs.select(_codes(content, least_length).alias("codes"))
-    counted = codes.select(F.explode(F.array_distinct("codes")).alias("code")).where(F.col("code").isNotNull())
-    return counted.groupBy("code").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(content).alias("h"), content.alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            of, places, codes, new = [], [], [], []
+            for k, t in enumerate(batch.column(2).cast(pa.binary())):
+                own = keys_of(t.as_buffer().to_pybytes(), least_length) if t.is_valid else []
+                seen = set()
+                for at, key in own:
+                    code = xxhash.xxh3_128_digest(key)
+                    of.append(k)
+                    places.append(at)
+                    codes.append(code)
+                    new.append(code not in seen)
+                    seen.add(code)
+            two = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 2)
+            code = pa.StructArray.from_arrays([pa.array(two[:, c].copy()) for c in (0, 1)], names=["h1", "h2"])
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), code, pa.array(new, pa.bool_())], names=["id", "h", "at", "code", "new"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, at int, code struct<h1: long, h2: long>, new boolean")
+
+
+def common(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(code, docs, n)`` of the keys that stand in at least ``min_docs`` documents: how many documents and lines have them."""
+    counted = lines.groupBy("code").agg(F.count_if("new").alias("docs"), F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("docs") >= min_docs)
 
 
 def _dropped(docs: DataFrame, min_docs: int, least_length: int, text: str, doc_id: str) -> DataFrame:
     """``(id, h, drop)``: the positions of the lines that each document loses, for documents that lose any. A document is told by its id and its text's hash:
     rows that share both lose the same lines."""
-    often = materialise(common(docs, min_docs, least_length, text).select("code", "docs"), "linededup-common")
-    content = F.col(text).cast("string")
-    lines = docs.select(F.col(doc_id).cast("string").alias("id"), F.xxhash64(content).alias("h"), F.posexplode(_codes(content, least_length)).alias("at", "code"))
-    met = join_hot(lines.where(F.col("code").isNotNull()), often, "code", "docs")
+    lines = materialise(exploded(docs, least_length, text, doc_id), "linededup-lines")
+    often = materialise(common(lines, min_docs).select("code", "n"), "linededup-common")
+    met = join_hot(lines.select("id", "h", "at", "code"), often, "code", "n")
     return met.groupBy("id", "h").agg(F.collect_set("at").alias("drop"))
 
 
 def _with_kept(docs: DataFrame, min_docs: int, least_length: int, text: str, doc_id: str) -> DataFrame:
     """All rows and columns of ``docs`` in a struct ``row``, with ``lines``, ``kept`` (positions that stay, in order)."""
     drop = _dropped(docs, min_docs, least_length, text, doc_id)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].cast("string").alias("r_id"), F.xxhash64(docs[text].cast("string")).alias("r_h"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].alias("r_id"), F.xxhash64(docs[text].cast("string")).alias("r_h"))
     both = rows.join(drop.hint("merge"), rows["r_id"].eqNullSafe(drop["id"]) & (rows["r_h"] == drop["h"]), "left")
     lines = both.select("row", lines_of(F.col("row").getField(text).cast("string")).alias("lines"), "drop")
     # array_except keeps order, and costs the sum of both lengths
