@@ -31,6 +31,8 @@ empty table on either side gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ UNITS = frozenset(
     "hz khz mhz ghz w kw kwh v a n j kj cal kcal pa bar kb mb gb tb c f k degree degrees mph kmh rpm".split()
 )
 _WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
+_MARKS = ".,;:!?"
 _ENDS = re.compile(r"[.!?:;…][\"'”’)\]]*$")
 NEWLINE = "⏎"
 PLAIN, NUMBER, UNIT, CAPITAL, OPENER = 0, 1, 2, 3, 4
@@ -73,28 +76,35 @@ class Canon:
         self.chunk: dict[str, int] = {}
         self.word: dict[str, int] = {}
         self.surface: list[str] = []
-        self.hash: list[int] = []
-        self.kind: list[int] = []
-        self.first: list[int] = []
-        self.size: list[int] = []
-        self.ends: list[bool] = []
-        self.flat: list[int] = []
-
-    def _add(self, chunk: str) -> None:
-        words = _WORD.findall(chunk) if chunk != NEWLINE else []
-        self.chunk[chunk] = len(self.first)
-        self.first.append(len(self.flat))
-        self.size.append(len(words))
-        self.ends.append(chunk == NEWLINE or bool(_ENDS.search(chunk)))
-        for w in words:
-            k = self.word.get(w)
-            if k is None:
-                k = self.word[w] = len(self.surface)
-                low = w.lower()
-                self.surface.append(low)
-                self.hash.append(xxhash.xxh64_intdigest(low))
-                self.kind.append(NUMBER if w[0].isdigit() else UNIT if low in UNITS or w in "%€$£°" else CAPITAL if len(w) > 1 and w[0].isupper() and not w.isupper() else PLAIN)
-            self.flat.append(k)
+        self.hash, self.kind, self.first, self.size, self.ends, self.flat = (array(code) for code in "QqqqBq")  # copied to NumPy as they are
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple:
+        """The words of a chunk; most chunks are one word, or one word and a mark."""
+        if chunk.isalpha():
+            return (chunk,)
+        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            return (chunk[:-1],)
+        return tuple(_WORD.findall(chunk)) if chunk != NEWLINE else ()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add chunks that are not known, all at once."""
+        parts = list(map(self._parts, chunks))
+        flat = list(chain.from_iterable(parts))
+        new = list(set(flat).difference(self.word))
+        self.word.update(zip(new, range(len(self.surface), len(self.surface) + len(new))))
+        low = [w.lower() for w in new]
+        self.surface += low
+        self.hash.extend(map(xxhash.xxh64_intdigest, low))
+        self.kind.extend(
+            [NUMBER if w[0].isdigit() else UNIT if k in UNITS or w in "%€$£°" else CAPITAL if len(w) > 1 and w[0].isupper() and not w.isupper() else PLAIN for w, k in zip(new, low)]
+        )
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.first.frombytes((len(self.flat) + np.cumsum(size) - size).tobytes())
+        self.size.frombytes(size.tobytes())
+        self.ends.extend([not c[-1].isalpha() and (c == NEWLINE or _ENDS.search(c) is not None) for c in chunks])
+        self.flat.extend(map(self.word.__getitem__, flat))
+        self.chunk.update(zip(chunks, range(len(self.chunk), len(self.chunk) + len(chunks))))
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, kinds in context, words of each text)."""
@@ -106,12 +116,8 @@ class Canon:
         if len(self.chunk) > self.most:
             self.reset()
         split = [t.replace("\n", f" {NEWLINE} ").split() for t in texts]
-        for words in split:
-            for w in words:
-                if w not in self.chunk:
-                    self._add(w)
-        get = self.chunk.__getitem__
-        chunks = np.fromiter((k for words in split for k in map(get, words)), np.int64)
+        self._learn(list(set(chain.from_iterable(split)).difference(self.chunk)))
+        chunks = np.fromiter(map(self.chunk.__getitem__, chain.from_iterable(split)), np.int64)
         of_text = np.repeat(np.arange(len(texts)), [len(words) for words in split])
         first, size, ends = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.ends, bool)
         n = size[chunks]
