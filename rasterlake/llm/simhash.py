@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm._common import _with_least, complete_runs, components, join_hot, materialise
+from rasterlake.llm._common import complete_runs, components, join_hot, materialise
 
 MAX_BITS = 4
 SEED = 42
@@ -272,12 +272,16 @@ def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     total = pairs.count()
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    for _ in range(2):  # the set of one end, then of the other
-        count = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        side = known.join(count, known["id"] == count["u"]).select("u", F.col("w").alias("m"), "n")
-        both = _with_least(both, side, total)
-        both = both.select(F.col("v").alias("u"), F.col("u").alias("v"), *(c for c in both.columns if c not in "uvm"), F.col("m").alias(f"w{len(both.columns)}"))
+
+    def with_set(rows: DataFrame, end: str, other: str, share: int = 1000, salts: int = 64) -> DataFrame:
+        """``rows`` with the set of one end; hubs, which have more than 1/``share`` of all pairs and are fewer than ``share``, are dealt over ``salts`` tasks."""
+        hubs = [r[end] for r in pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total).select(end).collect()]
+        hub = F.col(end).isin(hubs)
+        copies = F.when(hub, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        side = known.select(F.col("id").alias(end), F.col("w").alias(f"w{end}")).withColumn("salt", F.explode(copies))
+        return rows.withColumn("salt", F.when(hub, F.pmod(F.hash(other), F.lit(salts))).otherwise(F.lit(0))).join(side.hint("merge"), [end, "salt"]).drop("salt")
+
+    both = with_set(with_set(pairs, "a", "b"), "b", "a").select("a", "b", "wa", "wb")
     return materialise(both.mapInArrow(compare, "a long, b long, ok boolean"), "simhash-verified"), known
 
 
@@ -342,7 +346,7 @@ def settled(pairs: DataFrame, known: DataFrame, classes: DataFrame, roots: DataF
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     met = materialise(_dealt(post, chunk, "simhash-long").mapInArrow(across, "key long, id long").distinct(), "simhash-across")
-    again = met.join(rows, "id").join(known, "id").select("key", "id", "root", *fields, "w")
+    again = met.join(materialise(rows.join(known, "id"), "simhash-touched-sets"), "id").select("key", "id", "root", *fields, "w")
     more = _dealt(again, few, "simhash-long").mapInArrow(settle, "a long, b long")
     return components(more, "simhash-more").select(F.col("node").alias("root"), F.col("root").alias("into"))
 
