@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rasterlake.plans.registry import load, query
 from rasterlake.plans.shared import shared_folder
+from rasterlake.streaming.sessions import Delivery, follow, run, stream_session
 
 LATE = "(SELECT *, max(generation) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, count(CASE WHEN kind = 'full' THEN 1 END) OVER (PARTITION BY user_id, generation ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fulls FROM (SELECT event_id, user_id, ts, event_id * 7919 % 10 AS generation, CASE WHEN event_id % 3 = 0 THEN 'full' ELSE 'quick' END AS kind FROM events))"
 
@@ -31,33 +30,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliver(requests: DataFrame) -> DataFrame:
-    """Results that may be shown: of the newest generation seen, and no quick one after that generation's full one.
-    State per session: (newest generation, whether its full result was delivered)."""
-
-    def step(key, batches, state):
-        newest, full = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for r in rows.itertuples():
-            if newest is None or r.generation > newest:
-                newest, full = r.generation, False
-            elif r.generation < newest or full:
-                continue
-            full = full or r.kind == "full"
-            out.append(r.event_id)
-        state.update((int(newest), bool(full)))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out})
-
-    return requests.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "newest long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    """Results that may be shown: of the newest generation seen, and no quick one after that generation's full one."""
+    return follow(requests, "user_id", Delivery())
 
 
 @query(f"SELECT user_id, event_id FROM {LATE} WHERE (newest IS NULL OR generation >= newest) AND fulls = 0")
 def quick_then_full(spark, sf_dir):
-    e = event_stream(spark, sf_dir)
-    requests = e.select("event_id", "user_id", "ts", (F.col("event_id") * 7919 % 10).alias("generation"), F.when(F.col("event_id") % 3 == 0, "full").otherwise("quick").alias("kind"))
-    out = _folder(spark, "quick-then-full", sf_dir)
-    deliver(requests).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, event_id long").parquet(f"{out}/data")
+    e = event_stream(stream_session(spark), sf_dir)
+    requests = e.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") * 7919 % 10).alias("generation"), F.when(F.col("event_id") % 3 == 0, "full").otherwise("quick").alias("kind"))
+    return run(spark, "quick-full", sf_dir, deliver(requests))
 
 
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id, count(*) AS seen FROM events GROUP BY 1")

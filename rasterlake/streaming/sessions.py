@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rasterlake.plans.registry import load, query
+from rasterlake.plans.registry import query
 from rasterlake.plans.shared import shared_folder
 
 #: Files taken by one micro-batch end at this size (at least one file).
@@ -212,8 +212,9 @@ def follow(rows: DataFrame, key: str, session: Session) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = load(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*").option("maxBytesPerTrigger", BATCH_BYTES).parquet(sf_dir)
+    """The events of a folder as they arrive: one file, several, or a folder of files."""
+    path = f"{sf_dir}/events*.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
