@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterlake.plans.registry import load, query
+from rasterlake.plans.shared import written
 from rasterlake.sources import surrogates as S
 
 BINS, LO, HI = 256, -16.0, 8.0
@@ -210,9 +211,15 @@ def noise_bins_mad(spark, sf_dir):
     return noise_bins(_frames(spark, sf_dir), ["frame", "ch"]).select("frame", "ch", "bin", F.round("x", 8).alias("x"), F.round("var", 8).alias("var"), "n")
 
 
+def _fits(spark, sf_dir):
+    """Fits of whole frames. The bins, 40 rows a frame and channel at most, are written once: stencil and medians run once although the bins are used twice."""
+    bins = written(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), "noise-bins")
+    return affine_fit(whole_frames(bins, "frame", "ch"), ["frame", "ch"])
+
+
 @query(_FIT + " SELECT frame, ch, round(a, 7) AS a, round(b, 7) AS b, weight FROM fit")
 def noise_affine_fit(spark, sf_dir):
-    fit = affine_fit(whole_frames(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), "frame", "ch"), ["frame", "ch"])
+    fit = _fits(spark, sf_dir)
     return fit.select("frame", "ch", F.round("a", 7).alias("a"), F.round("b", 7).alias("b"), "weight")
 
 
@@ -223,7 +230,7 @@ def _median_sql(c):
 @query(_FIT + f" SELECT ch, round(greatest(a, pow(1.0 / 1024, 2) / 12), 7) AS a, round(b, 7) AS b FROM {_median_sql('a')} JOIN {_median_sql('b')} USING (ch)")
 def noise_profile(spark, sf_dir):
     """Stencil, filter, robust bins, weighted fit and weighted median: the whole noise job."""
-    fit = affine_fit(whole_frames(noise_bins(_frames(spark, sf_dir), ["frame", "ch"]), "frame", "ch"), ["frame", "ch"])
+    fit = written(_fits(spark, sf_dir), "noise-fits")
     both = fit.select("ch", "weight", F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("v")), F.struct(F.lit("b").alias("of"), F.col("b").alias("v")))).alias("p"))
     found = lower_weighted_median(both.select("ch", "weight", "p.of", "p.v"), ["ch", "of"], "v", "weight")
     found = found.groupBy("ch").agg(*(F.max(F.when(F.col("of") == c, F.col("v"))).alias(c) for c in ("a", "b")))
