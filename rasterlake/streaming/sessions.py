@@ -3,7 +3,7 @@
 A session is a state and three plain functions: ``step`` takes the next row, ``expire`` does what is due by a time, ``deadline`` tells when
 something will be due. ``transformWithStateInPandas`` keeps the state as one typed value for each key and sets an event-time timer at the
 deadline, so that what is due comes out although no row follows. Rows of a key are taken by time (whole milliseconds), then event_id, inside a
-micro-batch; micro-batches come in the order of their files. Before each row all that is due by its time is done, so results do not depend
+micro-batch; micro-batches come in the order of their files. Before each row all that is due by its time is done, so with files in the order of time results do not depend
 on how rows fall into micro-batches. A row behind the watermark (older than the newest row of the batches before) is late: Spark leaves it out
 of sessions with timers. A deadline comes out when the watermark has passed it. Null keys are a session of their own; rows with a null time,
 kind or generation do nothing, and ties are rows in the order of event_id. An empty source gives no rows.
