@@ -9,6 +9,7 @@ from rasterlake.functions import color as C
 from rasterlake.operators.calibration_queries import to_decoded
 from rasterlake.operators.color_queries import PX, rounded
 from rasterlake.plans.registry import load, query
+from rasterlake.plans.shared import written
 from rasterlake.sources import surrogates as S
 
 #: Chromatic adaptation from D65 to D50 (Bradford), and the balance whose gain stands for D65.
@@ -101,8 +102,8 @@ def prepared(files: DataFrame, balance: str | None = None) -> tuple[DataFrame, D
     newer = lists.groupBy("path").agg(*(F.max(plain("name") == t).alias(n) for t, n in ((tables[0], "has_gains"), (tables[1], "has_cc"))))
     has = rows.groupBy("path").agg(F.max(F.coalesce(F.col("identifier") == "SECc", F.lit(False))).alias("has_metadata"))
     out = wanted.join(has, "path").join(images.select("path", "columns", "rows", F.col("error").alias("image_error")), "path").join(cal, "path", "left").join(single, "path", "left")
-    # a row for each file, kept in memory for the steps after it (its caller may release it)
-    out = calibrate(out).join(newer, "path", "left").cache()
+    # a narrow row for each file, written once for the steps after it
+    out = written(calibrate(out).join(newer, "path", "left"), "prepared")
     # saturation: the bit depth, else the levels in the engine's order, else twelve bits
     three = lambda c: F.when(F.size(c) == 3, F.col(c))
     is_newer = F.coalesce(F.col("has_gains") & F.col("has_cc"), F.lit(False))
