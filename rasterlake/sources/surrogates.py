@@ -21,6 +21,13 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(image_id, y, x, v)``: images of 64 x 64, eight by eight vectors each; the last image may lack pixels."""
+    k = F.col("image_id") % 64
+    px = gray(spark, sf_dir).withColumns({"y": (F.floor(k / SIDE) * SIDE + F.col("y")).cast("int"), "x": (k % SIDE * SIDE + F.col("x")).cast("int")})
+    return px.withColumn("image_id", F.floor(F.col("image_id") / 64))
+
+
 def raw12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(image_id, y, x, s)``: 12-bit samples."""
     return gray(spark, sf_dir).select("image_id", "y", "x", F.floor((F.col("v") + 1) * 2047.5).cast("int").alias("s"))
@@ -48,6 +55,7 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables as SQL, for the checks.
 GRAY = "SELECT vec_id AS image_id, CAST(floor((i - 1) / 8) AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+MOSAIC = f"SELECT image_id // 64 AS image_id, CAST(image_id % 64 // 8 * 8 + y AS INT) AS y, CAST(image_id % 8 * 8 + x AS INT) AS x, v FROM ({GRAY})"
 RAW12 = f"SELECT image_id, y, x, CAST(floor((v + 1) * 2047.5) AS INT) AS s FROM ({GRAY})"
 COLOUR = f"SELECT CAST(floor(image_id / 3) AS BIGINT) AS image_id, y, x, max(CASE WHEN image_id % 3 = 0 THEN s END) AS c0, max(CASE WHEN image_id % 3 = 1 THEN s END) AS c1, max(CASE WHEN image_id % 3 = 2 THEN s END) AS c2 FROM ({RAW12}) GROUP BY 1, 2, 3 HAVING count(*) = 3"
 LINEAR = f"SELECT image_id, y, x, c0 / 4095.0 AS r, c1 / 4095.0 AS g, c2 / 4095.0 AS b FROM ({COLOUR})"
