@@ -18,18 +18,19 @@ HALF_DIAGONAL = 12.44
 PX = ("image_id", "y", "x")
 
 
-def in_tiles(px: DataFrame, run, tile: int, halo: int, channels=("r", "g", "b"), carry: tuple[str, ...] = ()) -> DataFrame:
+def in_tiles(px: DataFrame, run, tile: int, halo: int | str, channels=("r", "g", "b"), carry: tuple[str, ...] = ()) -> DataFrame:
     """``run(array, top, left, pdf)`` on each tile of ``px`` and its halo; the tile alone comes back, as pixels.
 
-    One shuffle, in which a pixel goes to its tile and to those whose halo holds it: (1 + 2 * halo / tile)^2 copies on the mean.
+    ``halo`` is a number or names a column with each image's own. One shuffle, in which a pixel goes to its tile and to those whose halo holds it: (1 + 2 * halo / tile)^2 copies on the mean.
     At the raster's own edge the halo ends, so clamping there is the function's; where ``height`` and ``width`` are carried, tiles beyond it are spared. Rows without a place go; an absent pixel is NaN;
     of several rows for one pixel the array holds one, and each of them comes back."""
 
     def near(c, size):
-        last = F.floor((F.col(c) + halo) / tile)
-        return F.explode(F.sequence(F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)), F.least(last, F.floor((F.col(size) - 1) / tile)) if size in carry else last))
+        reach = F.col(halo) if isinstance(halo, str) else F.lit(halo)
+        last = F.floor((F.col(c) + reach) / tile)
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / tile), F.lit(0)), F.least(last, F.floor((F.col(size) - 1) / tile)) if size in carry else last))
 
-    parts = px.select(*PX, *channels, *carry, near("y", "height").alias("ty")).select("*", near("x", "width").alias("tx"))
+    parts = px.select(*PX, *channels, *carry, *([halo] if isinstance(halo, str) else []), near("y", "height").alias("ty")).select("*", near("x", "width").alias("tx"))
 
     def one(key, pdf):
         mine = (pdf["y"] // tile == key[1]) & (pdf["x"] // tile == key[2])
@@ -145,30 +146,46 @@ def wavelet_denoise(spark, sf_dir):
     return _rounded(wavelet(S.linear(spark, sf_dir), NOISE, 1.5))
 
 
+def _unwarped(a, top, left, height, width, focal, green, red, blue, vignette):
+    """The corrected samples of an array whose corner is at (top, left) of its raster."""
+    poly = lambda k, r2: 1 + r2 * (k[0] + r2 * (k[1] + r2 * k[2]))
+    dy = (top + np.arange(a.shape[0]) - (height - 1) / 2)[:, None]
+    dx = (left + np.arange(a.shape[1]) - (width - 1) / 2)[None, :]
+    r2 = (dy * dy + dx * dx) * (HALF_DIAGONAL / focal / (0.5 * np.hypot(height, width))) ** 2
+    out, geometric = np.empty_like(a), poly(green, r2)
+    for c, s in enumerate((geometric * red[0] * poly(red[1:], r2), geometric, geometric * blue[0] * poly(blue[1:], r2))):
+        sy = np.clip(np.clip((height - 1) / 2 + dy * s, 0, height - 1) - top, 0, a.shape[0] - 1)
+        sx = np.clip(np.clip((width - 1) / 2 + dx * s, 0, width - 1) - left, 0, a.shape[1] - 1)
+        y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+        y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
+        fy, fx, v = sy - y0, sx - x0, a[..., c]
+        out[..., c] = (v[y0, x0] * (1 - fx) + v[y0, x1] * fx) * (1 - fy) + (v[y1, x0] * (1 - fx) + v[y1, x1] * fx) * fy
+    return out / np.maximum(poly(vignette, r2), 0.25)[..., None]
+
+
 def lens_correct(px: DataFrame, green, red, blue, vignette, halo: int, tile: int = 512) -> DataFrame:
     """Distortion, lateral colour and vignette of ``(image_id, y, x, r, g, b, height, width, focal)``, scale polynomials in the squared
     radius: ``green`` three coefficients, ``red`` and ``blue`` a scale and three on top of green. Samples are bilinear and clamped to the
     raster; ``halo`` is the largest shift in pixels and two (``roi_margin``)."""
-    poly = lambda k, r2: 1 + r2 * (k[0] + r2 * (k[1] + r2 * k[2]))
-
     def run(a, top, left, pdf):
-        height, width, focal = (pdf[c].iloc[0] for c in ("height", "width", "focal"))
-        dy = (top + np.arange(a.shape[0]) - (height - 1) / 2)[:, None]
-        dx = (left + np.arange(a.shape[1]) - (width - 1) / 2)[None, :]
-        r2 = (dy * dy + dx * dx) * (HALF_DIAGONAL / focal / (0.5 * np.hypot(height, width))) ** 2
-        out, geometric = np.empty_like(a), poly(green, r2)
-        for c, s in enumerate((geometric * red[0] * poly(red[1:], r2), geometric, geometric * blue[0] * poly(blue[1:], r2))):
-            sy = np.clip(np.clip((height - 1) / 2 + dy * s, 0, height - 1) - top, 0, a.shape[0] - 1)
-            sx = np.clip(np.clip((width - 1) / 2 + dx * s, 0, width - 1) - left, 0, a.shape[1] - 1)
-            y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
-            y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-            fy, fx, v = sy - y0, sx - x0, a[..., c]
-            out[..., c] = (v[y0, x0] * (1 - fx) + v[y0, x1] * fx) * (1 - fy) + (v[y1, x0] * (1 - fx) + v[y1, x1] * fx) * fy
-        return out / np.maximum(poly(vignette, r2), 0.25)[..., None]
+        return _unwarped(a, top, left, *(pdf[c].iloc[0] for c in ("height", "width", "focal")), green, red, blue, vignette)
 
     return in_tiles(px, run, tile, halo, carry=("height", "width", "focal"))
 
 
+#: Columns of an image's own coefficients: green three, red and blue a scale and three each, vignette three.
+OWN = tuple(f"k{i}" for i in range(14))
+
+
+def lens_correct_own(px: DataFrame, tile: int = 512) -> DataFrame:
+    """``lens_correct`` with coefficients ``k0`` to ``k13``, focal length and ``halo`` of each image, which its pixels carry (equal values, so a shuffle's compression takes them)."""
+    def run(a, top, left, pdf):
+        k = pdf[list(OWN)].iloc[0].to_numpy(float)
+        return _unwarped(a, top, left, *(pdf[c].iloc[0] for c in ("height", "width", "focal")), k[:3], k[3:7], k[7:11], k[11:])
+
+    return in_tiles(px, run, tile, "halo", carry=("height", "width", "focal", *OWN))
+
+
 LENS = {"green": (0.12, -0.03, 0.01), "red": (1.002, 0.004, 0.001, 0.0), "blue": (0.997, -0.003, 0.0, 0.001), "vignette": (-0.5, 0.2, -0.05)}
 
 
