@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterlake.plans.registry import load, query
+from rasterlake.plans.shared import written
 from rasterlake.sources import surrogates as S
 
 
-def bracket(samples: DataFrame, grid: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """Adds ``value``: the grid's y at x, linear between the two nearest knots of the same keys, held at both ends; null
-    where x or a key is null, or where the grid has no knot of the keys. Every sample gives one row.
+def between(samples: DataFrame, grid: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """Adds the two knots ``gx, gy`` and ``hx, hy`` of the same keys around x, the first two alone before the first knot and from the last one on; all null
+    where x or a key is null, or where the grid has no knot of the keys. Every sample gives one row; a grid has each knot once.
 
     The grid becomes half-open intervals [gx, hx), the first and the last open-ended; every x lies in exactly one. The range of a key is cut
     into as many cells as it has knots, and an interval stands in each cell it touches: intervals are disjoint, so these are at most
@@ -30,8 +31,13 @@ def bracket(samples: DataFrame, grid: DataFrame, x: str, keys: list[str]) -> Dat
     placed = samples.join(ranges, [F.col(k) == F.col(f"_r_{k}") for k in keys], "left").withColumn("_at", F.when(F.col(x).isNotNull(), of(F.col(x)))).drop("_lo", "_hi", "_cells", *(f"_r_{k}" for k in keys))
     inside = ((F.col(x) >= F.col("gx")) | F.col("_first")) & (F.col("hx").isNull() | (F.col(x) < F.col("hx")))
     joined = placed.join(cells.drop("_lo", "_hi", "_cells"), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_cell"), inside], "left")
+    return joined.drop("_first", "_cell", "_at", *(f"_{k}" for k in keys))
+
+
+def bracket(samples: DataFrame, grid: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """Adds ``value``: the grid's y at x, linear between the two nearest knots of the same keys, held at both ends; null where ``between`` finds no knot."""
     t = F.when(F.col("hx").isNull() | (F.col(x) <= F.col("gx")), F.lit(0.0)).otherwise((F.col(x) - F.col("gx")) / (F.col("hx") - F.col("gx")))
-    return joined.withColumn("value", F.col("gy") + t * (F.coalesce("hy", "gy") - F.col("gy"))).drop("gx", "gy", "hx", "hy", "_first", "_cell", "_at", *(f"_{k}" for k in keys))
+    return between(samples, grid, x, keys).withColumn("value", F.col("gy") + t * (F.coalesce("hy", "gy") - F.col("gy"))).drop("gx", "gy", "hx", "hy")
 
 
 @query("SELECT c_custkey, coalesce(r.r_name, d.r_name) AS region FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 5 <> 0 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey, (SELECT r_name FROM region WHERE r_regionkey = 0) d")
@@ -65,21 +71,44 @@ def gain_default(spark, sf_dir):
 
 
 def range_match(shots: DataFrame, profiles: DataFrame, rel: float = 0.06) -> DataFrame:
-    """``(shot_id, name)``: the profile with both focal ends within ``rel`` of the larger and the nearest aperture, first index on ties.
+    """``(shot_id, name)``: the profile with both focal ends within ``rel`` of the larger and the nearest aperture, first index on ties; a distance of null comes last.
 
     Logarithmic cells of both ends turn the range condition into an equi-join: ends within rel of each
-    other are in the same or neighbouring cells, so a shot asks 3 x 3 cells whatever the tables' sizes are."""
+    other are in the same or neighbouring cells, so a focal range asks 3 x 3 cells whatever the tables' sizes are. Focal ranges meet, not
+    rows: of a range's profiles with one aperture the first index is the only one that can be asked for, so what a range of shots may choose from is a
+    row for each aperture, and a shot finds the two around its own by ``between``. No shot meets more than these two, whatever the number of profiles."""
     import math
 
     step = math.log(1 / (1 - rel))
     cell = lambda c: F.floor(F.log(c) / step)
-    asked = shots.select("*", cell("f0").alias("c0"), cell("f1").alias("c1"))
+    ends = ("zoom", "f0", "f1")
+    asked = shots.select(*ends).distinct().select("*", cell("f0").alias("c0"), cell("f1").alias("c1"))
     around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((F.col("c0") + i).alias("k0"), (F.col("c1") + j).alias("k1"))))))
-    asked = asked.select("shot_id", "zoom", "f0", "f1", "aperture", around.alias("k"))
-    side = profiles.select("idx", "name", F.col("zoom").alias("pz"), F.col("f0").alias("p0"), F.col("f1").alias("p1"), F.col("aperture").alias("pa"), cell("f0").alias("k0"), cell("f1").alias("k1"))
+    asked = asked.select(*ends, around.alias("k"))
+    first = F.min(F.struct("idx", "name")).alias("gy")
+    side = profiles.groupBy(F.col("zoom").alias("pz"), F.col("f0").alias("p0"), F.col("f1").alias("p1"), F.col("aperture").alias("gx")).agg(first)
+    side = side.select("*", cell("p0").alias("k0"), cell("p1").alias("k1"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= rel * F.greatest(a, b)
     hit = asked.join(side, (F.col("k.k0") == F.col("k0")) & (F.col("k.k1") == F.col("k1")) & (F.col("zoom") == F.col("pz"))).where(near("f0", "p0") & near("f1", "p1"))
-    return hit.groupBy("shot_id").agg(F.min_by("name", F.struct(F.abs(F.col("aperture") - F.col("pa")), "idx")).alias("name"))
+    choice = written(hit.groupBy(*ends, "gx").agg(F.min("gy").alias("gy")), "range-match")
+
+    # apertures so close that two distances round to one may hold the tie's first index beyond the nearest two, and a shot without an aperture has no nearest: these see the whole choice of their range
+    fine = choice.where("gx is not null and not isnan(double(gx))")
+    w = Window.partitionBy(*ends).orderBy("gx")
+    fine = fine.select(*ends, "gx", F.struct("gy.idx", "gy.name", F.lag("gx").over(w).alias("below"), F.lead("gx").over(w).alias("above")).alias("gy"))
+    found = between(shots.select("shot_id", *ends, "aperture"), fine, "aperture", list(ends))
+    low, high, a = F.col("gy"), F.col("hy"), F.col("aperture")
+    d_low, d_high = F.abs(a - F.col("gx")), F.abs(a - F.col("hx"))
+    d = F.coalesce(F.least(d_low, d_high), d_low)
+    even = lambda other: F.coalesce(F.abs(a - other) <= d, F.lit(False))
+    open_ = low.isNull() | F.isnan(a.cast("double")) | even(low["below"]) | even(high["above"])
+    pick = F.when(high.isNotNull() & ((d_high < d_low) | ((d_high == d_low) & (high["idx"] < low["idx"]))), F.struct(d_high.alias("d"), high["idx"].alias("idx"), high["name"].alias("name")))
+    pick = pick.otherwise(F.struct(d_low.alias("d"), low["idx"].alias("idx"), low["name"].alias("name")))
+    found = found.select("shot_id", *ends, "aperture", open_.alias("open"), pick.alias("hit"))
+    gap = F.abs(F.col("aperture") - F.col("gx"))
+    rest = found.where("open").select("shot_id", *ends, "aperture").join(choice, list(ends)).select("shot_id", F.struct(gap.alias("d"), "gy.idx", "gy.name").alias("hit"))
+    all_ = found.where("not open").select("shot_id", "hit").unionByName(rest)
+    return all_.groupBy("shot_id").agg(F.min_by("hit.name", F.struct(F.col("hit.d").isNull(), "hit.d", "hit.idx")).alias("name"))
 
 
 @query("""WITH s AS (SELECT p_partkey AS shot_id, p_size % 2 = 0 AS zoom, p_size::DOUBLE AS f0, p_size * 2.0 AS f1, p_retailprice / 500 AS a FROM part),
