@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,33 +22,78 @@ HALF_DIAGONAL = 12.44
 PX = ("image_id", "y", "x")
 
 
-def in_tiles(px: DataFrame, run, tile: int, halo: int | str, channels=("r", "g", "b"), carry: tuple[str, ...] = ()) -> DataFrame:
-    """``run(array, top, left, pdf)`` on each tile of ``px`` and its halo; the tile alone comes back, as pixels.
+def _tile_keys(rows) -> np.ndarray:
+    image = rows.column("image_id")
+    return np.stack([np.asarray(pc.fill_null(image, 0)), np.asarray(pc.is_null(image)), np.asarray(rows.column("ty")), np.asarray(rows.column("tx"))], 1)
+
+
+def _whole_tiles(batches) -> Iterator[pa.Table]:
+    """Tables of whole tiles from batches that are sorted by tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = _tile_keys(batch)
+        change = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        cut = int(change[-1]) if len(change) else 0
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif held and (_tile_keys(held[-1].slice(held[-1].num_rows - 1)) != k[0]).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_tiles(px: DataFrame, run, tile: int, halo: int | str, channels=("r", "g", "b"), carry: tuple[str, ...] = (), most: int = 1 << 18) -> DataFrame:
+    """``run(arrays, top, left, carried)`` on the tiles of ``px`` and their halo; the tiles alone come back, as pixels. Tiles of one shape, up to ``most`` pixels
+    of them or one tile, go through together: ``arrays`` is (tiles, height, width, channels), the others have a value for each tile.
 
     ``halo`` is a number or names a column with each image's own. One shuffle, in which a pixel goes to its tile and to those whose halo holds it: (1 + 2 * halo / tile)^2 copies on the mean.
     At the raster's own edge the halo ends, so clamping there is the function's; where ``height`` and ``width`` are carried, tiles beyond it are spared. Rows without a place go; an absent pixel is NaN;
-    of several rows for one pixel the array holds one, and each of them comes back."""
+    of several rows for one pixel the array holds one, and each of them comes back; NaN comes back as null."""
 
     def near(c, size):
         reach = F.col(halo) if isinstance(halo, str) else F.lit(halo)
         last = F.floor((F.col(c) + reach) / tile)
         return F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / tile), F.lit(0)), F.least(last, F.floor((F.col(size) - 1) / tile)) if size in carry else last))
 
-    parts = px.select(*PX, *channels, *carry, *([halo] if isinstance(halo, str) else []), near("y", "height").alias("ty")).select("*", near("x", "width").alias("tx"))
-
-    def one(key, pdf):
-        mine = (pdf["y"] // tile == key[1]) & (pdf["x"] // tile == key[2])
-        if not mine.any():
-            return pdf.loc[mine, [*PX, *channels]]
-        top, left = pdf["y"].min(), pdf["x"].min()
-        y, x = (pdf["y"] - top).to_numpy(), (pdf["x"] - left).to_numpy()
-        a = np.full((y.max() + 1, x.max() + 1, len(channels)), np.nan)
-        a[y, x] = pdf[list(channels)].to_numpy(float)
-        out = pdf.loc[mine, list(PX)]
-        got = run(a, int(top), int(left), pdf)[y[mine], x[mine]]
-        return out.assign(**{c: got[:, k] for k, c in enumerate(channels)})
-
-    return parts.groupBy("image_id", "ty", "tx").applyInPandas(one, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in channels))
+    own = [F.col("image_id").cast("long").alias("image_id"), *(F.col(c).cast("int").alias(c) for c in PX[1:]), *(F.col(c).cast("double").alias(c) for c in channels)]
+    parts = px.select(*own, *(F.col(c).cast("double").alias(c) for c in carry), *([halo] if isinstance(halo, str) else []), near("y", "height").alias("ty")).select("*", near("x", "width").alias("tx"))
+
+    def tiles(batches):
+        for table in map(pa.Table.combine_chunks, _whole_tiles(batches)):
+            k = _tile_keys(table)
+            lo = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1]
+            of = np.repeat(np.arange(len(lo)), np.diff(np.r_[lo, len(k)]))
+            y, x = (np.asarray(table.column(c)).astype(np.int64) for c in "yx")
+            mine = (y // tile == k[:, 2]) & (x // tile == k[:, 3])
+            top, left = np.minimum.reduceat(y, lo), np.minimum.reduceat(x, lo)
+            shape = np.stack([np.maximum.reduceat(y, lo) - top, np.maximum.reduceat(x, lo) - left], 1) + 1
+            y, x = y - top[of], x - left[of]
+            v = np.stack([pc.fill_null(table.column(c), np.nan).to_numpy() for c in channels], 1)
+            carried = {c: pc.fill_null(table.column(c), np.nan).to_numpy()[lo] for c in carry}
+            out, some = np.full(v.shape, np.nan), np.flatnonzero(np.bincount(of, mine) > 0)
+            for h, w in np.unique(shape[some], axis=0).tolist():
+                alike = some[(shape[some] == (h, w)).all(1)]
+                step = max(1, most // (h * w))
+                for n in range(0, len(alike), step):
+                    now = alike[n : n + step]
+                    place = np.full(len(lo), -1)
+                    place[now] = np.arange(len(now))
+                    rows = np.flatnonzero(place[of] >= 0)
+                    a = np.full((len(now), h, w, len(channels)), np.nan)
+                    a[place[of[rows]], y[rows], x[rows]] = v[rows]
+                    rows = rows[mine[rows]]
+                    out[rows] = run(a, top[now], left[now], {c: t[now] for c, t in carried.items()})[place[of[rows]], y[rows], x[rows]]
+            kept = table.select(PX).filter(pa.array(mine))
+            done = [pa.array(c, mask=np.isnan(c)) for c in out[mine].T]
+            yield from pa.Table.from_arrays([*kept.columns, *done], names=[*PX, *channels]).to_batches(max_chunksize=1 << 16)
+
+    schema = "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in channels)
+    return parts.repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx").mapInArrow(tiles, schema)
 
 
 def _shrink(d, t):
@@ -64,11 +113,11 @@ def wavelet(px: DataFrame, noise: tuple[tuple, tuple], strength: float, chroma:
         return np.sqrt(np.maximum(base + slope * np.maximum(v, 0), 1e-12))
 
     def around(a, step, reach):
-        """The array moved by every tap, edges clamped."""
-        pad = np.pad(a, ((reach * step,) * 2, (reach * step,) * 2, (0, 0)), mode="edge")
-        return lambda j, i: pad[(j + reach) * step : (j + reach) * step + a.shape[0], (i + reach) * step : (i + reach) * step + a.shape[1]]
+        """The arrays moved by every tap, edges clamped."""
+        pad = np.pad(a, ((0, 0), (reach * step,) * 2, (reach * step,) * 2, (0, 0)), mode="edge")
+        return lambda j, i: pad[:, (j + reach) * step : (j + reach) * step + a.shape[1], (i + reach) * step : (i + reach) * step + a.shape[2]]
 
-    def run(a, top, left, pdf):
+    def run(a, top, left, carried):
         a = np.clip(np.nan_to_num(a, nan=0.0, posinf=LARGEST, neginf=-LARGEST), -LARGEST, LARGEST)
         at = around(a, 1, 1)
         cross = np.stack([at(0, 1), at(0, -1), at(1, 0), at(-1, 0)])
@@ -147,19 +196,20 @@ def wavelet_denoise(spark, sf_dir):
 
 
 def _unwarped(a, top, left, height, width, focal, green, red, blue, vignette):
-    """The corrected samples of an array whose corner is at (top, left) of its raster."""
+    """The corrected samples of arrays whose corners are at (top, left) of their rasters; sizes, focal lengths and coefficients have one value or one for each array."""
+    top, left, height, width, focal = (np.asarray(v, float)[..., None, None] for v in (top, left, height, width, focal))
     poly = lambda k, r2: 1 + r2 * (k[0] + r2 * (k[1] + r2 * k[2]))
-    dy = (top + np.arange(a.shape[0]) - (height - 1) / 2)[:, None]
-    dx = (left + np.arange(a.shape[1]) - (width - 1) / 2)[None, :]
+    dy = top + np.arange(a.shape[1])[:, None] - (height - 1) / 2
+    dx = left + np.arange(a.shape[2])[None, :] - (width - 1) / 2
     r2 = (dy * dy + dx * dx) * (HALF_DIAGONAL / focal / (0.5 * np.hypot(height, width))) ** 2
-    out, geometric = np.empty_like(a), poly(green, r2)
+    out, geometric, t = np.empty_like(a), poly(green, r2), np.arange(len(a))[:, None, None]
     for c, s in enumerate((geometric * red[0] * poly(red[1:], r2), geometric, geometric * blue[0] * poly(blue[1:], r2))):
-        sy = np.clip(np.clip((height - 1) / 2 + dy * s, 0, height - 1) - top, 0, a.shape[0] - 1)
-        sx = np.clip(np.clip((width - 1) / 2 + dx * s, 0, width - 1) - left, 0, a.shape[1] - 1)
+        sy = np.clip(np.clip((height - 1) / 2 + dy * s, 0, height - 1) - top, 0, a.shape[1] - 1)
+        sx = np.clip(np.clip((width - 1) / 2 + dx * s, 0, width - 1) - left, 0, a.shape[2] - 1)
         y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
-        y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
+        y1, x1 = np.minimum(y0 + 1, a.shape[1] - 1), np.minimum(x0 + 1, a.shape[2] - 1)
         fy, fx, v = sy - y0, sx - x0, a[..., c]
-        out[..., c] = (v[y0, x0] * (1 - fx) + v[y0, x1] * fx) * (1 - fy) + (v[y1, x0] * (1 - fx) + v[y1, x1] * fx) * fy
+        out[..., c] = (v[t, y0, x0] * (1 - fx) + v[t, y0, x1] * fx) * (1 - fy) + (v[t, y1, x0] * (1 - fx) + v[t, y1, x1] * fx) * fy
     return out / np.maximum(poly(vignette, r2), 0.25)[..., None]
 
 
@@ -167,8 +217,8 @@ def lens_correct(px: DataFrame, green, red, blue, vignette, halo: int, tile: int
     """Distortion, lateral colour and vignette of ``(image_id, y, x, r, g, b, height, width, focal)``, scale polynomials in the squared
     radius: ``green`` three coefficients, ``red`` and ``blue`` a scale and three on top of green. Samples are bilinear and clamped to the
     raster; ``halo`` is the largest shift in pixels and two (``roi_margin``)."""
-    def run(a, top, left, pdf):
-        return _unwarped(a, top, left, *(pdf[c].iloc[0] for c in ("height", "width", "focal")), green, red, blue, vignette)
+    def run(a, top, left, carried):
+        return _unwarped(a, top, left, *(carried[c] for c in ("height", "width", "focal")), green, red, blue, vignette)
 
     return in_tiles(px, run, tile, halo, carry=("height", "width", "focal"))
 
@@ -179,9 +229,9 @@ OWN = tuple(f"k{i}" for i in range(14))
 
 def lens_correct_own(px: DataFrame, tile: int = 512) -> DataFrame:
     """``lens_correct`` with coefficients ``k0`` to ``k13``, focal length and ``halo`` of each image, which its pixels carry (equal values, so a shuffle's compression takes them)."""
-    def run(a, top, left, pdf):
-        k = pdf[list(OWN)].iloc[0].to_numpy(float)
-        return _unwarped(a, top, left, *(pdf[c].iloc[0] for c in ("height", "width", "focal")), k[:3], k[3:7], k[7:11], k[11:])
+    def run(a, top, left, carried):
+        k = [carried[c][:, None, None] for c in OWN]
+        return _unwarped(a, top, left, *(carried[c] for c in ("height", "width", "focal")), k[:3], k[3:7], k[7:11], k[11:])
 
     return in_tiles(px, run, tile, "halo", carry=("height", "width", "focal", *OWN))
 
