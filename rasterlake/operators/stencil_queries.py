@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,22 +156,40 @@ def tile_overlap_add(spark, sf_dir):
     return overlap_add(S.gray(spark, sf_dir), 4, 3, S.SIDE).select("image_id", "y", "x", F.round("v", 7).alias("v"))
 
 
+def _once(value, use):
+    """``use(value)`` with the value made once, however often ``use`` refers to it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _transposed(rows):
+    return _once(rows, lambda a: F.transform(F.sequence(F.lit(0), F.size(F.get(a, F.lit(0))) - 1), lambda x: F.transform(a, lambda r: F.get(r, x))))
+
+
+def self_ensemble(images: DataFrame, model) -> DataFrame:
+    """``(image_id, rows)``: the mean of ``model`` (rows to rows, as Columns) over the eight symmetric variants of each image, each result turned back.
+
+    The variants of an image are turned inside its row, one after the other, so there is no shuffle, and a task holds one image and its variants
+    whatever the table's size is; as pixels they would be eight tables, shuffled and sorted by line. Images are rectangular."""
+    def variant(a, transpose, flip, mirror):
+        a = _transposed(a) if transpose else a
+        a = F.reverse(a) if flip else a
+        a = model(F.transform(a, F.reverse) if mirror else a)
+        a = F.transform(a, F.reverse) if mirror else a
+        a = F.reverse(a) if flip else a
+        return _transposed(a) if transpose else a
+
+    add = lambda a, b: F.zip_with(a, b, lambda p, q: F.zip_with(p, q, lambda v, w: v + w))
+    total = lambda a: reduce(add, (variant(a, *turn) for turn in product((False, True), repeat=3)))
+    return images.select("image_id", F.transform(_once(F.col("rows"), total), lambda r: F.transform(r, lambda v: v / 8)).alias("rows"))
+
+
 @query(f"""WITH p AS ({S.GRAY}) SELECT c.image_id, c.y, c.x, round(c.v * 0.5 + sum(n.v) * 0.125, 7) AS v FROM p c, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), p n
 WHERE n.image_id = c.image_id AND n.y = least(greatest(c.y + dy, 0), 7) AND n.x = least(greatest(c.x + dx, 0), 7) GROUP BY c.image_id, c.y, c.x, c.v""")
 def d4_ensemble(spark, sf_dir):
     """Mean of a model over the eight symmetric variants of its input, each result turned back. The model mixes a pixel with its left neighbour
     alone, so each variant gives another image, and the mean has all four neighbours alike."""
-    n = S.SIDE - 1
-    forth = [("y", "x"), ("x", f"{n} - y"), (f"{n} - y", f"{n} - x"), (f"{n} - x", "y"), ("y", f"{n} - x"), (f"{n} - x", f"{n} - y"), (f"{n} - y", "x"), ("x", "y")]
-    back = [0, 3, 2, 1, 4, 5, 6, 7]
-    px = S.gray(spark, sf_dir)
-    variants = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.expr(a).cast("int").alias("ty"), F.expr(b).cast("int").alias("tx")) for k, (a, b) in enumerate(forth))))
-    turned = px.select("image_id", "v", variants.alias("t")).select("image_id", "v", "t.k", F.col("t.ty").alias("y"), F.col("t.tx").alias("x"))
-    left = F.lag("v").over(Window.partitionBy("image_id", "k", "y").orderBy("x"))
-    turned = turned.withColumn("v", 0.5 * F.col("v") + 0.5 * F.coalesce(left, "v"))
-    pick = lambda i: F.expr("CASE k " + " ".join(f"WHEN {k} THEN {forth[b][i]}" for k, b in enumerate(back)) + " END").cast("int")
-    home = turned.select("image_id", "v", pick(0).alias("y"), pick(1).alias("x"))
-    return home.groupBy("image_id", "y", "x").agg(F.round(F.avg("v"), 7).alias("v"))
+    left = lambda rows: F.transform(rows, lambda r: F.transform(r, lambda v, i: 0.5 * v + 0.5 * F.coalesce(F.get(r, i - 1), v)))
+    return as_pixels(self_ensemble(S.gray_rows(spark, sf_dir), left)).select("image_id", "y", "x", F.round("v", 7).alias("v"))
 
 
 @query(f"SELECT image_id, y, x, round(v, 7) AS v FROM {_blur_sql(S.GRAY, GAUSS)} WHERE y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4")

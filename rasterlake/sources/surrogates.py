@@ -21,6 +21,12 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def gray_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(image_id, rows)``: the images of ``gray`` as arrays of rows. A vector holds its whole image, so nothing is shuffled."""
+    v = load(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return v.select("image_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / SIDE).cast("int")), lambda y: F.slice("v", y * SIDE + 1, SIDE)).alias("rows"))
+
+
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(image_id, y, x, v)``: images of 64 x 64, eight by eight vectors each; the last image may lack pixels."""
     k = F.col("image_id") % 64

@@ -1,13 +1,14 @@
 """Work that grows with the input: rows made by joins and generators are read from Spark's own metrics."""
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
-from rasterlake.operators import lookup_queries
+from rasterlake.operators import lookup_queries, stencil_queries
+from rasterlake.plans import catalog
 
 
-def rows_made(spark, action):
-    """What ``action()`` returns, and the most rows that one join or generator made in it."""
+def rows_made(spark, action, kinds=("Join", "Generate")):
+    """What ``action()`` returns, and the most rows that one operator of these kinds made in it."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     out = action()
@@ -17,7 +18,7 @@ def rows_made(spark, action):
         number = done.apply(k).executionId()
         values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
         for node in (nodes.apply(i) for i in range(nodes.size())):
-            if "Join" in node.name() or "Generate" in node.name():
+            if any(k in node.name() for k in kinds):
                 for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
                     if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
                         most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
@@ -40,3 +41,16 @@ def test_range_match_makes_rows_in_proportion(spark):
 
     assert got == {i: nearest(a) for i, _, f0, _, a in shots if f0 == 24.0}
     assert 0 < most < 20_000
+
+
+def test_self_ensemble_needs_no_shuffle(spark):
+    """Before, each pixel was shuffled and sorted eight times."""
+    a = np.random.default_rng(3).random((3, 5))
+    images = spark.createDataFrame([(1, a.tolist())], "image_id long, rows array<array<double>>")
+    left = lambda rows: F.transform(rows, lambda r: F.transform(r, lambda v, i: 0.25 * v + 0.75 * F.coalesce(F.get(r, i - 1), v)))
+    got = stencil_queries.self_ensemble(images, left).collect()[0]["rows"]
+    pad = np.pad(a, 1, mode="edge")
+    want = 0.25 * a + 0.75 / 4 * (pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:])
+    assert np.allclose(got, want)
+    plan = catalog.QUERIES["d4_ensemble"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
