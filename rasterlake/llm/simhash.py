@@ -14,7 +14,7 @@ Jaccard similarity 0.8 differs in 39 on average, by 5.7), postings for 96 pairs
 shares none with probability 0.03, one of similarity 0.83 with 0.01) and candidates up to 54 differing bits. So many bits can touch every byte, so the
 minimum of 3 shared bytes is calibrated there, not guaranteed. Each candidate is then verified on the texts' own
 shingle sets: only pairs of Jaccard similarity ``similarity`` or more are links. Bits and similarity do not order alike, so a
-failed step of a forest may stand between texts that are linked: components of verified links that a failed candidate touches
+failed step of a forest may stand between texts that are linked: components of verified links that failed candidates connect
 are looked at again, all their pairs across components, with the shingle sets at hand (``settled``). So no
 pair that meets in a list within ``max_bits`` is lost to the forest.
 
@@ -221,8 +221,9 @@ def _matcher(plan: Plan):
     return run
 
 
-def _dealt(post: DataFrame, chunk: int, tag: str) -> DataFrame:
-    """Posting rows with ``block``: lists longer than ``chunk`` are split, and each pair of chunks has a block; shuffled and sorted by (key, block), which come first."""
+def _dealt(post: DataFrame, chunk: int, tag: str, part: bool = False) -> DataFrame:
+    """Posting rows with ``block``: lists longer than ``chunk`` are split, and each pair of chunks has a block; shuffled and sorted by (key, block), which come first.
+    With ``part`` the row's own chunk comes last."""
     # written first: its size is then known (a row for each ``chunk`` postings at most), and a small one costs the postings no shuffle
     long_lists = materialise(post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), tag)
     split = post.join(long_lists, "key", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("long"))
@@ -230,7 +231,7 @@ def _dealt(post: DataFrame, chunk: int, tag: str) -> DataFrame:
     blocks = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
     )
-    spread = split.select("key", F.explode(blocks).alias("block"), *(c for c in post.columns if c != "key"))
+    spread = split.select("key", F.explode(blocks).alias("block"), *(c for c in post.columns if c != "key"), *([own.alias("part")] if part else []))
     return spread.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
@@ -285,69 +286,83 @@ def verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, width:
     return materialise(both.mapInArrow(compare, "a long, b long, ok boolean"), "simhash-verified"), known
 
 
-def _crossing(v: np.ndarray, root: np.ndarray, k: int, plan: Plan) -> np.ndarray:
-    """(bits, place, place) of the pairs of a list that are candidates, of different components, and meet in no list before the k-th."""
+def _crossing(v: np.ndarray, root: np.ndarray, plan: Plan, k: int | None = None, part: np.ndarray | None = None) -> np.ndarray:
+    """(bits, place, place) of the pairs that are candidates, of different components, and meet in a list: in none before the k-th, where that is given.
+    Of two chunks only pairs across count, since each chunk has a block of its own."""
     at, found = np.array(plan.positions), [np.zeros((0, 3), np.int64)]
+    across = part is not None and bool((part != part[0]).any())
     for i in range(len(v) - 1):
-        bits = _bits(v[i], v[i + 1 :], plan)
-        j = np.flatnonzero((bits <= plan.max_bits) & (root[i + 1 :] != root[i]))
+        ok = (_bits(v[i], v[i + 1 :], plan) <= plan.max_bits) & (root[i + 1 :] != root[i])
+        j = np.flatnonzero(ok & (part[i + 1 :] != part[i]) if across else ok)
         if len(j):
-            same = np.bitwise_xor(v[i], v[i + 1 + j]).view(np.uint8).reshape(len(j), -1) == 0
-            j = j[same[:, at].all(2).argmax(1) == k]
-            found.append(np.c_[bits[j], np.full(len(j), i), i + 1 + j])
+            x = np.bitwise_xor(v[i], v[i + 1 + j])
+            meets = (x.view(np.uint8).reshape(len(j), -1) == 0)[:, at].all(2)
+            met = meets.any(1) if k is None else meets.argmax(1) == k
+            found.append(np.c_[np.bitwise_count(x[met]).sum(1, dtype=np.int64), np.full(met.sum(), i), i + 1 + j[met]])
     return np.concatenate(found)
 
 
-def settled(pairs: DataFrame, known: DataFrame, classes: DataFrame, roots: DataFrame, plan: Plan, chunk: int = 2048, few: int = 256) -> DataFrame:
+def settled(pairs: DataFrame, known: DataFrame, classes: DataFrame, roots: DataFrame, plan: Plan, chunk: int = 2048, few: int = 256, most: int | None = None) -> DataFrame:
     """``(root, into)``: components of verified links that are linked to others by pairs that no forest held, and the one they become.
 
-    Such a pair is joined in its list by a path of the forest with a failed step, and the first one from each end touches that end's component: only components
-    with a failed candidate are looked at. Their postings without sets tell who has a candidate across; those alone are met again with their sets,
-    in lists of ``few``."""
+    Such a pair is joined in its list by a path of the forest, whose steps between components are failed candidates: so components that these connect
+    are a group, and no pair leaves its group. A group's texts are met again with their sets, each pair once, in blocks of two chunks of ``few``: a row
+    for each chunk of the group, where their postings would be ``len(plan.positions)`` rows whatever the group's size. Groups in which chunks are more than that (of over
+    ``most`` texts) go by their postings: without sets these tell who has a candidate across, and those alone are met again with their sets, in lists of ``few``."""
     fields = [f"f{k}" for k in range(plan.words)]
-    failed = pairs.where(~F.col("ok")).select(F.explode(F.array("a", "b")).alias("node"))
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", *fields, F.coalesce("root", "id").alias("root"))
-    touched = failed.join(named.select(F.col("id").alias("node"), F.col("root").alias("t")), "node").select("t").distinct()
-    rows = materialise(named.join(touched, named["root"] == touched["t"], "left_semi"), "simhash-touched")
-    post = _postings(rows, plan, "root").select("key", "id", "root", *fields)
+    end = lambda c: named.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    failed = pairs.where(~F.col("ok")).join(end("a"), "a").join(end("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    groups = components(failed, "simhash-groups").select("node", F.col("root").alias("group"))
+    rows = materialise(named.join(groups, named["root"] == groups["node"]).select("id", "root", "group", *fields), "simhash-touched")
+    wide = materialise(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most or len(plan.positions) * few)).select("group"), "simhash-wide")
 
-    def runs(table):
+    def runs(table, whole: bool):
         key = np.stack([np.asarray(table.column(c)) for c in (0, 1)], 1)
         edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         ids, root = (np.asarray(table.column(c)) for c in (2, 3))
         v = np.stack([np.asarray(table.column(c)) for c in range(4, 4 + plan.words)], 1).view(np.uint64)
+        part = np.asarray(table.column("part")) if whole else None
         for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(key)].tolist()):
             if hi - lo > 1 and (root[lo:hi] != root[lo]).any():
                 code = int(key[lo, 0])
-                yield code, lo, ids[lo:hi], root[lo:hi], _crossing(v[lo:hi], root[lo:hi], code >> 8 * len(plan.positions[0]), plan)
+                yield code, lo, ids[lo:hi], root[lo:hi], _crossing(v[lo:hi], root[lo:hi], plan, *((None, part[lo:hi]) if whole else (code >> 8 * len(plan.positions[0]),)))
 
     def across(batches):
         for table in complete_runs(batches, 2):
-            for code, _, ids, _, found in runs(table):
+            for code, _, ids, _, found in runs(table, False):
                 some = ids[np.unique(found[:, 1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), code), pa.int64()), pa.array(some, pa.int64())], names=["key", "id"])
 
-    def settle(batches):
-        for table in complete_runs(batches, 2):
-            sets = table.column(4 + plan.words)
-            for _, lo, _, root, found in runs(table):
-                into: dict[int, int] = {}
-
-                def find(i: int) -> int:
-                    while (r := into.get(i, i)) != i:
-                        into[i] = i = into.get(r, r)
-                    return i
-
-                for _, i, j in found[found[:, 0].argsort(kind="stable")].tolist():
-                    a, b = find(int(root[i])), find(int(root[j]))
-                    if a != b and similar(*(np.frombuffer(sets[lo + k].as_buffer(), np.uint64) for k in (i, j)), plan.similarity):
-                        into[a] = b
-                out = [(r, into[r]) for r in into if into[r] != r]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-    met = materialise(_dealt(post, chunk, "simhash-long").mapInArrow(across, "key long, id long").distinct(), "simhash-across")
-    again = met.join(materialise(rows.join(known, "id"), "simhash-touched-sets"), "id").select("key", "id", "root", *fields, "w")
-    more = _dealt(again, few, "simhash-long").mapInArrow(settle, "a long, b long")
+    def settle(whole: bool):
+        def run(batches):
+            for table in complete_runs(batches, 2):
+                sets = table.column("w")
+                for _, lo, _, root, found in runs(table, whole):
+                    into: dict[int, int] = {}
+
+                    def find(i: int) -> int:
+                        while (r := into.get(i, i)) != i:
+                            into[i] = i = into.get(r, r)
+                        return i
+
+                    for _, i, j in found[found[:, 0].argsort(kind="stable")].tolist():
+                        a, b = find(int(root[i])), find(int(root[j]))
+                        if a != b and similar(*(np.frombuffer(sets[lo + k].as_buffer(), np.uint64) for k in (i, j)), plan.similarity):
+                            into[a] = b
+                    out = [(r, into[r]) for r in into if into[r] != r]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        return run
+
+    texts = materialise(rows.join(known, "id"), "simhash-touched-sets")
+    post = texts.join(wide, "group", "left_anti").select(F.col("group").alias("key"), "id", "root", *fields, "w")
+    more = _dealt(post, few, "simhash-long", part=True).mapInArrow(settle(True), "a long, b long")
+    if wide.limit(1).count():
+        post = _postings(rows.join(wide, "group", "left_semi"), plan, "root").select("key", "id", "root", *fields)
+        met = materialise(_dealt(post, chunk, "simhash-long").mapInArrow(across, "key long, id long").distinct(), "simhash-across")
+        again = met.join(texts, "id").select("key", "id", "root", *fields, "w")
+        more = more.unionByName(_dealt(again, few, "simhash-long").mapInArrow(settle(False), "a long, b long"))
     return components(more, "simhash-more").select(F.col("node").alias("root"), F.col("root").alias("into"))
 
 

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from rasterlake.llm import simhash
 from rasterlake.llm._common import components
@@ -205,3 +206,39 @@ def test_runs_stay_whole():
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(range(k, min(k + size, len(keys))))], names=["k", "v"]) for k in range(0, len(keys), size)]
         tables = [t.column(0).to_pylist() for t in complete_runs(batches, 1)]
         assert sum(tables, []) == keys and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
+def test_groups_by_chunks_and_by_postings(spark, monkeypatch):
+    """One group of texts around the threshold: looked at again by pairs of chunks, by chunks of a few texts and by postings, it leaves the same documents."""
+    rng = random.Random(9)
+    texts = near_threshold(rng, 1, 160) + near_threshold(rng, 5, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = simhash.settled
+    kept = []
+    for more in ({}, {"few": 16}, {"most": 1}):
+        monkeypatch.setattr(simhash, "settled", lambda *a, m=more: of(*a, **m))
+        kept.append({r["doc_id"] for r in simhash.keep_first(docs, width=5, plan=simhash.WIDE).collect()})
+    assert kept[0] == kept[1] == kept[2] and 1 < len(kept[0]) < len(texts)
+
+
+def test_large_group_makes_few_rows(spark):
+    """Texts of one large group travel with their sets once for each chunk of the group; by their postings it was 96 rows a text."""
+    from tests.test_scale import rows_made
+
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for _ in range(300):  # each pair is a candidate at most, and no link
+        text = list(base)
+        for at in rng.sample(range(100), 2):
+            text[at] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(text))
+    docs = simhash.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-docs")
+    plan = simhash.WIDE
+    rows = simhash.fingerprints(docs, 5, plan).withColumn("id", F.xxhash64(*(f"f{k}" for k in range(4)), "s"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    classes = simhash.materialise(rows.groupBy("id", *(f"f{k}" for k in range(4))).agg(first, F.count(F.lit(1)).alias("n")), "test-classes")
+    pairs, known = simhash.verified(simhash.links(classes, plan), classes, docs, 5, plan, "text", "doc_id")
+    roots = components(pairs.where("ok").select("a", "b"), "test-links")
+    _, most = rows_made(spark, lambda: simhash.settled(pairs, known, classes, roots, plan).collect(), ("Join",))
+    assert 0 < most <= 2 * pairs.count()
