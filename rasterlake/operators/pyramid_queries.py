@@ -106,18 +106,21 @@ def planned(requests: DataFrame, levels: int) -> DataFrame:
     return r.where("y0 < y1 and x0 < x1").select("request_id", "image_id", "level", "height", "width", "out_height", "out_width", "y0", "x0", "y1", "x1")
 
 
-def serve(pyramid: DataFrame, plans: DataFrame, tile: int = TILE, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+def serve(pyramid: DataFrame, plans: DataFrame, tile: int = TILE, channels: tuple[str, ...] = ("r", "g", "b"), each: int = 1000) -> DataFrame:
     """``(request_id, y, x, *channels)`` for requests as ``planned``, places counted in the scaled image: what cropping the whole scaled image gives. Each request
-    becomes a row for each tile that it needs and meets the tiles by an equi-join; request_id is unique."""
+    becomes a row for each tile that it needs and meets the tiles by an equi-join; request_id is unique.
+
+    Requests are small and become many pixels, and many ask for the same tile. So what they have met is dealt by request, about ``each`` requests a task, and
+    is exploded and aggregated there: a task's memory does not grow with the number of requests."""
     need = lambda a, n, m: F.expr(f"{a} * {n} div {m}")
     past = lambda b, n, m: F.expr(f"({b} * {n} + {m} - 1) div {m}")
     p = _once(plans, top=need("y0", "height", "out_height"), bottom=past("y1", "height", "out_height"), first=need("x0", "width", "out_width"), past=past("x1", "width", "out_width"))
     over = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile).cast("int"), F.floor((F.col(b) - 1) / tile).cast("int")))
     p = p.select("*", over("top", "bottom").alias("ty")).select("*", over("first", "past").alias("tx"))
     carry = ("request_id", "height", "width", "out_height", "out_width", "y0", "x0", "y1", "x1", "top", "bottom", "first", "past")
-    px = _pixels(pyramid.join(p, ["image_id", "level", "ty", "tx"]), tile, channels, *carry).where("y >= top and y < bottom and x >= first and x < past")
-    out = resample(px, channels, ("request_id", "y0", "x0", "y1", "x1"))
-    return out.where("y >= y0 and y < y1 and x >= x0 and x < x1").select("request_id", "y", "x", *channels)
+    met = pyramid.join(p, ["image_id", "level", "ty", "tx"]).repartition(plans.count() // each + 1, "request_id")
+    px = _pixels(met, tile, channels, *carry).where("y >= top and y < bottom and x >= first and x < past")
+    return resample(px, channels, ("request_id",), ("y0", "x0", "y1", "x1")).select("request_id", "y", "x", *channels)
 
 
 _UP = lambda t: f"SELECT image_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM {t} GROUP BY 1, 2, 3"

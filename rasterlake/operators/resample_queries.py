@@ -21,12 +21,13 @@ SIZES = ("height", "width", "out_height", "out_width")
 GAP, GROUND = 8, 1.0
 
 
-def resample(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def resample(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), keys: tuple[str, ...] = ("image_id",), crop: tuple[str, str, str, str] | None = None) -> DataFrame:
     """``(*keys, y, x, *channels)`` on ``out_height`` x ``out_width``, from pixels that carry these sizes and their own ``height`` and ``width``.
 
     An output sample is the mean of the source samples under it, weighted by the area they share with it; enlarging repeats samples and blends at
     their borders. Null samples and absent pixels have no weight: null where no sample is left, no row where no pixel is. NaN spreads to the samples it touches.
-    Pixels outside the stated size, without a place or with a size of null or under 1 go; repeated rows of a pixel count as often as they occur."""
+    Pixels outside the stated size, without a place or with a size of null or under 1 go; repeated rows of a pixel count as often as they occur. ``crop`` names columns (top, left, bottom, right; ends excluded) with the
+    rectangle wanted of the output: the rest is not aggregated."""
 
     def touched(c, n, m):
         return F.explode(F.expr(f"sequence({c} * {m} div {n}, (({c} + 1) * {m} - 1) div {n})"))
@@ -34,9 +35,12 @@ def resample(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), keys: t
     def shared(c, k, n, m):
         return F.least((F.col(k) + 1) * F.col(n), (F.col(c) + 1) * F.col(m)) - F.greatest(F.col(k) * F.col(n), F.col(c) * F.col(m))
 
-    px = px.select(*keys, *channels, *(F.col(c).cast("long").alias(c) for c in ("y", "x", *SIZES)))
+    box = crop or ()
+    px = px.select(*keys, *box, *channels, *(F.col(c).cast("long").alias(c) for c in ("y", "x", *SIZES)))
     px = px.where("least(height, width, out_height, out_width) > 0 and out_height > 0 and out_width > 0 and y >= 0 and y < height and x >= 0 and x < width")
     cells = px.select("*", touched("y", "height", "out_height").alias("oy")).select("*", touched("x", "width", "out_width").alias("ox"))
+    if crop:
+        cells = cells.where((F.col("oy") >= F.col(crop[0])) & (F.col("oy") < F.col(crop[2])) & (F.col("ox") >= F.col(crop[1])) & (F.col("ox") < F.col(crop[3])))
     w = shared("y", "oy", "height", "out_height").cast("double") * shared("x", "ox", "width", "out_width")
     cells = cells.select(*keys, "oy", "ox", *channels, w.alias("w"))
     mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)

@@ -1,9 +1,11 @@
 """Work that grows with the input: rows made by joins and generators are read from Spark's own metrics."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterlake.operators import lookup_queries, stencil_queries
+from rasterlake.operators import lookup_queries, pyramid_queries, stencil_queries
 from rasterlake.plans import catalog
 
 
@@ -54,3 +56,15 @@ def test_self_ensemble_needs_no_shuffle(spark):
     assert np.allclose(got, want)
     plan = catalog.QUERIES["d4_ensemble"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_served_requests_are_dealt_over_tasks(spark):
+    """Before, requests met few tiles in few tasks and became pixels there; now tasks are as many as the requests need, and pixels are not shuffled again."""
+    px = spark.range(1024).selectExpr("cast(0 as long) AS image_id", "cast(id div 32 as int) AS y", "cast(id % 32 as int) AS x", "double(id) AS v")
+    path = pyramid_queries.shared_folder(spark, "rasterlake/pyramid-test-scale")
+    levels = pyramid_queries.write_pyramid(px, path, 16, ("v",)) if not os.path.exists(path) else 2
+    requests = spark.range(300).selectExpr("id AS request_id", "cast(0 as long) AS image_id", "32 AS height", "32 AS width", "0.25D AS u0", "0.25D AS v0", "0.75D AS u1", "0.75D AS v1", "cast(null as int) AS budget")
+    out = pyramid_queries.serve(pyramid_queries.read_pyramid(spark, path, ("v",)), pyramid_queries.planned(requests, levels), 16, ("v",), each=10)
+    assert out.rdd.getNumPartitions() == 31
+    got = out.where("request_id = 299").toPandas()
+    assert len(got) == 256 and (got["v"] == got["y"] * 32 + got["x"]).all() and got["y"].min() == 8
